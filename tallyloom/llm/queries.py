@@ -5,16 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import langid, licenses, mixing, simhash
+from .common import fold, table
 
 
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    dictionaries = langid.learn_dictionaries(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), dictionaries)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "lang_margin", "lang_rejected")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_neardup": op3_simhash_neardup,
+    "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
+    "op10_pfair_mixing": op10_pfair_mixing,
 }
 ORACLE: dict[str, str] = {}
