@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, simhash
+from . import decontaminate, langid, licenses, mixing, secrets, simhash
 from .common import fold, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train_forest(secrets.labelled_findings(spark))
+    return secrets.findings(table(spark, sf_dir, "documents"), model, path_col="source")
+
+
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +41,8 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_secret_scan": op2_secret_scan,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
