@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, secrets, simhash
+from . import decontaminate, langid, licenses, mixing, secrets, simhash, warc
 from .common import fold, table
 
 
@@ -24,6 +24,11 @@ def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.where("gap_reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "digest_ok")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_neardup": op3_simhash_neardup,
+    "op5_warc_salvage": op5_warc_salvage,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_pfair_mixing": op10_pfair_mixing,
