@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, secrets, simhash, warc
+from . import decontaminate, langid, licenses, media, mixing, secrets, simhash, warc
 from .common import fold, table
 
 
@@ -29,6 +29,10 @@ def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("gap_reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "digest_ok")
 
 
+def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store_media(table(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_neardup": op3_simhash_neardup,
     "op5_warc_salvage": op5_warc_salvage,
+    "op6_media_chunks": op6_media_chunks,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_pfair_mixing": op10_pfair_mixing,
