@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, media, mixing, secrets, simhash, warc
+from . import decontaminate, domtree, langid, licenses, media, mixing, secrets, simhash, warc
 from .common import fold, table
 
 
@@ -33,6 +33,11 @@ def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_media(table(spark, sf_dir, "documents")))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = domtree.train(domtree.labelled_pages())
+    return domtree.extract_text(table(spark, sf_dir, "pages"), model)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_neardup": op3_simhash_neardup,
     "op5_warc_salvage": op5_warc_salvage,
     "op6_media_chunks": op6_media_chunks,
+    "op7_html_main_text": op7_html_main_text,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_pfair_mixing": op10_pfair_mixing,
