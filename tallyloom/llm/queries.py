@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, domtree, langid, licenses, media, mixing, secrets, simhash, warc
+from . import decontaminate, domtree, langid, licenses, media, mixing, ngram, secrets, simhash, warc
 from .common import fold, table
 
 
@@ -24,6 +24,10 @@ def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0, fold("doc_id", 10) == 1)
+
+
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.where("gap_reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "digest_ok")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_neardup": op3_simhash_neardup,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_warc_salvage": op5_warc_salvage,
     "op6_media_chunks": op6_media_chunks,
     "op7_html_main_text": op7_html_main_text,
