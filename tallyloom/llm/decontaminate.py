@@ -204,3 +204,10 @@ def _found(texts: DataFrame, index: Index, least: float) -> DataFrame:
         .where(share >= least)
         .select("id", "row_key", "item_id", "n_windows", share.alias("coverage"), "n_slots", "n_changed", (F.col("n_changed") > 0).alias("reparameterised"))
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; all others stay as they are."""
+    hits = contaminated(docs, benchmark, id_col, text_col, **how).select(F.col(id_col).alias("__id"), F.col("row_key").alias("__key")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__key"))
+    return docs.join(hits, same, "left_anti")

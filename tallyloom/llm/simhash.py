@@ -46,15 +46,16 @@ def simhash(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(id, fp)``: one row per row of ``docs``; ``fp`` holds the 64 bits as a long. Null text: 0."""
+    """``(id, row_key, fp)``: one row per row of ``docs``; row_key is xxhash64 of the text, fp holds the 64 bits as a long. Null text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t, width) for t in b.column(1).to_pylist()], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            fp = np.array([simhash(t, width) for t in b.column(2).to_pylist()], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "row_key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, fp long"
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row_key"), text.alias("text")).mapInArrow(
+        run, "id long, row_key long, fp long"
     )
 
 
@@ -145,7 +146,7 @@ def near_duplicates(
     radius: int = 2,
     tile_size: int = 1024,
 ) -> DataFrame:
-    """One row per document: ``(id_col, fingerprint, component_id)``.
+    """One row per document: ``(id_col, fingerprint, component_id, row_key)``.
 
     Documents are linked where their fingerprints differ in ``radius`` bits or fewer; component_id is the
     smallest id that links lead to. Null and wordless texts have fingerprint zero and are linked like any
@@ -162,5 +163,18 @@ def near_duplicates(
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = stored(named.join(stored(lows, "lows"), "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row_key"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one document of each group: that with the smallest id. Columns stay as they are.
+
+    A row without an id goes if its group has an id, else it stays. Rows that repeat id and text stay once.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, **how), "near_duplicates")
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("row_key").alias("__key")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__key"))
+    left = docs.join(gone, same, "left_anti")
+    again = found.groupBy(id_col, "row_key").count().where("count > 1")
+    return left if again.isEmpty() else left.dropDuplicates([id_col, text_col])
