@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN = r"[A-Za-z0-9_+/\-]"
-ASSIGNED = r"(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|access_key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22'#<>]{6,256}"
+# the first two look-behinds are cheap and turn almost every place away before the last one is tried
+ASSIGNED = r"(?<=[:=\s\x22'])(?<=[:=][\s\x22']{0,3})(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|access_key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22'#<>]{6,256}"
 CANDIDATE = rf"{ASSIGNED}|(?<!{RUN})(?=[A-Za-z_+/\-]{{0,200}}[0-9]){RUN}{{16,512}}={{0,2}}"
 NEAR = 48  # characters of context kept on either side
 
@@ -158,15 +159,18 @@ def train_forest(findings: DataFrame, trees: int = 20, depth: int = 7, most_rows
 def forest_score(model: RandomForestClassificationModel, f: Column) -> Column:
     """Mean over the trees of the share of secrets in the leaf that the features fall into, as a Column."""
 
-    def walk(node) -> Column:
+    def walk(node, x: Column) -> Column:
         if node.subtreeDepth() == 0:
             stats = list(node.impurityStats().stats())
             return F.lit(float(stats[1] / sum(stats)))
         split = node.split()
-        return F.when(f[FEATURES[split.featureIndex()]] <= float(split.threshold()), walk(node.leftChild())).otherwise(walk(node.rightChild()))
+        return F.when(x[FEATURES[split.featureIndex()]] <= float(split.threshold()), walk(node.leftChild(), x)).otherwise(walk(node.rightChild(), x))
 
-    trees = [walk(t._call_java("rootNode")) for t in model.trees]
-    return sum(trees[1:], trees[0]) / float(len(trees))
+    def vote(x: Column) -> Column:
+        trees = [walk(t._call_java("rootNode"), x) for t in model.trees]
+        return sum(trees[1:], trees[0]) / float(len(trees))
+
+    return F.get(F.transform(F.array(f), vote), 0)  # in a lambda the features are one variable and not repeated at every node
 
 
 def detect(
@@ -193,8 +197,9 @@ def detect(
 
 def findings(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
     """One row per accepted secret: id, start (characters from 0), length, value_sha256 (never the value), score."""
-    rows = detect(docs, model, text_col, path_col, threshold).where(F.size("secrets") > 0)
-    return rows.select(id_col, F.explode("secrets").alias("s")).select(
+    rows = detect(docs, model, text_col, path_col, threshold)
+    # explode_outer: a filter before the generator would repeat the whole scan in the filter
+    return rows.select(id_col, F.explode_outer("secrets").alias("s")).where("s is not null").select(
         id_col, F.col("s.start").cast("long").alias("start"), F.length("s.value").cast("long").alias("length"), F.sha2("s.value", 256).alias("value_sha256"), F.round("s.score", 6).alias("score")
     )
 
