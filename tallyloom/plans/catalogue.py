@@ -1,4 +1,27 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir), with the DuckDB SQL that gives the same rows."""
+
+    def add(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+from tallyloom.plans import batch_queries, curve_queries, ledger_queries, scalar_queries  # noqa: E402, F401  they register themselves
