@@ -1 +1,163 @@
-"""Queries."""
+"""Scalar functions over the tables' columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyloom.functions import exprs as X
+from tallyloom.plans.catalogue import query
+from tallyloom.plans.tables import USAGE, table
+from tallyloom.plans.tables import usage as usage_rows
+
+
+@query("f02_hash_ids", f"WITH {USAGE} SELECT n, sha256(source||'|'||model||'|'||event_id) AS id, left(sha256(session_hash),16) AS short FROM usage")
+def f02(spark, d):
+    return usage_rows(spark, d).select("n", X.hash_id("source", "model", "event_id").alias("id"), X.hash_id("session_hash", length=16).alias("short"))
+
+
+@query("f05_hour_of_day", f"WITH {USAGE} SELECT (ts_ms//3600000)%24 AS hour, count(*) AS n FROM usage GROUP BY 1")
+def f05(spark, d):
+    return usage_rows(spark, d).groupBy(F.hour(F.timestamp_millis("ts_ms")).cast("long").alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query("f08_reasoning_split", f"WITH {USAGE} SELECT n, CASE WHEN k+output=0 THEN 0 ELSE CAST(least(CAST(input AS HUGEINT), (CAST(input AS HUGEINT)*k*2+k+output)//((k+output)*2)) AS BIGINT) END AS reasoning FROM usage")
+def f08(spark, d):
+    return usage_rows(spark, d).select("n", X.reasoning_split("k", "output", "input").alias("reasoning"))
+
+
+@query("f09_map_normalise", f"""WITH {USAGE}, e AS (SELECT n, unnest([' a ','a','','bb']) AS key, unnest([k, k-50, 5, k%3-1]) AS v FROM usage), g AS (SELECT n, trim(key) AS key, sum(v) AS v FROM e WHERE v>0 AND trim(key)<>'' GROUP BY 1,2)
+ SELECT u.n, coalesce(string_agg(key||'='||CAST(v AS BIGINT), ',' ORDER BY key),'') AS counts FROM usage u LEFT JOIN g USING (n) GROUP BY 1""")
+def f09(spark, d):
+    k = F.col("k")
+    m = F.map_from_arrays(F.array(F.lit(" a "), F.lit("a"), F.lit(""), F.lit("bb")), F.array(k, k - 50, F.lit(5).cast("long"), k % 3 - 1))
+    return usage_rows(spark, d).select("n", X.counts_text(X.normalise_counts(m)).alias("counts"))
+
+
+@query("f10_map_merge", f"WITH {USAGE} SELECT n, CASE WHEN k%2=0 THEN 'a='||(k+input)||',b='||k||',c='||output ELSE 'a='||input||',c='||output END AS summed, CASE WHEN k%2=0 THEN 'a='||greatest(k,input)||',b='||k||',c='||output ELSE 'a='||input||',c='||output END AS most FROM usage")
+def f10(spark, d):
+    a = F.when(F.col("k") % 2 == 0, F.create_map(F.lit("a"), F.col("k"), F.lit("b"), F.col("k"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<long>")))
+    b = F.create_map(F.lit("a"), F.col("input"), F.lit("c"), F.col("output"))
+    return usage_rows(spark, d).select("n", X.counts_text(X.merge_sum(a, b)).alias("summed"), X.counts_text(X.merge_max(a, b)).alias("most"))
+
+
+@query("f12_names", f"WITH {USAGE} SELECT n, model||',x'||(k%3) AS first_order, array_to_string(list_sort(list_distinct(['x'||(k%3), model, 'm'])),',') AS sorted FROM usage")
+def f12(spark, d):
+    x = F.concat(F.lit("x"), (F.col("k") % 3).cast("string"))
+    a = F.array(F.col("model"), F.concat(F.lit(" "), x), F.lit(""), x)
+    return usage_rows(spark, d).select("n", F.array_join(X.normalise_names(a), ",").alias("first_order"), F.array_join(X.names_with_keys(a, F.create_map(F.lit("m"), F.lit(1))), ",").alias("sorted"))
+
+
+NAMES = ["mcp__files__read", "mcp__a_b__c__d", "mcp__x__ ", "mcp____y", "tool", "mcp__only", "MCP__a__b"]
+NAMES_SQL = "(CASE n%7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(NAMES)) + " END)"
+
+
+def pick(items: list[str]):
+    return F.element_at(F.array(*[F.lit(x) for x in items]), (F.col("n") % len(items) + 1).cast("int"))
+
+
+@query("f14_mcp_server", f"WITH {USAGE} SELECT n, nullif(trim(regexp_extract({NAMES_SQL}, '^mcp__(.*?)__(.*\\S.*)$', 1)),'') AS server FROM usage")
+def f14(spark, d):
+    return usage_rows(spark, d).select("n", X.mcp_server(pick(NAMES)).alias("server"))
+
+
+TEXTS = ["use [$deploy](skills/deploy/SKILL.md) and [$deploy](x/SKILL.md)", "[$a.b](/SKILL.md) [$c](other.md)", "none", "[$x](p/SKILL.md) then [$y-1](q/r/SKILL.md)"]
+TEXTS_SQL = "(CASE n%4 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(TEXTS)) + " END)"
+
+
+@query("f17_skill_markers", f"WITH {USAGE} SELECT n, array_to_string(list_sort(list_distinct(regexp_extract_all({TEXTS_SQL}, '\\[\\$([A-Za-z0-9_.:+-]+)\\]\\([^)]*?/SKILL\\.md\\)', 1))),',') AS skills FROM usage")
+def f17(spark, d):
+    return usage_rows(spark, d).select("n", F.array_join(F.array_sort(X.skill_markers(pick(TEXTS))), ",").alias("skills"))
+
+
+@query("f21_cap_lines", f"WITH {USAGE} SELECT n, CASE WHEN input+k>2000 THEN 0 ELSE input END AS added, CASE WHEN input+k>2000 THEN 0 ELSE k END AS deleted FROM usage")
+def f21(spark, d):
+    return usage_rows(spark, d).select("n", X.cap_lines("input", "k").alias("c")).select("n", "c.added", "c.deleted")
+
+
+@query("f26_formats", f"""WITH {USAGE}, v AS (SELECT n, CASE n%4 WHEN 0 THEN k WHEN 1 THEN total WHEN 2 THEN total*1000 ELSE total*1000000 END AS x FROM usage)
+ SELECT n, CASE WHEN x>=1000000000 THEN printf('%.2fB',x/1e9) WHEN x>=1000000 THEN printf('%.2fM',x/1e6) WHEN x>=1000 THEN printf('%.2fK',x/1e3) ELSE CAST(x AS VARCHAR) END AS shown FROM v WHERE (x%10)<>5 AND (x//1000)%10<>5 AND (x//10000)%10<>5""")
+def f26(spark, d):
+    x, n = F.col("x"), F.col("n") % 4
+    v = usage_rows(spark, d).select("n", F.when(n == 0, F.col("k")).when(n == 1, F.col("total")).when(n == 2, F.col("total") * 1000).otherwise(F.col("total") * 1_000_000).alias("x"))
+    plain = (x % 10 != 5) & (F.floor(x / 1000) % 10 != 5) & (F.floor(x / 10_000) % 10 != 5)  # ties are printed differently by different engines
+    return v.where(plain).select("n", X.tokens_text("x").alias("shown"))
+
+
+@query("f28_stable_uuid", f"WITH {USAGE} SELECT n, '00000000-0000-4000-8000-'||lpad(lower(to_hex(ts_ms//1000)),12,'0') AS id FROM usage")
+def f28(spark, d):
+    return usage_rows(spark, d).select("n", X.stable_uuid(F.floor(F.col("ts_ms") / 1000)).alias("id"))
+
+
+@query("f29_saturating", f"WITH {USAGE} SELECT n, greatest(k-input,0) AS difference, CAST(least(CAST(input AS HUGEINT)*1000000000000000, 9223372036854775807) AS BIGINT) AS capped FROM usage")
+def f29(spark, d):
+    big = X.clamp_long(F.col("input").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(17,0)"))
+    return usage_rows(spark, d).select("n", X.positive_difference("k", "input").alias("difference"), big.alias("capped"))
+
+
+@query("f31_mask", f"WITH {USAGE} SELECT n, CASE WHEN length(model||session_hash)<=8 THEN repeat('*', length(model||session_hash)) ELSE left(model||session_hash,4)||'****'||right(model||session_hash,4) END AS masked FROM usage")
+def f31(spark, d):
+    return usage_rows(spark, d).select("n", X.mask_secret(F.concat("model", "session_hash")).alias("masked"))
+
+
+@query("f32_upstream_basis", f"WITH {USAGE} SELECT n, greatest(k-cache_creation*20,0) AS basis FROM usage")
+def f32(spark, d):
+    return usage_rows(spark, d).select("n", X.upstream_basis("k", F.col("cache_creation") * 20).alias("basis"))
+
+
+@query("p02_token_algebra", f"""WITH {USAGE}, a AS (SELECT n, input AS i, least(input, k*3+k*2) AS hit, output AS o, reasoning AS r, cache_creation AS c FROM usage), b AS (SELECT *, least(greatest(i-hit,0), c) AS made, least(o, r) AS think FROM a)
+ SELECT n, i-hit-made AS input, o-think AS output, hit AS cached_input, made AS cache_creation, think AS reasoning, greatest(0, i+o) AS total FROM b""")
+def p02(spark, d):
+    c = X.rollout_counts("input", F.col("k") * 3, F.col("k") * 2, "cache_creation", "output", "reasoning", F.lit(0))
+    return usage_rows(spark, d).select("n", c.alias("c")).select("n", "c.*")
+
+
+TIMES = ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.250+02:00", "2024-01-02 03:04:05", "2024-01-02", "1704164645", "1704164645123", "later", "2024-13-02T03:04:05Z"]
+TIMES_US = [1704164645000000, 1704157445250000, None, None, 1704164645000000, 1704164645123000, None, None]
+
+
+@query("p11_timestamp_parse", f"WITH {USAGE} SELECT n, CASE n%8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate("" if t is None else str(t) for t in TIMES_US)) + " END AS us FROM usage")
+def p11(spark, d):
+    return usage_rows(spark, d).select("n", F.coalesce(F.unix_micros(X.parse_time(pick(TIMES))).cast("string"), F.lit("")).alias("us"))
+
+
+PATHS = ["/home/u/Automations/x", "/srv/jobs", "/srv/jobs/a", "/srv/jobs2", "/home/automationsx", ""]
+GENERATED = ["a/node_modules/b.js", "src/main.py", "x/yarn.lock", "web/app.min.js", "C:\\repo\\dist\\x.js", "distance/a.py", "api_pb2.py", "", "Cargo.lock", "src/target"]
+
+
+@query("p18_path_predicate", f"WITH {USAGE} SELECT n, n%6 IN (0,1,2) AS automated FROM usage")
+def p18(spark, d):
+    return usage_rows(spark, d).select("n", X.under_automation(pick(PATHS), ("/srv/jobs/",)).alias("automated"))
+
+
+@query("p21_generated_path", f"WITH {USAGE} SELECT n, n%10 IN (0,2,3,4,6,8,9) AS generated FROM usage")
+def p21(spark, d):
+    return usage_rows(spark, d).select("n", X.generated_path(pick(GENERATED)).alias("generated"))
+
+
+PROGRAMS = ["/usr/bin/codex", "/Applications/ChatGPT.app/Contents/Resources/codex", "/Applications/Claude.app/Contents/MacOS/Claude", "/opt/claude", "/Applications/X.app/Contents/claude", "/bin/ls"]
+KINDS = ["codex_cli", "codex_desktop", "claude_desktop", "claude_cli", "other", "other"]
+
+
+@query("p19_process_kind", f"WITH {USAGE} SELECT n, CASE n%6 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END AS kind FROM usage")
+def p19(spark, d):
+    return usage_rows(spark, d).select("n", X.process_kind(pick(PROGRAMS)).alias("kind"))
+
+
+@query("p20_originator", f"WITH {USAGE} SELECT n, CASE n%3 WHEN 0 THEN 'cli' WHEN 1 THEN 'desktop' END AS source FROM usage")
+def p20(spark, d):
+    return usage_rows(spark, d).select("n", X.source_of_originator(pick(["codex_exec", "Codex Desktop", "else"])).alias("source"))
+
+
+@query("p26_truncate_utf8", r"""SELECT doc_id, octet_length(encode(text))<=40 AS fits, starts_with(text, cut) AND octet_length(encode(cut)) BETWEEN 37 AND 40 OR text=cut AS good FROM (SELECT doc_id, text, CASE WHEN octet_length(encode(text))<=40 THEN text ELSE
+ (SELECT max(left(text, i)) FILTER (WHERE octet_length(encode(left(text, i)))<=40) FROM range(30,41) t(i)) END AS cut FROM documents)""")
+def p26(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text", X.truncate_utf8("text", 40).alias("cut"))
+    good = F.col("text").startswith(F.col("cut")) & F.octet_length("cut").between(37, 40) | (F.col("text") == F.col("cut"))
+    return t.select("doc_id", (F.octet_length("text") <= 40).alias("fits"), good.alias("good"))
+
+
+@query("p34_valid_samples", f"WITH {USAGE} SELECT count(*) AS n FROM usage WHERE input>0")
+def p34(spark, d):
+    from tallyloom.plans.curve_queries import intervals
+
+    return intervals(spark, d).agg(F.count("*").alias("n"))
