@@ -21,8 +21,8 @@ def bucket_tokens(events: DataFrame, keys: list[str] | None = None, width_ms: in
 
 def sum_map(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Map column summed by key. Entries are exploded, so no group of any size is collected before it is aggregated."""
-    each = rows.select(*keys, F.explode(column).alias("k", "v")).groupBy(*keys, "k").agg(saturating_sum("v").alias("v"))
-    return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
+    each = rows.select(*keys, F.explode(column).alias("__k", "__v")).groupBy(*keys, "__k").agg(saturating_sum("__v").alias("__v"))
+    return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v")))).alias(column))
 
 
 def edit_buckets(edits: DataFrame) -> DataFrame:
