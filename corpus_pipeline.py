@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm import decontaminate, langid, mixing, secrets, simhash
 from tallyloom.llm.common import fold, stored, table
 
-#: A text goes if its runner-up language needs no more than this share of bytes more: undecided, as texts without a letter are.
-LEAST_MARGIN = 0.001
+#: A text goes if its runner-up language needs no more than this share of bytes more: it is undecided, as texts without a letter are.
+LEAST_MARGIN = 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

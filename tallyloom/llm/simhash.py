@@ -5,23 +5,27 @@ counts of their four 16-bit quarters: when two fingerprints differ in at most r
 counts differ by at most r in sum, so tile pairs further apart are skipped and nothing is lost.
 Tiles that are left are compared whole with numpy exclusive-or and bit counts. A tile
 pair returns a spanning forest of its links, never all of its pairs.
+
+Groups by shingle similarity use the same comparison with a wider radius on fingerprints, in tiles of like population count and size, and
+verify the links that span a group on the texts.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .components import connected_components
 
-QUARTERS, SIDE = 4, 17
 CHUNK = 1 << 15
 
 
@@ -59,80 +63,109 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def forest(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions in ``values``) reduced to one edge per member: member, root."""
-    label = np.arange(len(values))
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Positions of the links that make a minimum spanning forest of n members: every group stays whole, with its closest pairs."""
+    label, at, chosen = np.arange(n), np.arange(len(a)), []
     while True:
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        np.minimum.at(low, b, label[a])
-        low = low[low]
-        if np.array_equal(low, label):
-            break
-        label = low
-    member = np.nonzero(label != np.arange(len(values)))[0]
-    return values[member], values[label[member]]
-
-
-def compare(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All links between two tiles, as a forest of (member, root)."""
+        apart = label[a[at]] != label[b[at]]
+        at = at[apart]
+        if not len(at):
+            return np.concatenate(chosen) if chosen else at
+        key = weight[at].astype(np.int64) * len(a) + at
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, label[a[at]], key)
+        np.minimum.at(best, label[b[at]], key)
+        picked = np.unique(best[best < np.iinfo(np.int64).max]) % len(a)
+        chosen.append(picked)
+        while True:  # members of joined groups take the smallest label
+            low = label.copy()
+            for x, y in ((a, b), (b, a)):
+                np.minimum.at(low, label[x[picked]], label[y[picked]])
+            low = low[low[label]]
+            if np.array_equal(low, label):
+                break
+            label = low
+
+
+def compare(left: np.ndarray, right: np.ndarray, radius: int, same: bool, sizes: tuple[np.ndarray, np.ndarray] | None = None, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in left, in right) of a spanning forest of all links between two tiles; with sizes, the smaller must be ``ratio`` of the larger."""
     rows, found = max(1, (1 << 20) // max(1, len(right))), []
     for k in range(0, len(left), rows):
-        near = np.bitwise_count(left[k : k + rows, None] ^ right[None, :]) <= radius
-        i, j = np.nonzero(near)
-        found.append((i + k, j))
-    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
-    if same:
-        i, j = i[i < j], j[i < j]
-        return forest(left, i, j)
-    return forest(np.concatenate([left, right]), i, j + len(left))
-
-
-def near_links(distinct: DataFrame, radius: int = 2, tile_size: int = 1024) -> DataFrame:
-    """``(a, b)`` links that span every group of the fingerprints in column ``fp`` (distinct longs)."""
-    spark = distinct.sparkSession
-    quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(0xFFFF)) for q in range(QUARTERS)]
-    placed = distinct.select("fp", sum((quarter[q] * SIDE**q for q in range(1, QUARTERS)), quarter[0]).cast("int").alias("cell"))
-    # 17^4 cells at most, whatever the input: small enough to broadcast
+        bits = np.bitwise_count(left[k : k + rows, None] ^ right[None, :])
+        i, j = np.nonzero(bits <= radius)
+        found.append((i + k, j, bits[i, j]))
+    i, j, w = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint8))
+    good = i < j if same else np.ones(len(i), bool)
+    if sizes is not None:
+        x, y = sizes[0][i], sizes[1][j]
+        good &= np.minimum(x, y) >= ratio * np.maximum(x, y)
+    i, j, w = i[good], j[good], w[good]
+    kept = spanning(len(left) if same else len(left) + len(right), i, j if same else j + len(left), w)
+    return i[kept], j[kept]
+
+
+class Layout(NamedTuple):
+    """Cells of the tiles: coordinates with their number of values, and the moves that lead to cells in which a link can end."""
+
+    coordinates: list[Column]
+    sides: list[int]
+    moves: list[tuple[int, ...]]
+
+
+def by_quarters(radius: int) -> Layout:
+    """Population counts of the four 16-bit quarters; they differ by at most the radius in sum."""
+    quarters = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(0xFFFF)) for q in range(4)]
+    steps = itertools.product(range(-radius, radius + 1), repeat=4)
+    return Layout(quarters, [17] * 4, [d for d in steps if sum(map(abs, d)) <= radius])
+
+
+def by_size(radius: int, ratio: float) -> Layout:
+    """Population count, and the size on a scale whose step is the ratio: similar sets lie in the same step or in neighbouring ones."""
+    step = F.least(F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(ratio)), F.lit(199)).cast("int")
+    return Layout([F.bit_count("fp"), step], [65, 200], list(itertools.product(range(-radius, radius + 1), (-1, 0, 1))))
+
+
+def near_links(nodes: DataFrame, radius: int = 2, tile_size: int = 1024, layout: Layout | None = None, ratio: float = 0.0) -> DataFrame:
+    """``(a, b)``: links that span every group of ``nodes(node, fp, size)``; each is a pair within the radius. ``node`` is unique."""
+    spark = nodes.sparkSession
+    layout = layout or by_quarters(radius)
+    scale = [math.prod(layout.sides[:q]) for q in range(len(layout.sides))]
+    cell = sum((c * k for c, k in zip(layout.coordinates[1:], scale[1:])), layout.coordinates[0])
+    placed = nodes.select("node", "fp", "size", cell.cast("int").alias("cell"))
+    # at most 17^4 or 65 x 200 cells, whatever the input: small enough to broadcast
     sizes = stored(placed.groupBy("cell").agg(F.ceil(F.count("*") / tile_size).cast("int").alias("n_tiles")), "cells")
     tiles = (
         placed.join(F.broadcast(sizes), "cell")
-        .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("n_tiles")).cast("int"))
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles")).cast("int"))
         .groupBy("cell", "tile")
-        .agg(F.collect_list("fp").alias("fps"))
+        .agg(F.collect_list(F.struct("node", "fp", "size")).alias("m"))
+        .select("cell", "tile", *[F.col(f"m.{c}").alias(c) for c in ("node", "fp", "size")])
     )
     tiles = stored(tiles, "tiles")
-    steps = [d for d in itertools.product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, d)) <= radius]
-    ahead = [d for d in steps if sum(x * SIDE**q for q, x in enumerate(d)) >= 0]
-    moves = spark.createDataFrame(
-        [(sum(x * SIDE**q for q, x in enumerate(d)), *d) for d in ahead],
-        "move int, " + ", ".join(f"m{q} int" for q in range(QUARTERS)),
-    )
+    ahead = [(sum(x * k for x, k in zip(d, scale)), *d) for d in layout.moves if sum(x * k for x, k in zip(d, scale)) >= 0]
+    moves = spark.createDataFrame(ahead, "move int, " + ", ".join(f"m{q} int" for q in range(len(scale))))
     inside = F.lit(True)
-    for q in range(QUARTERS):
-        inside &= (F.floor(F.col("cell") / SIDE**q) % SIDE + F.col(f"m{q}")).between(0, SIDE - 1)
-    cell_pairs = (
-        sizes.select("cell").hint("broadcast").join(moves, inside).select("cell", (F.col("cell") + F.col("move")).alias("other"))
-    )
+    for q, (k, side) in enumerate(zip(scale, layout.sides)):
+        inside &= (F.floor(F.col("cell") / k) % side + F.col(f"m{q}")).between(0, side - 1)
+    cell_pairs = sizes.select("cell").hint("broadcast").join(moves, inside).select("cell", (F.col("cell") + F.col("move")).alias("other"))
     cell_pairs = cell_pairs.join(F.broadcast(sizes.select(F.col("cell").alias("other"), "n_tiles")), "other")
     left = (
         tiles.join(F.broadcast(stored(cell_pairs, "cell_pairs")), "cell")
-        .select("cell", "tile", "fps", "other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("other_tile"))
+        .select("cell", "tile", "node", "fp", "size", "other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("other_tile"))
         .where("cell <> other or tile <= other_tile")
     )
-    right = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("other_tile"), F.col("fps").alias("other_fps"))
-    pairs = left.join(right.hint("shuffle_hash"), ["other", "other_tile"]).select(
-        "fps", "other_fps", ((F.col("cell") == F.col("other")) & (F.col("tile") == F.col("other_tile"))).alias("same")
-    )
+    right = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("other_tile"), *[F.col(c).alias(f"other_{c}") for c in ("node", "fp", "size")])
+    same = (F.col("cell") == F.col("other")) & (F.col("tile") == F.col("other_tile"))
+    pairs = left.join(right.hint("shuffle_hash"), ["other", "other_tile"]).select("fp", "other_fp", "node", "other_node", "size", "other_size", same.alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, same = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            out = [
-                compare(a[k].values.to_numpy().view("u8"), b[k].values.to_numpy().view("u8"), radius, same[k])
-                for k in range(batch.num_rows)
-            ]
-            x, y = (np.concatenate([o[s] for o in out]).view("i8") if out else np.zeros(0, "i8") for s in (0, 1))
+            out = []
+            for k in range(batch.num_rows):
+                fp, other_fp, node, other_node, size, other_size = (batch.column(c)[k].values.to_numpy() for c in range(6))
+                i, j = compare(fp.view("u8"), other_fp.view("u8"), radius, batch.column(6)[k].as_py(), (size, other_size) if ratio else None, ratio)
+                out.append((node[i], other_node[j]))
+            x, y = (np.concatenate([o[s] for o in out]) if out else np.zeros(0, "i8") for s in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -155,7 +188,8 @@ def near_duplicates(
     """
     prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    roots = connected_components(near_links(distinct.select("fp"), radius, tile_size))
+    nodes = distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("size"))
+    roots = connected_components(near_links(nodes, radius, tile_size))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
@@ -167,12 +201,59 @@ def near_duplicates(
     )
 
 
+def shingle_set(text: str | None, width: int) -> set[int]:
+    words = (text or "").encode().lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[k : k + width])) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def similarity(a: str | None, b: str | None, width: int) -> float:
+    """Shared over all shingles of two texts; two texts without words are alike."""
+    x, y = shingle_set(a, width), shingle_set(b, width)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 13, sketch_width: int = 3, tile_size: int = 1024, broadcast_keys: int = 500_000) -> DataFrame:
+    """``(id_col, row_key, component_id)`` per row: texts whose sets of ``width``-word shingles share ``least`` or more are linked.
+
+    Fingerprints of ``sketch_width``-word shingles within ``radius`` bits are candidates; each link is verified on the whole texts. Only tiles of
+    like population count and size are compared. Equal texts are one node. Ids as in ``near_duplicates``.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fp = np.array([simhash(t, sketch_width) for t in texts], "u8").view("i8")
+            sizes = [len(shingle_set(t, width)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(sizes, pa.int32())], ["id", "row_key", "fp", "size"])
+
+    prints = stored(rows.mapInArrow(sketch, "id long, row_key long, fp long, size int"), "sketches")
+    nodes = stored(prints.groupBy(F.col("row_key").alias("node")).agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("id").alias("low")), "nodes")
+    pairs = stored(near_links(nodes.select("node", "fp", "size"), radius, tile_size, by_size(radius, least), least).distinct(), "candidates")
+    keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("row_key")).distinct(), "keys")
+    wanted = F.broadcast(keys) if keys.count() <= broadcast_keys else keys
+    texts = stored(rows.join(wanted, "row_key").groupBy("row_key").agg(F.first("text").alias("text")), "texts")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([similarity(x, y, width) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())).select(["a", "b"])
+
+    both = pairs.join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("at")), "a").join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("bt")), "b")
+    links = both.select("a", "b", "at", "bt").mapInArrow(alike, "a long, b long")
+    roots = connected_components(links)
+    named = stored(nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "named")
+    lows = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    classes = stored(named.join(lows, "root").select(F.col("node").alias("row_key"), "component_id"), "classes")
+    return prints.join(classes, "row_key").select(F.col("id").alias(id_col), "row_key", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id. Columns stay as they are.
+    """``docs`` with one document of each group of similar texts: that with the smallest id. Columns stay as they are.
 
     A row without an id goes if its group has an id, else it stays. Rows that repeat id and text stay once.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, **how), "near_duplicates")
+    found = stored(similar_groups(docs, id_col, text_col, **how), "near_duplicates")
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("row_key").alias("__key")).distinct()
     same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__key"))
     left = docs.join(gone, same, "left_anti")
