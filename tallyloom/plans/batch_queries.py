@@ -107,10 +107,10 @@ def a09(spark, d):
 
 def edits(spark, d):
     u = usage_rows(spark, d)
-    return u.where("n % 4 = 1").select(F.concat(F.lit("t"), F.floor(F.col("n") / 8)).alias("tool_use_id"), "source", "model", "project", "ts_ms", (F.col("k") * 25).alias("added"), F.col("k").alias("deleted"), "file_id", "hostname", (F.col("n") % 3).cast("int").alias("tier"), "n")
+    return u.select(F.concat(F.lit("t"), F.floor(F.col("n") / 2)).alias("tool_use_id"), "source", "model", "project", "ts_ms", (F.col("k") * 25).alias("added"), F.col("k").alias("deleted"), "file_id", "hostname", (F.col("n") % 3).cast("int").alias("tier"), "n")
 
 
-EDITS = f"""{USAGE}, edits AS (SELECT 't'||(n//8) AS tool_use_id, source, model, project, ts_ms, k*25 AS added, k AS deleted, file_id, hostname, CAST(n%3 AS INT) AS tier, n FROM usage WHERE n%4=1),
+EDITS = f"""{USAGE}, edits AS (SELECT 't'||(n//2) AS tool_use_id, source, model, project, ts_ms, k*25 AS added, k AS deleted, file_id, hostname, CAST(n%3 AS INT) AS tier, n FROM usage),
  own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool_use_id ORDER BY tier DESC, ts_ms, file_id) AS rn FROM edits) WHERE rn=1)"""
 EDIT_BUCKETS = f"""{EDITS}, eb AS (SELECT source, model, project, ts_ms//1800000*1800000 AS bucket_start_ms, CAST(sum(CASE WHEN added+deleted>2000 THEN 0 ELSE added END) AS BIGINT) AS lines_added,
  CAST(sum(CASE WHEN added+deleted>2000 THEN 0 ELSE deleted END) AS BIGINT) AS lines_deleted FROM own GROUP BY ALL)"""
@@ -130,13 +130,13 @@ def a10(spark, d):
     return usage.edit_buckets(edit_dedup(edits(spark, d)))
 
 
-@query("j16_buckets_with_edits", f"""WITH {EDIT_BUCKETS}, tb AS (SELECT source, model, project, ts_ms//1800000*1800000 AS bucket_start_ms, {SUMS} FROM usage WHERE n%2=0 GROUP BY ALL)
+@query("j16_buckets_with_edits", f"""WITH {EDIT_BUCKETS}, tb AS (SELECT source, model, project, ts_ms//1800000*1800000 AS bucket_start_ms, {SUMS} FROM usage GROUP BY ALL)
  SELECT source, model, project, bucket_start_ms, {', '.join(f'coalesce({c},0) AS {c}' for c in [*COUNTS, 'total', 'lines_added', 'lines_deleted'])}, coalesce(lines_added-lines_deleted,0) AS lines_net,
  CAST(CASE WHEN source='src1' OR lines_added IS NOT NULL THEN 2 ELSE 0 END AS INT) AS code_metric_version FROM tb FULL JOIN eb USING (source, model, project, bucket_start_ms)""")
 def j16(spark, d):
     from tallyloom.operators.dedup import edit_dedup
 
-    tokens = usage.bucket_tokens(usage_rows(spark, d).where("n % 2 = 0"))
+    tokens = usage.bucket_tokens(usage_rows(spark, d))
     measured = spark.createDataFrame([("src1",)], "source string")
     return usage.buckets_with_edits(tokens, usage.edit_buckets(edit_dedup(edits(spark, d))), measured)
 
@@ -212,12 +212,12 @@ def a24(spark, d):
     return incremental.high_watermarks(versioned(spark, d), s)
 
 
-@query("m11_batch_chunks", f"""WITH {USAGE}, b AS (SELECT (row_number() OVER (ORDER BY n)-1)//70 AS batch FROM usage WHERE n<500), s AS (SELECT (row_number() OVER (ORDER BY n)-1)//40 AS batch FROM usage WHERE n<300),
+@query("m11_batch_chunks", f"""WITH {USAGE}, b AS (SELECT (row_number() OVER (ORDER BY n)-1)//70 AS batch FROM usage), s AS (SELECT (row_number() OVER (ORDER BY n)-1)//40 AS batch FROM usage),
  x AS (SELECT batch, count(*) AS buckets FROM b GROUP BY 1), y AS (SELECT batch, count(*) AS sessions FROM s GROUP BY 1)
  SELECT CAST(batch AS BIGINT) AS batch, coalesce(buckets,0) AS buckets, coalesce(sessions,0) AS sessions FROM x FULL JOIN y USING (batch)""")
 def m11(spark, d):
     u = usage_rows(spark, d)
-    return incremental.batches(u.where("n < 500"), u.where("n < 300"), ["n"], ["n"], 70, 40)
+    return incremental.batches(u, u, ["n"], ["n"], 70, 40)
 
 
 @query("d08_natural_key_guard", f"WITH {USAGE} SELECT source, model, project, count(*) AS copies FROM usage GROUP BY 1,2,3 HAVING count(*)>1")

@@ -10,13 +10,13 @@ from tallyloom.plans.catalogue import query
 from tallyloom.plans.tables import USAGE
 from tallyloom.plans.tables import usage as usage_rows
 
-# -- rates: every 7th event is a tick, k is an interval's length in seconds ----------------------
+# -- rates: every event is a tick and ends an interval of k seconds ------------------------------
 
-RATE = f"{USAGE}, ticks AS (SELECT ts_us AS tick_us FROM usage WHERE n%7=0), iv AS (SELECT n AS interval_id, ts_us-k*1000000 AS start_us, ts_us AS end_us, input AS tokens, model FROM usage WHERE input>0)"
+RATE = f"{USAGE}, ticks AS (SELECT DISTINCT ts_us AS tick_us FROM usage), iv AS (SELECT n AS interval_id, ts_us-k*1000000 AS start_us, ts_us AS end_us, input AS tokens, model FROM usage WHERE input>0)"
 
 
 def ticks(spark, d) -> DataFrame:
-    return usage_rows(spark, d).where("n % 7 = 0").select(F.col("ts_us").alias("tick_us"))
+    return usage_rows(spark, d).select(F.col("ts_us").alias("tick_us")).distinct()
 
 
 def intervals(spark, d) -> DataFrame:
@@ -57,13 +57,13 @@ def j10(spark, d):
 
 
 _W = _overlap_sql(180, 5, "tick_us")
-_STATE = f"""{RATE}, w AS (WITH {_W}), s AS (SELECT tick_us, (SELECT max(ts_us) FROM usage u WHERE u.ts_us<=ticks.tick_us AND u.n%3=0) AS latest_us FROM ticks),
+_STATE = f"""{RATE}, w AS (WITH {_W}), s AS (SELECT tick_us, sig.at AS latest_us FROM ticks ASOF LEFT JOIN (SELECT DISTINCT ts_us-400000000*(n%2) AS at FROM usage) sig ON ticks.tick_us>=sig.at),
  st AS (SELECT s.tick_us, latest_us, coalesce(tokens,0) AS tokens_180, CASE WHEN latest_us IS NULL THEN 'no_data' WHEN s.tick_us-latest_us>300000000 THEN 'stale' WHEN coalesce(tokens,0)>0 THEN 'live' ELSE 'zero' END AS state FROM s LEFT JOIN w ON s.tick_us=w.tick_us)"""
 
 
 @query("t15_rate_state", f"WITH {_STATE} SELECT tick_us, state, CASE WHEN state IN ('live','zero') THEN round(tokens_180/180,6) END AS tps FROM st")
 def t15(spark, d):
-    signals = usage_rows(spark, d).where("n % 3 = 0").select(F.col("ts_us").alias("signal_us"))
+    signals = usage_rows(spark, d).select((F.col("ts_us") - 400_000_000 * (F.col("n") % 2)).alias("signal_us"))
     out = rate.live_samples(ticks(spark, d), intervals(spark, d), signals)
     return out.select("tick_us", "state", F.round("tps", 6).alias("tps"))
 
