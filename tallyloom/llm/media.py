@@ -100,7 +100,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     parts is the ordered chunk list; bytes is null where another row keeps that chunk, ``missing`` counts those. ``salts`` is 0 for a chunk that occurs once, else the number of
     keys over which its readers are spread. Null texts are empty; rows with null ids and repeated rows are
-    stored like others. Above ``broadcast_rows`` rows with shared chunks, their marks are joined by a shuffle and not by broadcast.
+    stored like others. Above ``broadcast_rows`` rows and marks of shared chunks, they are joined by a shuffle and not by broadcast.
     """
     rows = _rows(docs, id_col, text_col)
 
@@ -117,7 +117,8 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = F.struct("id", "th", "seq").eqNullSafe(F.col("owner"))
     marks = each.join(shared, "digest").groupBy("id", "th").agg(F.collect_set(F.struct("seq", own.alias("keeps"), "salts")).alias("marks"))
     marks = stored(marks.select(F.col("id").alias("mid"), F.col("th").alias("mth"), "marks"), "marks")
-    side = F.broadcast(marks) if marks.count() <= broadcast_rows else marks.hint("merge")
+    size = marks.agg(F.count("*") + F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
+    side = F.broadcast(marks) if size <= broadcast_rows else marks.hint("merge")
     joined = rows.join(side, F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")), "left").select("id", "text", "marks")
     kind = pa.list_(pa.struct([("digest", pa.binary()), ("len", pa.int32()), ("salts", pa.int32()), ("bytes", pa.binary())]))
 
