@@ -26,7 +26,8 @@ UNITS = frozenset(
 )
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
 ENDS = frozenset(".!?:\n")
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
+PLACEHOLDERS = NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
+PLACES = {"": 0, NUMBER: 1, NAME: 2, UNIT: 3}
 LEAST_LITERAL = 4  # words other than placeholders that a window must have
 FORMS = ("template", "plain")
 _ODD = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)]
@@ -86,7 +87,7 @@ class Index(NamedTuple):
 
 def item_index(items: list[tuple[int, str]], width: int) -> Index:
     """Windows of the items that have at least four words; items shorter than ``width`` are one window."""
-    rows, sizes, codes, hashes = [], [], {p: code(p) for p in (NUMBER, NAME, UNIT)}, {}
+    rows, sizes, codes, hashes = [], [], {p: code(p) for p in PLACEHOLDERS}, {}
     for item_id, text in items:
         words, kinds = canonical(text)
         own = min(width, len(words))
@@ -109,10 +110,9 @@ def matches(text: str | None, index: Index) -> list[tuple[str, int, int, list[tu
     words, kinds = canonical(text)
     get, out = index.codes.get, []
     plain = np.array([get(w, 0) for w in words], np.uint64)
-    literal = np.array([not k for k in kinds], bool)
-    typed = plain.copy()
-    for p in (NUMBER, NAME, UNIT):
-        typed[[i for i, k in enumerate(kinds) if k == p]] = index.codes[p]
+    kind = np.fromiter(map(PLACES.__getitem__, kinds), np.int8, len(kinds))
+    literal = kind == 0
+    typed = np.where(literal, plain, np.array([0, *(index.codes[p] for p in PLACEHOLDERS)], np.uint64)[kind])
     for form, codes, own in (("template", typed, literal), ("plain", plain, np.ones(len(words), bool))):
         for width, wanted in index.hashes.items():
             at, h = windows(codes, own, width)
