@@ -117,3 +117,11 @@ def read_registry(spark: SparkSession, root: str) -> DataFrame:
 
 def variant_long(column: str, path: str):
     return coerce_long(F.col(column), path)
+
+
+REMOTE = "hostname string, buckets long, input long, output long, cached_input long, cache_creation long, reasoning long, upstream_total long, first_bucket_ms long, last_bucket_ms long"
+
+
+def read_remote_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The other side's control totals, one JSON object per host; what ``operators.usage.reconcile`` compares with."""
+    return spark.read.schema(REMOTE).option("multiLine", "true").json(path).where(F.col("hostname").isNotNull())

@@ -368,6 +368,13 @@ def test_store_replaces_files_atomically(spark, tmp_path):
     assert [r["total"] for r in store.read_network().collect()] == [9]
 
 
+def test_remote_totals(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"hostname": "h", "buckets": 2, "output": 5, "more": 1}, {"buckets": 9}]')
+    got = L.read_remote_totals(spark, str(tmp_path / "r.json"))
+    assert [(r["hostname"], r["buckets"], r["input"]) for r in got.collect()] == [("h", 2, None)]
+    assert set(usage.RECONCILED) < set(got.columns)
+
+
 def test_report_lines(spark):
     local = spark.createDataFrame([("h", 1, 2)], "hostname string, buckets long, output long")
     c = usage.reconcile(local, local.withColumn("output", F.lit(3)), ["buckets", "output"])
