@@ -9,17 +9,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names no such folder (local tests) one is made in the
-    machine's temp folder.
+    Only where the session names no such folder (local tests) one is made in the machine's temp folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/corpus-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in shared storage."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Deletes what this application has stored between steps. Call it once all results are written: lazy results read from there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -475,3 +475,12 @@ def test_pipeline_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     assert len({r["position"] for r in out}) == len(out) == len(kept)
     first = corpus_pipeline.language_id(spark, frame(spark, rows), str(tmp_path))
     assert first.columns == [c.split()[0] for c in DOCS.split(", ")]
+
+
+def test_shared_storage_can_be_dropped(spark):
+    from tallyloom.llm import common
+
+    kept = common.stored(spark.range(3).toDF("n"), "rows")
+    assert kept.count() == 3 and common.shared_dir(spark, "x") != common.shared_dir(spark, "x")
+    common.drop_shared(spark)
+    assert not spark._jvm.org.apache.hadoop.fs.Path(common.shared_root(spark)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(common.shared_root(spark)))
