@@ -6,8 +6,8 @@ counts differ by at most r in sum, so tile pairs further apart are skipped and n
 Tiles that are left are compared whole with numpy exclusive-or and bit counts. A tile
 pair returns a spanning forest of its links, never all of its pairs.
 
-Groups by shingle similarity use the same comparison with a wider radius on fingerprints, in tiles of like population count and size, and
-verify the links that span a group on the texts.
+Groups by shingle similarity use the same comparison with a wider radius on fingerprints, in tiles of like population count and size, to
+find the parts that candidates join. Candidates of a part are verified on the texts before any is left out.
 """
 
 from __future__ import annotations
@@ -212,11 +212,93 @@ def similarity(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def verified_pairs(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, texts: list[str | None], radius: int, least: float, width: int) -> list[tuple[int, int]]:
+    """Links that span every group of similar texts: candidates, closest fingerprints first, are checked on the texts before one is left out, and
+    left out only where verified links already join their ends. With two sides only pairs across them count."""
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = np.sort(np.fromiter(shingle_set(texts[k], width), "u8"))
+        return sets[k]
+
+    ends = (np.flatnonzero(sides == sides.min()), np.flatnonzero(sides == sides.max()))
+    one, found = sides.min() == sides.max(), []
+    step = max(1, (1 << 20) // len(ends[1]))
+    for k in range(0, len(ends[0]), step):
+        i, j = ends[0][k : k + step], ends[1]
+        bits = np.bitwise_count(fps[i][:, None] ^ fps[j][None, :])
+        good = (bits <= radius) & (np.minimum(sizes[i][:, None], sizes[j][None, :]) >= least * np.maximum(sizes[i][:, None], sizes[j][None, :]))
+        if one:
+            good &= i[:, None] < j[None, :]
+        x, y = np.nonzero(good)
+        found.append((i[x], j[y], bits[x, y]))
+    a, b, bits = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((nodes[b], nodes[a], bits))
+    up, links = list(range(len(nodes))), []
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        r, s = x, y
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        while up[s] != s:
+            up[s] = s = up[up[s]]
+        if r == s:
+            continue
+        p, q = shingles(x), shingles(y)
+        shared = len(np.intersect1d(p, q, assume_unique=True))
+        if not len(p) + len(q) or shared / (len(p) + len(q) - shared) >= least:
+            up[max(r, s)] = min(r, s)
+            links.append((int(nodes[x]), int(nodes[y])))
+    return links
+
+
+def verified_links(members: DataFrame, radius: int, least: float, width: int, block: int = 64, most_blocks: int = 16, largest: int = 4096) -> DataFrame:
+    """``(a, b)``: links that span every group of similar texts in ``members(node, fp, size, part, text)``.
+
+    A candidate never leaves its part. A part is dealt into blocks (of ``block`` members, larger ones from ``most_blocks`` on, up to
+    ``largest``), and every pair of blocks is compared whole, so that no part has to fit into one task.
+    """
+    counted = stored(members.groupBy("part").agg(F.count("*").alias("n")), "part_sizes")
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(most_blocks)), F.ceil(F.col("n") / largest)).cast("int")
+    dealt = members.join(counted.select("part", blocks.alias("n_blocks")), "part").withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    key = ["part", "low_block", "high_block"]
+    dealt = dealt.select("part", F.least("side", "other").alias("low_block"), F.greatest("side", "other").alias("high_block"), "side", "node", "fp", "size", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(pieces)
+            x = {c: t.column(c).to_numpy() for c in ("node", "fp", "size", "side")}
+            lone = t.column(1)[0].as_py() != t.column(2)[0].as_py() and x["side"].min() == x["side"].max()  # a block whose partner is empty
+            links = [] if lone else verified_pairs(x["node"], x["fp"].view("u8"), x["size"], x["side"], t.column("text").to_pylist(), radius, least, width)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held, last = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if held and keys[at] != last:
+                    yield whole(held)
+                    held = []
+                last = keys[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield whole(held)
+
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 13, sketch_width: int = 3, tile_size: int = 1024, broadcast_keys: int = 500_000) -> DataFrame:
     """``(id_col, row_key, component_id)`` per row: texts whose sets of ``width``-word shingles share ``least`` or more are linked.
 
-    Fingerprints of ``sketch_width``-word shingles within ``radius`` bits are candidates; each link is verified on the whole texts. Only tiles of
-    like population count and size are compared. Equal texts are one node. Ids as in ``near_duplicates``.
+    Fingerprints of ``sketch_width``-word shingles within ``radius`` bits are candidates. Tiles of like population count and size give the parts that
+    candidates join; within a part each candidate is checked on the whole texts, unless checked links join its ends already. Equal texts
+    are one node. Ids as in ``near_duplicates``.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
@@ -231,16 +313,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = stored(rows.mapInArrow(sketch, "id long, row_key long, fp long, size int"), "sketches")
     nodes = stored(prints.groupBy(F.col("row_key").alias("node")).agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("id").alias("low")), "nodes")
     pairs = stored(near_links(nodes.select("node", "fp", "size"), radius, tile_size, by_size(radius, least), least).distinct(), "candidates")
-    keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("row_key")).distinct(), "keys")
-    wanted = F.broadcast(keys) if keys.count() <= broadcast_keys else keys
-    texts = stored(rows.join(wanted, "row_key").groupBy("row_key").agg(F.first("text").alias("text")), "texts")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([similarity(x, y, width) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())).select(["a", "b"])
-
-    both = pairs.join(texts.select(F.col("row_key").alias("a"), F.col("text").alias("at")), "a").join(texts.select(F.col("row_key").alias("b"), F.col("text").alias("bt")), "b")
-    links = both.select("a", "b", "at", "bt").mapInArrow(alike, "a long, b long")
+    parts = stored(connected_components(pairs).select("node", F.col("root").alias("part")), "parts")
+    wanted = parts.select(F.col("node").alias("row_key"))
+    wanted = F.broadcast(wanted) if parts.count() <= broadcast_keys else wanted
+    texts = stored(rows.join(wanted, "row_key").groupBy(F.col("row_key").alias("node")).agg(F.first("text").alias("text")), "texts")
+    links = stored(verified_links(nodes.join(parts, "node").join(texts, "node"), radius, least, width), "links")
     roots = connected_components(links)
     named = stored(nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "named")
     lows = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")

@@ -151,6 +151,49 @@ def test_similar_groups_equal_brute_force(spark):
     assert [got[r[0]] for r in rows] == wanted
 
 
+def family(radius=13):
+    """Texts A, B, C: B lies close to both in fingerprints but isn't similar to either, and A and C are similar with the most bits between."""
+    rng = random.Random(8)
+    while True:
+        w = words(rng, 80, 5000)
+        c = [*w[:-7], *words(rng, 7, 5000)]
+        a, c = " ".join(w), " ".join(c)
+        ac = (simhash.simhash(a) ^ simhash.simhash(c)).bit_count()
+        if ac > radius or simhash.similarity(a, c, 5) < 0.8:
+            continue
+        for _ in range(60):
+            v = list(w)
+            for k in rng.sample(range(4, 76), 4):
+                v[k] = f"new{rng.randrange(999)}"
+            b = " ".join(v)
+            ab, bc = ((simhash.simhash(b) ^ simhash.simhash(x)).bit_count() for x in (a, c))
+            if ab < ac and bc < ac and max(simhash.similarity(b, x, 5) for x in (a, c)) < 0.8:
+                return a, b, c
+
+
+def test_a_true_link_survives_shorter_candidates_that_fail(spark):
+    rows = [(k, t, "en", "s") for k, t in enumerate(family())]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_blocks_of_a_part_give_the_same_groups(spark):
+    rng = random.Random(4)
+    base, texts = words(rng, 60, 5000), []
+    for _ in range(70):
+        v = list(base)
+        for k in rng.sample(range(60), rng.randrange(1, 6)):
+            v[k] = f"new{rng.randrange(9999)}"
+        texts.append(" ".join(v))
+    members = [(k, simhash.simhash(t) - (1 << 64) if simhash.simhash(t) >> 63 else simhash.simhash(t), len(simhash.shingle_set(t, 5)), 0, t) for k, t in enumerate(texts)]
+    members = spark.createDataFrame(members, "node long, fp long, size int, part long, text string")
+    near = lambda a, b: (simhash.simhash(texts[a]) ^ simhash.simhash(texts[b])).bit_count() <= 13 and simhash.similarity(texts[a], texts[b], 5) >= 0.8
+    wanted = brute_groups(70, [p for p in itertools.combinations(range(70), 2) if near(*p)])
+    for block in (64, 9, 1):
+        links = simhash.verified_links(members, 13, 0.8, 5, block=block).collect()
+        assert brute_groups(70, [(r["a"], r["b"]) for r in links]) == wanted and len(set(wanted)) > 1
+
+
 def test_spanning_forest_keeps_groups_whole_with_their_closest_pairs():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 40, 120), rng.integers(0, 40, 120)
