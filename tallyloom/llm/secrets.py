@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 RUN = r"[A-Za-z0-9_+/\-]"
 # the first two look-behinds are cheap and turn almost every place away before the last one is tried
-ASSIGNED = r"(?<=[:=\s\x22'])(?<=[:=][\s\x22']{0,3})(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|access_key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22'#<>]{6,256}"
-CANDIDATE = rf"{ASSIGNED}|(?<!{RUN})(?=[A-Za-z_+/\-]{{0,200}}[0-9]){RUN}{{16,512}}={{0,2}}"
+ASSIGNED = r"(?<=[:=\s\x22'])(?<=[:=][\s\x22']{0,3})(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|access_key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22'#<>]{6,}+"
+CANDIDATE = rf"{ASSIGNED}|(?<!{RUN})(?=[A-Za-z_+/\-]*+[0-9]){RUN}{{16,}}+={{0,2}}"
 NEAR = 48  # characters of context kept on either side
 
 # Common words and word parts whose presence speaks against randomness.

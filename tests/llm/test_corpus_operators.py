@@ -279,6 +279,20 @@ def test_secrets_are_found_in_place_and_redacted(spark, forest):
     assert secrets.findings(frame(spark, []), forest).count() == 0
 
 
+def test_long_secrets_are_found_whole(spark, forest):
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    assigned, alone = draw(400), "sk-" + draw(697)
+    late = "sk-" + "".join(c for c in draw(400) if c.isalpha())[:250] + "7" + draw(150)
+    rows = [(1, f'token = "{assigned}" end', "en", "s"), (2, f"use {alone} here", "en", "s"), (3, f"token = \"{draw(40)}\" and {assigned}{draw(600)}== then", "en", "s")]
+    got = {r["doc_id"]: (r["start"], r["length"], r["value_sha256"]) for r in secrets.findings(frame(spark, rows[:2]), forest).collect()}
+    assert got == {1: (9, 400, hashlib.sha256(assigned.encode()).hexdigest()), 2: (4, 700, hashlib.sha256(alone.encode()).hexdigest())}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows), forest).collect()}
+    assert clean == {1: 'token = "[SECRET]" end', 2: "use [SECRET] here", 3: 'token = "[SECRET]" and [SECRET] then'}
+    found = secrets.candidates(frame(spark, [(1, f"x {late} y", "en", "s")])).select("found.value").first()[0]
+    assert found == [late]  # its first digit comes late
+
+
 def test_lm_base_equals_brute_force_and_model_is_better(spark, corpus):
     rng = random.Random(9)
     rows = [(i, " ".join(w for _ in range(30) for w in rng.choice(["the cat sat", "a dog ran off", "el perro come", "la casa"]).split()), "en", "s") for i in range(80)] + corpus[-8:] + corpus[:30]
