@@ -1,7 +1,7 @@
 """Licence scan over a positional index of rare template words.
 
 Document frequencies are counted over the whole table. Each template is indexed by its rarest words with their positions;
-a file's highest-IDF licence words are looked up there, postings are intersected by relative
+all of these words that a file holds are looked up there, postings are intersected by relative
 position (file position minus template position, give or take ``slack`` words), and a placement counts once one of the template's mandatory
 key phrases stands where the template has it.
 """
@@ -90,8 +90,8 @@ def places(words: list[bytes], where: dict[bytes, list[int]], phrase: list[bytes
 class Scanner:
     """Index of the templates, and the scan of one text."""
 
-    def __init__(self, templates: list[Template], idf: dict[bytes, float], base: list[tuple[list[bytes], str]], rare: int, lookups: int, slack: int, least: float):
-        self.templates, self.idf, self.base, self.lookups, self.slack, self.least = templates, idf, base, lookups, slack, least
+    def __init__(self, templates: list[Template], idf: dict[bytes, float], base: list[tuple[list[bytes], str]], rare: int, slack: int, least: float):
+        self.templates, self.idf, self.base, self.slack, self.least = templates, idf, base, slack, least
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.full: list[float] = []
         for t, template in enumerate(templates):
@@ -109,9 +109,8 @@ class Scanner:
             if w in self.watched:
                 where[w].append(i)
         hits = [(i, label) for phrase, label in self.base for i in places(words, where, phrase)]
-        rarest = sorted((w for w in where if w in self.postings), key=lambda w: (-self.idf[w], w))[: self.lookups]
         offsets: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
-        for w in rarest:
+        for w in self.postings.keys() & where.keys():  # all of them: a budget for the file would let one licence hide another
             for t, at in self.postings[w]:
                 offsets[t] += [(i - at, at, self.idf[w]) for i in where[w]]
         best: dict[str, float] = {}
@@ -152,13 +151,12 @@ def scan_licenses(
     templates: list[tuple[str, str, list[str]]] = TEMPLATES,
     base_phrases: list[tuple[str, str]] = BASE_PHRASES,
     rare: int = 12,
-    lookups: int = 24,
     slack: int = 3,
     least: float = 0.6,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``rare`` words index each template; a file's ``lookups`` highest-IDF licence words are looked up; ``least`` is the share of a
+    ``rare`` words index each template; all of them that a file holds are looked up; ``least`` is the share of a
     template's rare-word weight that must stand in place. Null and empty texts have no words and no
     labels, with score 0. Null ids and repeated rows are passed through. Ties in IDF go by the word's bytes.
     """
@@ -167,7 +165,7 @@ def scan_licenses(
     vocabulary = {w for t in ready for w in t.words}
     n, seen = document_frequencies(docs, vocabulary, text_col)
     idf = {w: math.log((n + 1) / (seen.get(w, 0) + 1)) + 1e-6 for w in vocabulary}
-    scanner = Scanner(ready, idf, base, rare, lookups, slack, least)
+    scanner = Scanner(ready, idf, base, rare, slack, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -482,6 +482,15 @@ def test_license_base_equals_brute_force(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_a_licence_does_not_hide_another(spark):
+    filler = lambda k: " ".join(f"f{k}x{j}" for j in range(400))
+    whole = " . ".join(f"{text} . {filler(k)}" for k, (_, text, _) in enumerate(licenses.TEMPLATES))
+    rows = [(1, whole, "en", "s")] + [(10 + k, text, "en", "s") for k, (_, text, _) in enumerate(licenses.TEMPLATES)] + [(100 + k, filler(k), "en", "s") for k in range(40)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert set(got[1].split(",")) == {label for label, _, _ in licenses.TEMPLATES}
+    assert all(label in got[10 + k].split(",") for k, (label, _, _) in enumerate(licenses.TEMPLATES))
+
+
 @pytest.mark.parametrize("shares", [{"a": 1}, {"a": 3, "b": 1}, {"a": 5, "b": 3, "c": 2, "d": 7}, {"a": 1, "b": 1, "c": 97}])
 def test_pfair_period_stays_within_one_block(shares):
     order, q = mixing.period_schedule(shares), sum(shares.values())
