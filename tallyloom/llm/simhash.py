@@ -6,8 +6,9 @@ counts differ by at most r in sum, so tile pairs further apart are skipped and n
 Tiles that are left are compared whole with numpy exclusive-or and bit counts. A tile
 pair returns a spanning forest of its links, never all of its pairs.
 
-Groups by shingle similarity use the same comparison with a wider radius on fingerprints, in tiles of like population count and size, to
-find the parts that candidates join. Candidates of a part are verified on the texts before any is left out.
+Groups by shingle similarity use the same comparison on 256-bit fingerprints of the distinct shingles, in tiles of like population count and
+size, to find the parts that candidates join: the first 64 bits within one radius, all of them within another. Candidates of a part are verified
+on the texts before any is left out.
 """
 
 from __future__ import annotations
@@ -87,20 +88,34 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nda
             label = low
 
 
-def compare(left: np.ndarray, right: np.ndarray, radius: int, same: bool, sizes: tuple[np.ndarray, np.ndarray] | None = None, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in left, in right) of a spanning forest of all links between two tiles; with sizes, the smaller must be ``ratio`` of the larger."""
-    rows, found = max(1, (1 << 20) // max(1, len(right))), []
-    for k in range(0, len(left), rows):
-        bits = np.bitwise_count(left[k : k + rows, None] ^ right[None, :])
+def close_pairs(left: np.ndarray, right: np.ndarray, radius: int, whole: int, same: bool, sizes: tuple[np.ndarray, np.ndarray] | None = None, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in left, in right and differing bits of all links between two tiles of shape (words of the fingerprint, members).
+
+    The first word differs in ``radius`` bits or fewer and all words in ``whole``; with sizes, the smaller is ``ratio`` of the larger at least.
+    """
+    rows, found = max(1, (1 << 20) // max(1, right.shape[1])), [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))]
+    for k in range(0, left.shape[1], rows):
+        bits = np.bitwise_count(left[0, k : k + rows, None] ^ right[0])
         i, j = np.nonzero(bits <= radius)
-        found.append((i + k, j, bits[i, j]))
-    i, j, w = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint8))
-    good = i < j if same else np.ones(len(i), bool)
-    if sizes is not None:
-        x, y = sizes[0][i], sizes[1][j]
-        good &= np.minimum(x, y) >= ratio * np.maximum(x, y)
-    i, j, w = i[good], j[good], w[good]
-    kept = spanning(len(left) if same else len(left) + len(right), i, j if same else j + len(left), w)
+        w, i = bits[i, j].astype(int), i + k
+        good = i < j if same else np.ones(len(i), bool)
+        if sizes is not None:
+            x, y = sizes[0][i], sizes[1][j]
+            good &= np.minimum(x, y) >= ratio * np.maximum(x, y)
+        i, j, w = i[good], j[good], w[good]
+        if len(left) > 1:
+            w = w + np.bitwise_count(left[1:, i] ^ right[1:, j]).sum(axis=0, dtype=int)
+            near = w <= whole
+            i, j, w = i[near], j[near], w[near]
+        found.append((i, j, w))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def compare(left: np.ndarray, right: np.ndarray, radius: int, whole: int, same: bool, sizes: tuple[np.ndarray, np.ndarray] | None = None, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in left, in right) of a spanning forest of all links between two tiles; see ``close_pairs``."""
+    i, j, w = close_pairs(left, right, radius, whole, same, sizes, ratio)
+    n = left.shape[1]
+    kept = spanning(n if same else n + right.shape[1], i, j if same else j + n, w)
     return i[kept], j[kept]
 
 
@@ -125,21 +140,25 @@ def by_size(radius: int, ratio: float) -> Layout:
     return Layout([F.bit_count("fp"), step], [65, 200], list(itertools.product(range(-radius, radius + 1), (-1, 0, 1))))
 
 
-def near_links(nodes: DataFrame, radius: int = 2, tile_size: int = 1024, layout: Layout | None = None, ratio: float = 0.0) -> DataFrame:
-    """``(a, b)``: links that span every group of ``nodes(node, fp, size)``; each is a pair within the radius. ``node`` is unique."""
+def near_links(nodes: DataFrame, radius: int = 2, tile_size: int = 1024, layout: Layout | None = None, ratio: float = 0.0, whole: int = 0) -> DataFrame:
+    """``(a, b)``: links that span every group of ``nodes(node, size, fp, ...)``; each is a pair within the radius. ``node`` is unique.
+
+    Further columns named fp1, fp2 and so on hold more bits; then all bits must differ in ``whole`` at most.
+    """
     spark = nodes.sparkSession
+    carried = ["node", "size", *sorted(c for c in nodes.columns if c.startswith("fp"))]
     layout = layout or by_quarters(radius)
     scale = [math.prod(layout.sides[:q]) for q in range(len(layout.sides))]
     cell = sum((c * k for c, k in zip(layout.coordinates[1:], scale[1:])), layout.coordinates[0])
-    placed = nodes.select("node", "fp", "size", cell.cast("int").alias("cell"))
+    placed = nodes.select(*carried, cell.cast("int").alias("cell"))
     # at most 17^4 or 65 x 200 cells, whatever the input: small enough to broadcast
     sizes = stored(placed.groupBy("cell").agg(F.ceil(F.count("*") / tile_size).cast("int").alias("n_tiles")), "cells")
     tiles = (
         placed.join(F.broadcast(sizes), "cell")
         .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles")).cast("int"))
         .groupBy("cell", "tile")
-        .agg(F.collect_list(F.struct("node", "fp", "size")).alias("m"))
-        .select("cell", "tile", *[F.col(f"m.{c}").alias(c) for c in ("node", "fp", "size")])
+        .agg(F.collect_list(F.struct(*carried)).alias("m"))
+        .select("cell", "tile", *[F.col(f"m.{c}").alias(c) for c in carried])
     )
     tiles = stored(tiles, "tiles")
     ahead = [(sum(x * k for x, k in zip(d, scale)), *d) for d in layout.moves if sum(x * k for x, k in zip(d, scale)) >= 0]
@@ -151,19 +170,20 @@ def near_links(nodes: DataFrame, radius: int = 2, tile_size: int = 1024, layout:
     cell_pairs = cell_pairs.join(F.broadcast(sizes.select(F.col("cell").alias("other"), "n_tiles")), "other")
     left = (
         tiles.join(F.broadcast(stored(cell_pairs, "cell_pairs")), "cell")
-        .select("cell", "tile", "node", "fp", "size", "other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("other_tile"))
+        .select("cell", "tile", *carried, "other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("other_tile"))
         .where("cell <> other or tile <= other_tile")
     )
-    right = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("other_tile"), *[F.col(c).alias(f"other_{c}") for c in ("node", "fp", "size")])
+    right = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("other_tile"), *[F.col(c).alias(f"other_{c}") for c in carried])
     same = (F.col("cell") == F.col("other")) & (F.col("tile") == F.col("other_tile"))
-    pairs = left.join(right.hint("shuffle_hash"), ["other", "other_tile"]).select("fp", "other_fp", "node", "other_node", "size", "other_size", same.alias("same"))
+    pairs = left.join(right.hint("shuffle_hash"), ["other", "other_tile"]).select(same.alias("same"), *carried, *[f"other_{c}" for c in carried])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                fp, other_fp, node, other_node, size, other_size = (batch.column(c)[k].values.to_numpy() for c in range(6))
-                i, j = compare(fp.view("u8"), other_fp.view("u8"), radius, batch.column(6)[k].as_py(), (size, other_size) if ratio else None, ratio)
+                parts = [c[k].values.to_numpy() for c in batch.columns[1:]]
+                (node, size, *fp), (other_node, other_size, *other_fp) = parts[: len(carried)], parts[len(carried) :]
+                i, j = compare(np.stack(fp).view("u8"), np.stack(other_fp).view("u8"), radius, whole, batch.column(0)[k].as_py(), (size, other_size) if ratio else None, ratio)
                 out.append((node[i], other_node[j]))
             x, y = (np.concatenate([o[s] for o in out]) if out else np.zeros(0, "i8") for s in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
@@ -212,9 +232,21 @@ def similarity(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def verified_pairs(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, texts: list[str | None], radius: int, least: float, width: int) -> list[tuple[int, int]]:
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Four unsigned 64-bit words, the 256-bit fingerprint of a set of XXH64 values; zero for the empty set."""
+    votes = np.zeros(256, np.int64)
+    for k in range(0, len(shingles), CHUNK):
+        h = shingles[k : k + CHUNK, None] + np.arange(4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+        votes += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 32), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(shingles), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def verified_pairs(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sides: np.ndarray, texts: list[str | None], radius: int, whole: int, least: float, width: int) -> list[tuple[int, int]]:
     """Links that span every group of similar texts: candidates, closest fingerprints first, are checked on the texts before one is left out, and
-    left out only where verified links already join their ends. With two sides only pairs across them count."""
+    left out only where verified links already join their ends. With two sides only pairs across them count. fps: (words, members)."""
     sets: dict[int, np.ndarray] = {}
 
     def shingles(k: int) -> np.ndarray:
@@ -222,18 +254,10 @@ def verified_pairs(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sides:
             sets[k] = np.sort(np.fromiter(shingle_set(texts[k], width), "u8"))
         return sets[k]
 
-    ends = (np.flatnonzero(sides == sides.min()), np.flatnonzero(sides == sides.max()))
-    one, found = sides.min() == sides.max(), []
-    step = max(1, (1 << 20) // len(ends[1]))
-    for k in range(0, len(ends[0]), step):
-        i, j = ends[0][k : k + step], ends[1]
-        bits = np.bitwise_count(fps[i][:, None] ^ fps[j][None, :])
-        good = (bits <= radius) & (np.minimum(sizes[i][:, None], sizes[j][None, :]) >= least * np.maximum(sizes[i][:, None], sizes[j][None, :]))
-        if one:
-            good &= i[:, None] < j[None, :]
-        x, y = np.nonzero(good)
-        found.append((i[x], j[y], bits[x, y]))
-    a, b, bits = (np.concatenate(x) for x in zip(*found))
+    one = sides.min() == sides.max()
+    x, y = (np.flatnonzero(sides == side) for side in (sides.min(), sides.max()))
+    i, j, bits = close_pairs(fps[:, x], fps[:, y], radius, whole, one, (sizes[x], sizes[y]), least)
+    a, b = x[i], y[j]
     order = np.lexsort((nodes[b], nodes[a], bits))
     up, links = list(range(len(nodes))), []
     for x, y in zip(a[order].tolist(), b[order].tolist()):
@@ -252,8 +276,8 @@ def verified_pairs(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sides:
     return links
 
 
-def verified_links(members: DataFrame, radius: int, least: float, width: int, block: int = 64, most_blocks: int = 16, largest: int = 4096) -> DataFrame:
-    """``(a, b)``: links that span every group of similar texts in ``members(node, fp, size, part, text)``.
+def verified_links(members: DataFrame, radius: int, whole: int, least: float, width: int, block: int = 64, most_blocks: int = 16, largest: int = 4096) -> DataFrame:
+    """``(a, b)``: links that span every group of similar texts in ``members(node, fp, fp1, fp2, fp3, size, part, text)``.
 
     A candidate never leaves its part. A part is dealt into blocks (of ``block`` members, larger ones from ``most_blocks`` on, up to
     ``largest``), and every pair of blocks is compared whole, so that no part has to fit into one task.
@@ -262,15 +286,15 @@ def verified_links(members: DataFrame, radius: int, least: float, width: int, bl
     blocks = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(most_blocks)), F.ceil(F.col("n") / largest)).cast("int")
     dealt = members.join(counted.select("part", blocks.alias("n_blocks")), "part").withColumn("side", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    key = ["part", "low_block", "high_block"]
-    dealt = dealt.select("part", F.least("side", "other").alias("low_block"), F.greatest("side", "other").alias("high_block"), "side", "node", "fp", "size", "text")
+    key, words = ["part", "low_block", "high_block"], ["fp", "fp1", "fp2", "fp3"]
+    dealt = dealt.select("part", F.least("side", "other").alias("low_block"), F.greatest("side", "other").alias("high_block"), "side", "node", *words, "size", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def linked(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(pieces)
-            x = {c: t.column(c).to_numpy() for c in ("node", "fp", "size", "side")}
+            x = {c: t.column(c).to_numpy() for c in ("node", *words, "size", "side")}
             lone = t.column(1)[0].as_py() != t.column(2)[0].as_py() and x["side"].min() == x["side"].max()  # a block whose partner is empty
-            links = [] if lone else verified_pairs(x["node"], x["fp"].view("u8"), x["size"], x["side"], t.column("text").to_pylist(), radius, least, width)
+            links = [] if lone else verified_pairs(x["node"], np.stack([x[c] for c in words]).view("u8"), x["size"], x["side"], t.column("text").to_pylist(), radius, whole, least, width)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held, last = [], None
@@ -282,42 +306,48 @@ def verified_links(members: DataFrame, radius: int, least: float, width: int, bl
                 while end < len(keys) and keys[end] == keys[at]:
                     end += 1
                 if held and keys[at] != last:
-                    yield whole(held)
+                    yield linked(held)
                     held = []
                 last = keys[at]
                 held.append(batch.slice(at, end - at))
                 at = end
         if held:
-            yield whole(held)
+            yield linked(held)
 
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 13, sketch_width: int = 3, tile_size: int = 1024, broadcast_keys: int = 500_000) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 24, whole: int = 84, tile_size: int = 1024, broadcast_keys: int = 500_000) -> DataFrame:
     """``(id_col, row_key, component_id)`` per row: texts whose sets of ``width``-word shingles share ``least`` or more are linked.
 
-    Fingerprints of ``sketch_width``-word shingles within ``radius`` bits are candidates. Tiles of like population count and size give the parts that
-    candidates join; within a part each candidate is checked on the whole texts, unless checked links join its ends already. Equal texts
-    are one node. Ids as in ``near_duplicates``.
+    Candidates are texts whose 256-bit fingerprints differ in ``whole`` bits or fewer, and in ``radius`` of the first 64. At a similarity of 0.8
+    about 39 and 10 bits differ, with deviations of 6 and 3 (48 and 12 for four or five shingles, the worst sizes), and of unrelated texts 128 and 32
+    with 8 and 4: so fewer than one link in ten thousand at the threshold is missed, and unrelated texts are no candidates. Tiles of like population
+    count and size give the parts that candidates join; within a part each candidate is checked on the whole texts, unless checked links join its
+    ends already. Equal texts are one node. Ids as in ``near_duplicates``.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            fp = np.array([simhash(t, sketch_width) for t in texts], "u8").view("i8")
-            sizes = [len(shingle_set(t, width)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(sizes, pa.int32())], ["id", "row_key", "fp", "size"])
-
-    prints = stored(rows.mapInArrow(sketch, "id long, row_key long, fp long, size int"), "sketches")
-    nodes = stored(prints.groupBy(F.col("row_key").alias("node")).agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("id").alias("low")), "nodes")
-    pairs = stored(near_links(nodes.select("node", "fp", "size"), radius, tile_size, by_size(radius, least), least).distinct(), "candidates")
+            sizes, words = [], np.zeros((b.num_rows, 4), np.uint64)
+            for k, t in enumerate(b.column(2).to_pylist()):
+                shingles = np.fromiter(shingle_set(t, width), np.uint64)
+                sizes.append(len(shingles))
+                words[k] = sketch(shingles)
+            fps = [pa.array(np.ascontiguousarray(words[:, q]).view("i8")) for q in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *fps, pa.array(sizes, pa.int32())], ["id", "row_key", "fp", "fp1", "fp2", "fp3", "size"])
+
+    prints = stored(rows.mapInArrow(describe, "id long, row_key long, fp long, fp1 long, fp2 long, fp3 long, size int"), "sketches")
+    words = ["fp", "fp1", "fp2", "fp3"]
+    nodes = stored(prints.groupBy(F.col("row_key").alias("node")).agg(*[F.min(c).alias(c) for c in (*words, "size")], F.min("id").alias("low")), "nodes")
+    pairs = stored(near_links(nodes.select("node", *words, "size"), radius, tile_size, by_size(radius, least), least, whole).distinct(), "candidates")
     parts = stored(connected_components(pairs).select("node", F.col("root").alias("part")), "parts")
     wanted = parts.select(F.col("node").alias("row_key"))
     wanted = F.broadcast(wanted) if parts.count() <= broadcast_keys else wanted
     texts = stored(rows.join(wanted, "row_key").groupBy(F.col("row_key").alias("node")).agg(F.first("text").alias("text")), "texts")
-    links = stored(verified_links(nodes.join(parts, "node").join(texts, "node"), radius, least, width), "links")
+    links = stored(verified_links(nodes.join(parts, "node").join(texts, "node"), radius, whole, least, width), "links")
     roots = connected_components(links)
     named = stored(nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "named")
     lows = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")

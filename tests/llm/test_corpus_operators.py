@@ -110,7 +110,7 @@ def test_components_of_chain_star_and_loops(spark):
 
 
 def test_drop_near_duplicates_keeps_one_of_each_group(spark, corpus):
-    kept = simhash.drop_near_duplicates(frame(spark, corpus), radius=20)
+    kept = simhash.drop_near_duplicates(frame(spark, corpus))
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
     wanted = set(brute_similar([r[0] for r in corpus], [r[1] for r in corpus]))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(wanted)
@@ -136,45 +136,58 @@ def brute_similar(ids, texts):
 
 
 def test_similar_groups_equal_brute_force(spark):
+    """With production parameters: replaced words, truncated and extended texts, repeated lines, few words."""
     rng = random.Random(21)
     rows = []
-    for i in range(40):
-        w = words(rng, rng.randrange(30, 250), 5000)
-        rows.append((i, " ".join(w), "en", "s"))
-        for c in range(i % 4):
-            v = list(w)
-            for _ in range(rng.randrange(1, 2 + len(w) // 40)):
-                v[rng.randrange(len(v))] = f"new{rng.randrange(999)}"
-            rows.append((100 + 4 * i + c, " ".join(v), "en", "s"))
+    for i in range(60):
+        w = words(rng, rng.choice([6, 9, 13, 30, 80, 250]), 5000)
+        rows.append((10 * i, " ".join(w), "en", "s"))
+        v = list(w)
+        for _ in range(rng.randrange(1, 2 + len(w) // 40)):
+            v[rng.randrange(len(v))] = f"new{rng.randrange(999)}"
+        cut = w[: max(5, round(len(w) * rng.uniform(0.78, 0.95)))]
+        copies = [v, cut, [*w, *words(rng, max(1, len(w) // 6), 5000)], [*w, *w[: len(w) // 2] * 4]]
+        rows += [(10 * i + c, " ".join(copy), "en", "s") for c, copy in enumerate(copies, 1)]
     wanted = brute_similar([r[0] for r in rows], [r[1] for r in rows])
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows), tile_size=16, radius=20).collect()}
-    assert [got[r[0]] for r in rows] == wanted
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows), tile_size=16).collect()}
+    assert [got[r[0]] for r in rows] == wanted and 60 < len(set(wanted)) < 250
+
+
+def bits(a, b):
+    x, y = (simhash.sketch(np.fromiter(simhash.shingle_set(t, 5), np.uint64)) for t in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def test_links_at_the_threshold_are_candidates():
+    """Similarities spread over 0.8 to 0.9 in many sizes, by replaced and by added shingles: all within the production radii."""
+    rng = np.random.default_rng(2)
+    missed = n = 0
+    for size in (4, 5, 8, 9, 10, 20, 40, 100, 400):
+        for _ in range(400):
+            shared = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            spare = int(size * (1 / rng.uniform(0.8, 0.9) - 1) + 1e-9)
+            one = rng.integers(0, spare + 1)
+            new = rng.integers(0, 1 << 63, spare, dtype=np.uint64)
+            x, y = (simhash.sketch(np.concatenate([shared, part])) for part in (new[:one], new[one:]))
+            d = np.bitwise_count(x ^ y)
+            missed += d[0] > 24 or d.sum() > 84
+            n += 1
+    assert missed <= n / 1000
+
+
+def family_of_bits():
+    """Texts A, B, C: A and C are similar, B is similar to neither."""
+    rng = random.Random(8)
+    w = words(rng, 80, 5000)
+    return " ".join(w), " ".join(words(rng, 80, 5000)), " ".join([*w[:-7], *words(rng, 7, 5000)])
 
 
-def family(radius=13):
-    """Texts A, B, C: B lies close to both in fingerprints but isn't similar to either, and A and C are similar with the most bits between."""
-    rng = random.Random(8)
-    while True:
-        w = words(rng, 80, 5000)
-        c = [*w[:-7], *words(rng, 7, 5000)]
-        a, c = " ".join(w), " ".join(c)
-        ac = (simhash.simhash(a) ^ simhash.simhash(c)).bit_count()
-        if ac > radius or simhash.similarity(a, c, 5) < 0.8:
-            continue
-        for _ in range(60):
-            v = list(w)
-            for k in rng.sample(range(4, 76), 4):
-                v[k] = f"new{rng.randrange(999)}"
-            b = " ".join(v)
-            ab, bc = ((simhash.simhash(b) ^ simhash.simhash(x)).bit_count() for x in (a, c))
-            if ab < ac and bc < ac and max(simhash.similarity(b, x, 5) for x in (a, c)) < 0.8:
-                return a, b, c
-
-
-def test_a_true_link_survives_shorter_candidates_that_fail(spark):
-    rows = [(k, t, "en", "s") for k, t in enumerate(family())]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
-    assert got == {0: 0, 1: 1, 2: 0}
+def test_a_true_link_survives_shorter_candidates_that_fail():
+    a, b, c = texts = family_of_bits()
+    fps = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [3, 0, 0, 0]], np.uint64).T.copy()
+    assert bits(a, c) > 0 and simhash.similarity(a, c, 5) >= 0.8 > max(simhash.similarity(a, b, 5), simhash.similarity(b, c, 5))
+    sizes = np.array([len(simhash.shingle_set(t, 5)) for t in texts])
+    assert simhash.verified_pairs(np.arange(3), fps, sizes, np.zeros(3, int), list(texts), 24, 84, 0.8, 5) == [(0, 2)]
 
 
 def test_blocks_of_a_part_give_the_same_groups(spark):
@@ -185,12 +198,12 @@ def test_blocks_of_a_part_give_the_same_groups(spark):
         for k in rng.sample(range(60), rng.randrange(1, 6)):
             v[k] = f"new{rng.randrange(9999)}"
         texts.append(" ".join(v))
-    members = [(k, simhash.simhash(t) - (1 << 64) if simhash.simhash(t) >> 63 else simhash.simhash(t), len(simhash.shingle_set(t, 5)), 0, t) for k, t in enumerate(texts)]
-    members = spark.createDataFrame(members, "node long, fp long, size int, part long, text string")
-    near = lambda a, b: (simhash.simhash(texts[a]) ^ simhash.simhash(texts[b])).bit_count() <= 13 and simhash.similarity(texts[a], texts[b], 5) >= 0.8
-    wanted = brute_groups(70, [p for p in itertools.combinations(range(70), 2) if near(*p)])
+    sketches = [simhash.sketch(np.fromiter(simhash.shingle_set(t, 5), np.uint64)).view("i8").tolist() for t in texts]
+    members = [(k, *sketches[k], len(simhash.shingle_set(t, 5)), 0, t) for k, t in enumerate(texts)]
+    members = spark.createDataFrame(members, "node long, fp long, fp1 long, fp2 long, fp3 long, size int, part long, text string")
+    wanted = brute_groups(70, [p for p in itertools.combinations(range(70), 2) if simhash.similarity(texts[p[0]], texts[p[1]], 5) >= 0.8])
     for block in (64, 9, 1):
-        links = simhash.verified_links(members, 13, 0.8, 5, block=block).collect()
+        links = simhash.verified_links(members, 24, 84, 0.8, 5, block=block).collect()
         assert brute_groups(70, [(r["a"], r["b"]) for r in links]) == wanted and len(set(wanted)) > 1
 
 
