@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders, the rest is lower-cased words. Windows of template words are hashed and
 joined with the windows of the benchmark. Matches on one diagonal (document place minus item place) are checked for slot consistency: an item's slot
-value must always map to the same document value. Plain lower-case windows are joined too, so a verbatim passage in
-other letter case is found. What share of an item's windows is matched decides.
+value must always map to the same document value. A capitalised word that opens a sentence may be a name or not, so windows that hold one are
+read both ways. Plain lower-case windows are joined too, so a verbatim passage in other letter case is found. Items whose windows have too few
+literal words are looked for as one whole template. What share of an item's windows is matched decides.
 """
 
 from __future__ import annotations
@@ -26,100 +27,158 @@ UNITS = frozenset(
 )
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
 ENDS = frozenset(".!?:\n")
-PLACEHOLDERS = NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
-PLACES = {"": 0, NUMBER: 1, NAME: 2, UNIT: 3}
+PLACEHOLDERS = "<number>", "<name>", "<unit>"
+NUMBER, NAME, UNIT = 1, 2, 3  # kinds; 0: literal
 LEAST_LITERAL = 4  # words other than placeholders that a window must have
-FORMS = ("template", "plain")
-_ODD = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)]
+WHOLE_LITERAL, WHOLE_WORDS = 3, (5, 64)  # literal words and length of an item that is looked for as one template
+FEW_TYPED = 0.25  # an item with fewer template windows than this share is looked for as one template
+TYPED = ("template", "open", "whole")
+BASE = 0x9E3779B97F4A7C15
+IS_END, IS_NUMBER, IS_UNIT, IS_CAPITAL = 1, 2, 4, 8
 
 
-class Tokens(NamedTuple):
-    words: list[str]  # lower case
-    kinds: list[str]  # placeholder, or empty
+def code(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode()) or 1
 
 
-def canonical(text: str | None) -> Tokens:
-    words, kinds, start, number = [], [], True, False
-    for t in TOKEN.findall(text or ""):
-        if t in ENDS:
-            start, number = True, False
-            continue
-        low = t.lower()
-        if t[0].isdigit():
-            kind = NUMBER
-        elif number and low in UNITS:
-            kind = UNIT
-        elif not start and t[0].isupper() and len(t) > 1 and t[1:].islower():
-            kind = NAME
-        else:
-            kind = ""
-        start, number = False, kind == NUMBER
-        words.append(low)
-        kinds.append(kind)
-    return Tokens(words, kinds)
+class Words(dict):
+    """Token -> its number in the vocabulary (0: none) and flags, in one integer; filled as tokens are met."""
 
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        flags = IS_END if token in ENDS else IS_NUMBER if token[0].isdigit() else IS_UNIT * (low in UNITS) | IS_CAPITAL * (len(token) > 1 and token[0].isupper() and token[1:].islower())
+        self[token] = known = self.vocabulary.get(low, 0) << 4 | flags
+        return known
+
+
+class Reading(NamedTuple):
+    """Words of a text: their tokens, numbers in the vocabulary, and kinds with names inside sentences only, and with names at their starts too."""
+
+    tokens: list[str]
+    at: np.ndarray  # places of the words among the tokens
+    known: np.ndarray
+    kinds: np.ndarray
+    open_kinds: np.ndarray
+
+    def word(self, k: int) -> str:
+        return self.tokens[self.at[k]].lower()
+
+
+def read(text: str | None, words: Words) -> Reading:
+    tokens = TOKEN.findall(text or "")
+    packed = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+    if len(words) > 300_000:
+        words.clear()
+    flags = packed & 15
+    before = np.concatenate(([IS_END], flags[:-1]))[: len(flags)]
+    number, unit, capital = ((flags & f) > 0 for f in (IS_NUMBER, IS_UNIT, IS_CAPITAL))
+    rest = np.where(unit & (before & IS_NUMBER > 0), UNIT, 0)
+    rest = np.where(number, NUMBER, rest)
+    open_kinds = np.where((rest == 0) & capital, NAME, rest)
+    kinds = np.where((rest == 0) & capital & (before & IS_END == 0), NAME, rest)
+    at = np.flatnonzero(flags & IS_END == 0)
+    return Reading(tokens, at, packed[at] >> 4, kinds[at], open_kinds[at])
 
-def code(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode()) or 1
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-def windows(codes: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows without an unknown word (code 0) and with enough literal words."""
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            _powers[k] = np.concatenate(([np.uint64(1)], np.full(2 * n, base, np.uint64))).cumprod(dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def windows(codes: np.ndarray, enough: np.ndarray, width: int, least: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows without an unknown word (code 0), with ``least`` literal words (``enough``) and, if given, a word of ``within``."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, int), np.zeros(0, np.uint64)
-    known = np.concatenate(([0], np.cumsum(codes != 0)))
-    literals = np.concatenate(([0], np.cumsum(literal)))
-    at = np.nonzero((known[width:] - known[:-width] == width) & (literals[width:] - literals[:-width] >= min(LEAST_LITERAL, width)))[0]
-    h = np.full(len(at), width, np.uint64)
-    for k in range(width):
-        h = (h ^ codes[at + k]) * np.uint64(_ODD[k])
-        h ^= h >> np.uint64(29)
-    return at, h
+    total = lambda x: (c := np.concatenate(([0], np.cumsum(x))))[width:] - c[:-width]
+    good = (total(codes != 0) == width) & (total(enough) >= least)
+    if within is not None:
+        good &= total(within) > 0
+    at = np.flatnonzero(good)
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    up, down = powers(len(codes))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up, dtype=np.uint64)))
+    h = (sums[at + width] - sums[at]) * down[at]
+    return at, h ^ (h >> np.uint64(29))
+
+
+def forms(r: Reading, codes: np.ndarray, holders: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """The ways a text is read: name, codes, literal words, words of which a window must hold one, and kinds of the slots."""
+    plain = codes[r.known]
+    yield "plain", plain, np.ones(len(plain), bool), None, None
+    yield "template", np.where(r.kinds == 0, plain, holders[r.kinds]), r.kinds == 0, None, r.kinds
+    starts = r.kinds != r.open_kinds
+    if starts.any():
+        yield "open", np.where(r.open_kinds == 0, plain, holders[r.open_kinds]), r.open_kinds == 0, starts, r.open_kinds
 
 
 class Index(NamedTuple):
     rows: list[tuple]  # form, hash, item_id, item_at, slots [(place in window, value)]
-    sizes: list[tuple[int, int]]  # item_id, windows
-    codes: dict[str, int]  # of every word and placeholder in the items
-    hashes: dict[int, np.ndarray]  # width -> sorted window hashes
+    sizes: list[tuple[int, int, int]]  # item_id, windows, template windows
+    vocabulary: dict[str, int]  # words of the items -> their number from 1
+    codes: np.ndarray  # of every word, by number
+    holders: np.ndarray  # codes of the placeholders, by kind
+    hashes: dict[tuple[str, int], np.ndarray]  # (form, width) -> sorted window hashes
 
 
 def item_index(items: list[tuple[int, str]], width: int) -> Index:
     """Windows of the items that have at least four words; items shorter than ``width`` are one window."""
-    rows, sizes, codes, hashes = [], [], {p: code(p) for p in PLACEHOLDERS}, {}
+    found = {t.lower() for _, text in items for t in TOKEN.findall(text or "") if t not in ENDS}
+    vocabulary = {w: k for k, w in enumerate(sorted(found), 1)}
+    codes, holders = (np.array([0, *map(code, x)], np.uint64) for x in (vocabulary, PLACEHOLDERS))
+    words, rows, sizes, hashes = Words(vocabulary), [], [], {}
+
+    def add(form: str, item_id: int, r: Reading, at: np.ndarray, h: np.ndarray, own: int, kinds: np.ndarray | None) -> None:
+        hashes.setdefault((form, own), []).append(h)
+        for i, x in zip(at.tolist(), h.view(np.int64).tolist()):
+            rows.append((form, x, item_id, i, [(j, r.word(i + j)) for j in range(own) if kinds is not None and kinds[i + j]]))
+
     for item_id, text in items:
-        words, kinds = canonical(text)
-        own = min(width, len(words))
+        r = read(text, words)
+        n = len(r.at)
+        own = min(width, n)
         if own < LEAST_LITERAL:
             continue
-        codes |= {w: code(w) for w in words}
-        plain = [not k for k in kinds]
-        for form, names, literal in (("template", [k or w for w, k in zip(words, kinds)], plain), ("plain", words, [True] * len(words))):
-            at, h = windows(np.array([codes[w] for w in names], np.uint64), np.array(literal), own)
-            hashes.setdefault(own, []).append(h)
-            for i, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                slots = [(j, words[i + j]) for j in range(own) if kinds[i + j]] if form == "template" else []
-                rows.append((form, x, item_id, i, slots))
-        sizes.append((item_id, len(words) - own + 1))
-    return Index(rows, sizes, codes, {w: np.unique(np.concatenate(h)) for w, h in hashes.items()})
-
-
-def matches(text: str | None, index: Index) -> list[tuple[str, int, int, list[tuple[int, str]]]]:
+        typed: set[int] = set()
+        for form, names, literal, within, kinds in forms(r, codes, holders):
+            at, h = windows(names, literal, own, LEAST_LITERAL, within)
+            add(form, item_id, r, at, h, own, kinds)
+            typed |= set() if kinds is None else set(at.tolist())
+        if len(typed) < FEW_TYPED * (n - own + 1) and WHOLE_WORDS[0] <= n <= WHOLE_WORDS[1]:
+            names = np.where(r.open_kinds == 0, codes[r.known], holders[r.open_kinds])
+            at, h = windows(names, r.open_kinds == 0, n, WHOLE_LITERAL)
+            add("whole", item_id, r, at, h, n, r.open_kinds)
+        sizes.append((item_id, n - own + 1, len(typed)))
+    return Index(rows, sizes, vocabulary, codes, holders, {k: np.unique(np.concatenate(h)) for k, h in hashes.items()})
+
+
+def matches(text: str | None, index: Index, words: Words) -> list[tuple[str, int, int, list[tuple[int, str]]]]:
     """The windows of one text that the index has: form, hash, place, slots."""
-    words, kinds = canonical(text)
-    get, out = index.codes.get, []
-    plain = np.array([get(w, 0) for w in words], np.uint64)
-    kind = np.fromiter(map(PLACES.__getitem__, kinds), np.int8, len(kinds))
-    literal = kind == 0
-    typed = np.where(literal, plain, np.array([0, *(index.codes[p] for p in PLACEHOLDERS)], np.uint64)[kind])
-    for form, codes, own in (("template", typed, literal), ("plain", plain, np.ones(len(words), bool))):
-        for width, wanted in index.hashes.items():
-            at, h = windows(codes, own, width)
-            hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(h) else np.zeros(0, bool)
-            for i, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist()):
-                slots = [(j, words[i + j]) for j in range(width) if kinds[i + j]] if form == "template" else []
-                out.append((form, x, i, slots))
+    r, out = read(text, words), []
+    read_as = {f[0]: f[1:] for f in forms(r, index.codes, index.holders)}
+    last = read_as.get("open") or read_as["template"]
+    read_as["whole"] = (*last[:2], None, last[3])
+    for (form, width), wanted in index.hashes.items():
+        if form not in read_as or not len(wanted):
+            continue
+        names, literal, within, kinds = read_as[form]
+        at, h = windows(names, literal, width, WHOLE_LITERAL if form == "whole" else LEAST_LITERAL, within)
+        if not len(h):
+            continue
+        hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+        for i, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist()):
+            out.append((form, x, i, [(j, r.word(i + j)) for j in range(width) if kinds is not None and kinds[i + j]]))
     return out
 
 
@@ -137,12 +196,14 @@ def contaminated(
     """One row per document and benchmark item found in it.
 
     Columns: id, row_key (xxhash64 of the text, which tells rows with null or repeated ids apart), item_id, n_windows
-    (distinct windows of the item found on consistent diagonals), coverage (their share of the item's), n_slots, n_changed (slots
+    (distinct windows of the item found on consistent diagonals), coverage (their share of the item's, or the share of its template windows if these
+    are at least a quarter of all, or 1 for an item found as one whole template), n_slots, n_changed (slots
     with another value), reparameterised (some slot has another value, all of them consistently).
 
     Null and empty texts hold nothing; items with a null id or under four words are not looked for. Repeated rows give one
     row. The benchmark is looked for in blocks of about ``block_chars`` characters of items, which bounds what is broadcast; one
-    block is the usual case. An empty table on either side gives no rows.
+    block is the usual case; the documents are read once for each block, so the benchmark side is meant to be of some hundred MB at most.
+    An empty table on either side gives no rows.
     """
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).distinct()
@@ -161,13 +222,14 @@ def contaminated(
 def _found(texts: DataFrame, index: Index, least: float) -> DataFrame:
     spark, slots = texts.sparkSession, "array<struct<j:int,value:string>>"
     known = F.broadcast(spark.createDataFrame(index.rows, f"form string, hash long, item_id long, item_at int, item_slots {slots}"))
-    sizes = F.broadcast(spark.createDataFrame(index.sizes, "item_id long, item_windows int"))
+    sizes = F.broadcast(spark.createDataFrame(index.sizes, "item_id long, item_windows int, item_typed int"))
     light = index._replace(rows=[], sizes=[])
     kind = pa.list_(pa.struct([("j", pa.int32()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(light.vocabulary)
         for batch in batches:
-            rows = [(n, *m) for n, t in enumerate(batch.column(2).to_pylist()) for m in matches(t, light)]
+            rows = [(n, *m) for n, t in enumerate(batch.column(2).to_pylist()) for m in matches(t, light, words)]
             who = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -193,12 +255,16 @@ def _found(texts: DataFrame, index: Index, least: float) -> DataFrame:
     consistent = F.size(values) == F.size(F.array_distinct(F.transform(values, lambda s: s["item"])))
     changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
     good = by_diagonal.where(consistent).withColumn("changed", changed)
+    typed = F.when(F.col("form").isin(*TYPED), F.col("places"))
     per_item = good.groupBy("id", "row_key", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(typed)))).alias("n_typed"),
+        F.max((F.col("form") == "whole").cast("int")).alias("whole"),
         F.max(F.size("slots")).cast("int").alias("n_slots"),
         F.min(F.struct(-F.size("places"), "changed")).getField("changed").alias("n_changed"),
     )
-    share = F.col("n_windows") / F.col("item_windows")
+    of_typed = F.when(F.col("item_typed") >= FEW_TYPED * F.col("item_windows"), F.col("n_typed") / F.greatest("item_typed", F.lit(1)))
+    share = F.when(F.col("whole") == 1, 1.0).otherwise(F.greatest(F.col("n_windows") / F.col("item_windows"), F.coalesce(of_typed, F.lit(0.0))))
     return (
         per_item.join(sizes, "item_id")
         .where(share >= least)
