@@ -46,7 +46,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
     dictionaries = langid.learn_dictionaries(docs.where(~held_out))
-    found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), dictionaries)
+    margins = langid.learn_margins(docs.where(~held_out), dictionaries)
+    found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), dictionaries, least_margin=margins)
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "lang_margin", "lang_rejected")
 
 

@@ -558,6 +558,32 @@ def test_language_id_held_out_and_edge_cases(spark):
     assert langid.learn_dictionaries(frame(spark, [])) == {} and langid.identify(frame(spark, []), dictionaries).count() == 0
 
 
+def test_language_margins_reject_ambiguous_texts_and_keep_clean_ones(spark):
+    rng = random.Random(16)
+    rows = [(i, sentences(rng, lang := rng.choice(["aa", "bb", "cc"]), rng.randrange(20, 200)), lang, "s") for i in range(400)]
+    dictionaries = langid.learn_dictionaries(frame(spark, rows[:300]), rows_per_language=60)
+    margins = langid.learn_margins(frame(spark, rows[:300] + [(None, None, "aa", "s"), (7, "x", None, "s")]), dictionaries)
+    assert list(margins) == [0, 40, 160, 640] and margins[640] > 0
+    half = lambda lang: sentences(rng, lang, 80).split()
+    noise = [(1000 + k, " ".join(w for pair in zip(half("aa"), half("bb"), half("cc")) for w in pair), None, "s") for k in range(60)]  # as much of each language
+    got = {r["doc_id"]: r["lang_rejected"] for r in langid.identify(frame(spark, rows[300:] + noise), dictionaries, least_margin=margins).collect()}
+    assert sum(got[1000 + k] for k in range(60)) >= 50  # at margin zero nearly all of them pass
+    assert sum(got[r[0]] for r in rows[300:]) <= 2
+    loose = langid.identify(frame(spark, noise), dictionaries).where("not lang_rejected").count()
+    assert loose > 40
+    tie = langid.identify(frame(spark, [(1, "abc abc", None, "s")]), {"xx": b"qqqqqqqq", "aa": b"qqqqqqqq"}).first()
+    assert tie["lang_pred"] == "aa" and tie["lang_margin"] == 0 and tie["lang_rejected"]
+    assert langid.learn_margins(frame(spark, []), dictionaries) == {0: 0.0, 40: 0.0, 160: 0.0, 640: 0.0}
+
+
+def test_every_language_with_a_letter_is_learned_and_only_letters_count(spark):
+    rows = [(1, "kurz wort", "aa", "s"), (2, "lang " * 3000, "bb", "s"), (3, "middle text " * 20, "cc", "s"), (4, "12 34", "dd", "s")]
+    found = langid.learn_dictionaries(frame(spark, rows))
+    assert sorted(found) == ["aa", "bb", "cc"] and len(found["bb"]) <= 4000 and found["aa"].startswith(b"kurz wort")
+    got = langid.identify(frame(spark, [(1, "\u00b2 \u00bd \u2167 42 _", None, "s"), (2, "\u00aa", None, "s")]), found).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(got, key=lambda r: r["doc_id"])] == [True, False]
+
+
 def test_license_base_equals_brute_force(spark):
     rng = random.Random(7)
     filler = lambda n: " ".join(rng.choice(["mit", "license", "apache", "public", "general", "é", "x1", "of"]) + rng.choice(["", ".", ",", "\n", "-"]) for _ in range(n))
