@@ -30,7 +30,8 @@ SCOPE = frozenset("ul ol dl table body article section div main".split())
 # Words of class and id attributes that say what an element is for.
 BOILER = re.compile(r"(?i)(?:^|[-_ ])(?:ad|ads|advert\w*|banner|bread\w*|comment\w*|cookie\w*|consent|dialog|disqus|foot\w*|form|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|reply|repl\w+|respond|share|sharing|side\w*|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|widget\w*)(?:$|[-_ ])")
 CONTENT = re.compile(r"(?i)(?:^|[-_ ])(?:article\w*|body|content|entry|hentry|main|page|post|story|text)(?:$|[-_ ])")
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
+OPENING = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | {"head"}}
 SPACE = re.compile(r"\s+")
@@ -45,10 +46,42 @@ class Dom(NamedTuple):
     blocks: list[tuple[int, str, int]]
 
 
+class Markup:
+    """Finds the ends of tags and comments in one page. Each character is passed over a bounded number of times, whatever is left unclosed."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, {c: page.rfind(c) for c in ">\"'"}, True
+
+    def tag_end(self, at: int) -> int:
+        """Place behind the tag whose attributes begin at ``at``; -1 if it is never closed. A quote without a partner is an ordinary character."""
+        page, last, start = self.page, self.last, at
+        if last[">"] < at:
+            return -1
+        while self.quotes:
+            m = QUOTE_OR_END.search(page, at)
+            if m is None:
+                self.quotes = False  # all brackets that are left stand within quotes: from here on quotes don't count
+            elif m[0] == ">":
+                return m.end()
+            else:
+                at = m.end() if last[m[0]] <= m.start() else page.index(m[0], m.end()) + 1
+        return page.index(">", start) + 1
+
+    def special_end(self, at: int) -> int:
+        """Place behind the comment, declaration or stray closing bracket at ``at``; -1 if it is never closed."""
+        if self.page.startswith("<!--", at):
+            end = self.page.find("-->", at + 4)
+            return len(self.page) if end < 0 else end + 3
+        return -1 if self.last[">"] < at else self.page.index(">", at) + 1
+
+
 def parse(page: str | None) -> Dom:
     """Block elements and text blocks of one page. Unclosed and misnested tags are closed by what HTML lets follow; nothing raises."""
     page = page or ""
     parent, tags, names = [-1], ["#root"], [""]
+    opened: dict[str, int] = defaultdict(int)  # elements of each tag on the stack
+    never_closed: set[str] = set()
+    markup = Markup(page)
     blocks: list[tuple[int, str, int]] = []
     stack, links = [0], 0
     text: list[str] = []
@@ -63,21 +96,35 @@ def parse(page: str | None) -> Dom:
             text.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        """Takes the elements from place k of the stack on off it."""
+        for e in stack[k:]:
+            opened[tags[e]] -= 1
+        del stack[k:]
+
     at, n = 0, len(page)
     while at < n:
-        m = TAG.search(page, at)
-        if m is None:
-            text.append(page[at:])
-            break
-        if m.start() > at:
-            run = page[at : m.start()]
-            text.append(run)
+        low = page.find("<", at)
+        if low < 0:
+            low = n
+        if low > at:
+            text.append(page[at:low])
             if links:
-                linked += len(run)
-        at = m.end()
-        if not m[2]:
+                linked += low - at
+        if low == n:
+            break
+        after = page[low + 1 : low + 2]
+        closing = after == "/"
+        m = OPENING.match(page, low + 1 + closing) if markup.last[">"] > low else None
+        end = markup.tag_end(m.end()) if m else markup.special_end(low) if after in ("!", "?", "/") and after else -1
+        if end < 0:  # a bracket that opens nothing is text
+            text.append("<")
+            at = low + 1
+            continue
+        at = end
+        if not m:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, rest = m[0].lower(), page[m.end() : end - 1]
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
@@ -87,36 +134,37 @@ def parse(page: str | None) -> Dom:
         flush()
         links = 0
         if tag in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
-                end = ENDS[tag].search(page, at)
+            if not closing and not rest.rstrip().endswith("/"):
+                end = None if tag in never_closed else ENDS[tag].search(page, at)
+                if end is None:
+                    never_closed.add(tag)
                 at = end.end() if end else (n if tag in ("script", "style") else at)
             continue
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag))
             continue
-        if tag in ("html", "body") and tag in (tags[k] for k in stack):
+        if tag in ("html", "body") and opened[tag]:
             continue
         if tag in CLOSES_P and tags[stack[-1]] == "p":
-            stack.pop()
+            close(len(stack) - 1)
         same = SAME_LEVEL.get(tag)
-        if same:
+        if same and any(opened[t] for t in same):
             for k in range(len(stack) - 1, 0, -1):
                 if tags[stack[k]] in same:
-                    del stack[k:]
+                    close(k)
                     break
                 if tags[stack[k]] in SCOPE:
                     break
-        if m[3].endswith("/") and tag not in CLOSES_P:
+        if rest.endswith("/") and tag not in CLOSES_P:
             continue
         parent.append(stack[-1])
         tags.append(tag)
-        names.append(" ".join(a.strip("\"'") for a in ATTRIBUTE.findall(m[3])) if m[3] else "")
+        names.append(" ".join(a.strip("\"'") for a in ATTRIBUTE.findall(rest)) if rest else "")
         stack.append(len(tags) - 1)
+        opened[tag] += 1
     flush()
     return Dom(parent, tags, names, blocks)
 
@@ -142,7 +190,7 @@ def unary_features(dom: Dom) -> list[tuple[str, ...]]:
         name = dom.names[k]
         share = below_link[k] / below[k] if below[k] else -1.0
         out.append((
-            f"tag={dom.tag[k]}",
+            f"tag={dom.tag[k]}{'+links' * (share >= 0.3)}",
             f"boiler={bool(name and BOILER.search(name))}",
             f"content={bool(name and CONTENT.search(name))}",
             f"own={bucket(own[k], (1, 25, 80, 250))}",
@@ -266,6 +314,7 @@ def labelled_pages(rows: int = 400, seed: int = 11) -> Iterator[tuple[str, set[s
     attr = lambda *names: some("", f' class="{some(*names)}"', f' id="{some(*names)}"') if rng.random() < 0.5 else f' class="{some(*names)}"'
     for _ in range(rows):
         wanted: set[str] = set()
+        terse = rng.random() < 0.15  # dialogues, poems: many short paragraphs
 
         def own(low: int, high: int) -> str:
             t = prose(low, high)
@@ -273,7 +322,7 @@ def labelled_pages(rows: int = 400, seed: int = 11) -> Iterator[tuple[str, set[s
             return t
 
         def paragraph() -> str:
-            t = own(1, 90)
+            t = own(1, 7) if terse else own(1, 90)
             style = rng.random()
             if style < 0.15:
                 return f"<p><b>{t}<br>"
@@ -293,17 +342,24 @@ def labelled_pages(rows: int = 400, seed: int = 11) -> Iterator[tuple[str, set[s
             lambda: f"<aside{attr('sidebar', 'widget', 'related')}><h3>{prose(1, 4)}</h3>{some(menu(), '<p>' + prose(8, 25) + '</p>')}</aside>",
             lambda: f'<form{attr("search", "form", "login")}><label>{prose(1, 3)}</label><input name="q"><button>{word()}</button></form>',
             lambda: f'<div class="{some("share", "social", "tags", "breadcrumb", "pagination")}">{link()} {link()} {link()}</div>',
+            lambda: f'<div class="{some("sidebar", "region sidebar", "side-column")}"><div class="{some("block", "widget")}"><p>{prose(6, 25)}</p></div></div>',
         ]
-        comments = lambda: f'<{(t := some("div", "section"))} class="{some("comments", "comment-list", "reply-list")}">' + "".join(f'<div class="comment"><p>{prose(5, 40)}</p></div>' for _ in range(rng.integers(1, 5))) + f"</{t}>"
+        remark = lambda: some(
+            f'<div class="comment"><p>{prose(5, 40)}</p></div>', f'<article class="comment"><div class="{some("content", "body", "text")}"><p>{prose(5, 40)}</p></div></article>', f'<li class="comment"><b>{word()}</b><p>{prose(5, 40)}</p></li>'
+        )
+        comments = lambda: f'<{(t := some("div", "section", "ol"))} class="{some("comments", "comment-list", "reply-list")}">' + "".join(remark() for _ in range(rng.integers(1, 5))) + f"</{t}>"
         body = [f"<h1>{own(2, 12)}</h1>"]
-        for k in range(rng.integers(2, 12)):
-            kind = rng.random()
+        for k in range(rng.integers(8, 40) if terse else rng.integers(1, 12)):
+            kind, listing = rng.random(), some("ul", "ol")
             body.append(
-                f"<h2>{own(2, 8)}</h2>" if kind < 0.1 else f"<blockquote>{own(8, 40)}</blockquote>" if kind < 0.15 else "<ul>" + "".join(f"<li>{own(3, 15)}</li>" for _ in range(3)) + "</ul>" if kind < 0.2 else paragraph()
-            )
+                f"<h2>{own(2, 8)}</h2>" if kind < 0.1 else f"<blockquote>{own(8, 40)}</blockquote>" if kind < 0.15
+                else f"<{listing}>" + "".join(f"<li>{own(2, 20)}</li>" for _ in range(rng.integers(2, 7))) + f"</{listing}>" if kind < 0.25 else paragraph()
+            )
             if rng.random() < 0.08:
                 body.append(extra[rng.integers(len(extra))]())
-        shell = some(("<article>", "</article>"), ("<main><article>", "</article></main>"), ('<div class="post-content">', "</div>"), ('<div id="content">', "</div>"), ("<main>", "</main>"), ("<section class=\"story\">", "</section>"))
+        column = lambda n: "<br>".join(link() for _ in range(n))
+        table = (f"<table><tr><td>{column(rng.integers(3, 9))}</td><td>", f"</td><td>{column(rng.integers(2, 9))}</td></tr></table>")
+        shell = some(table, ("<article>", "</article>"), ("<main><article>", "</article></main>"), ('<div class="post-content">', "</div>"), ('<div id="content">', "</div>"), ("<main>", "</main>"), ("<section class=\"story\">", "</section>"))
         tail = [e() for e in extra if rng.random() < 0.3] + ([comments()] if rng.random() < 0.4 else [])
         foot = f"<footer>&copy; {word()}.example &middot; {prose(3, 14)}</footer>" if rng.random() < 0.7 else f'<div class="footer"><p>{prose(3, 14)}</p></div>'
         before = [e() for e in extra if rng.random() < 0.25]
