@@ -406,14 +406,89 @@ def test_lm_base_equals_brute_force_and_model_is_better(spark, corpus):
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
     assert all(r["score"] < 0 for r in got)
     empty = ngram.score(frame(spark, [(1, "a b", "en", "s")]), F.lit(True), F.lit(False)).collect()
-    assert empty[0]["n_known"] == 0 and empty[0]["train_tokens"] == 0 and math.isfinite(empty[0]["score"])
+    assert empty[0]["n_known"] == 0 and empty[0]["train_tokens"] == 0 and empty[0]["base_score"] == 0.0 and math.isfinite(empty[0]["score"])
     assert ngram.score(frame(spark, []), fold == 0, fold == 1).count() == 0
 
 
+def test_lm_score_equals_brute_force(spark):
+    """The whole model worked out again with dictionaries: classes, estimates, EM and words within classes."""
+    rng = random.Random(77)
+    rows = [(i, " ".join(rng.choice(["the cat sat on the mat", "a dog ran off", "el perro come pan", "la casa roja", f"word{rng.randrange(30)} odd"]) for _ in range(rng.randrange(0, 9))), "en", "s") for i in range(70)]
+    held, deleted = (lambda i: i % 10 == 0), (lambda i: i % 10 == 1)
+    got = {r["doc_id"]: r["score"] for r in ngram.score(frame(spark, rows), F.col("doc_id") % 10 == 0, F.col("doc_id") % 10 == 1, own_classes=6, head=12).collect()}
+
+    tok = lambda t: t.encode().lower().split()
+    count = collections.Counter(w for i, t, _, _ in rows if not held(i) for w in tok(t))
+    n_rows = sum(not held(i) for i in range(70))
+    steps = sorted({n for n in count.values() if n > 1}, reverse=True)
+    bound = min((n for n in steps if sum(c >= n for c in count.values()) <= 6), default=1 << 62)
+    own = sorted((w for w, n in count.items() if n >= bound), key=lambda w: (-count[w], ngram.key_of(w)))
+    size = 2 + len(own) + ngram.ENDINGS
+    class_of = lambda w: 2 + own.index(w) if w in own else size - ngram.ENDINGS + ngram.ending(w)
+    fold = lambda c, groups: c if c < groups // 2 else groups // 2 + c % (groups // 2)
+    rest = [collections.Counter(), collections.Counter()]  # tokens and words of each ending without a class of their own
+    for w, n in count.items():
+        if w not in own:
+            rest[0][ngram.ending(w)] += n
+            rest[1][ngram.ending(w)] += 1
+
+    def events(t):
+        s = [0, 0, *map(class_of, tok(t)), 1]
+        return [(s[k], s[k + 1], s[k + 2]) for k in range(len(s) - 2)]
+
+    def tables(keep):
+        c3, c2 = collections.Counter(), collections.Counter()
+        for i, t, _, _ in rows:
+            if keep(i):
+                for u, w, c in events(t):
+                    c3[fold(u, ngram.OUTER), fold(w, ngram.INNER), c] += 1
+                    c2[w, c] += 1
+        n3, n2, one = collections.Counter(), collections.Counter(), collections.Counter()
+        for (u, w, c), n in c3.items():
+            n3[u, w] += n
+        for (w, c), n in c2.items():
+            n2[w] += n
+            one[c] += n
+        bucket = lambda n: min(7, int(math.log2(n + 1)) // 3)
+
+        def look(u, w, c):
+            x = fold(u, ngram.OUTER), fold(w, ngram.INNER)
+            return bucket(n3[x]) * 8 + bucket(n2[w]), (c3[(*x, c)] / max(1, n3[x]), c2[w, c] / max(1, n2[w]), one[c] / max(1, sum(one.values())), 1 / size)
+        return look
+
+    first, last = tables(lambda i: not held(i) and not deleted(i)), tables(lambda i: not held(i))
+    seen = [first(fold(u, ngram.OUTER), w, c) for i, t, _, _ in rows if deleted(i) for u, w, c in events(t)]
+    weights = {b: [0.3, 0.3, 0.2, 0.2] if b in {x for x, _ in seen} else [0, 0, 0.5, 0.5] for b in range(64)}
+    for _ in range(40):
+        sums = collections.defaultdict(lambda: [0.0] * 4)
+        for b, p in seen:
+            mixed = [x * y for x, y in zip(weights[b], p)]
+            for k in range(4):
+                sums[b][k] += mixed[k] / sum(mixed)
+        new = {b: [x / sum(sums[b]) for x in sums[b]] if b in sums else w for b, w in weights.items()}
+        moved = max(abs(x - y) for b in weights for x, y in zip(new[b], weights[b]))
+        weights = new
+        if moved < 5e-3:
+            break
+    for b, w in weights.items():
+        w = [*w[:3], max(w[3], 1e-6)]
+        weights[b] = [x / sum(w) for x in w]
+    for i, t, _, _ in rows:
+        total = 0.0
+        for u, w, c in events(t):
+            b, p = last(u, w, c)
+            total += math.log10(sum(x * y for x, y in zip(weights[b], p)))
+        for w in tok(t):
+            if w not in own:
+                e = ngram.ending(w)
+                total += math.log10((count[w] + 0.1) / (rest[0][e] + 0.1 * (rest[1][e] + 1)))
+        assert abs(got[i] - total) < 1e-3 * max(1, abs(total)), (i, got[i], total)
+
+
 def test_lm_class_model_sums_to_one():
     rng = np.random.default_rng(0)
     size = 80
-    counts = {2: rng.integers(0, 3, size * size), 3: rng.integers(0, 2, ngram.COARSE**2 * size)}
+    counts = {2: rng.integers(0, 3, size * size), 3: rng.integers(0, 2, ngram.OUTER * ngram.INNER * size)}
     t = ngram.estimate(counts, size)
     w = np.array([0.4, 0.3, 0.2, 0.1])
     for u, v in ((0, 5), (33, 70), (64, 2)):
