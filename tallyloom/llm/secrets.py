@@ -1,6 +1,6 @@
 """Secret scan in DataFrame operations only, with a random forest that removes false positives.
 
-Candidates are token-like runs with a digit and values assigned to a telling name. Each is described by its length, character classes
+Candidates are token-like runs with a digit or a known prefix, values assigned to a telling name, and passwords within addresses. Each is described by its length, character classes
 and transitions, dictionary coverage, the document's path and its neighbouring words. A random forest trained on
 labelled findings decides; its trees become one SQL expression, so that scanning is a projection of each
 row with no shuffle, no join and no Python.
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 RUN = r"[A-Za-z0-9_+/\-]"
 # the first two look-behinds are cheap and turn almost every place away before the last one is tried
 ASSIGNED = r"(?<=[:=\s\x22'])(?<=[:=][\s\x22']{0,3})(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|access_key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22'#<>]{6,}+"
-CANDIDATE = rf"{ASSIGNED}|(?<!{RUN})(?=[A-Za-z_+/\-]*+[0-9]){RUN}{{16,}}+={{0,2}}"
+IN_ADDRESS = r"(?<=:)(?<=://[^\s:/@\x22'<>]{1,64}:)[^\s@/\x22'<>]{6,}+(?=@)"
+PREFIXED = rf"(?<!{RUN})(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|glpat-|AIza|eyJ){RUN}{{16,}}+={{0,2}}"
+CANDIDATE = rf"{ASSIGNED}|{IN_ADDRESS}|{PREFIXED}|(?<!{RUN})(?=[A-Za-z_+/\-]*+[0-9]){RUN}{{16,}}+={{0,2}}"
 NEAR = 48  # characters of context kept on either side
 
 # Common words and word parts whose presence speaks against randomness.
@@ -33,7 +35,7 @@ DICTIONARY = (
 
 FEATURES = [
     "length", "runs", "digit_share", "upper_share", "lower_share", "other_share", "distinct_share", "hex_only", "digits_only", "case_runs",
-    "digit_letter_switches", "dictionary_share", "longest_letters", "known_prefix", "repeats", "in_path", "test_path", "assigned", "quoted", "secret_word", "hash_word", "example_word",
+    "digit_letter_switches", "dictionary_share", "vowel_share", "longest_consonants", "longest_letters", "known_prefix", "repeats", "in_path", "test_path", "assigned", "in_address", "quoted", "secret_word", "hash_word", "example_word",
 ]
 
 
@@ -93,12 +95,15 @@ def features(c: Column) -> Column:
         "case_runs": F.size(F.regexp_extract_all(v, F.lit("[a-z][A-Z]|[A-Z][a-z]"), 0)) / n,
         "digit_letter_switches": F.size(F.regexp_extract_all(v, F.lit("[0-9][A-Za-z]|[A-Za-z][0-9]"), 0)) / n,
         "dictionary_share": F.lit(1.0) - F.length(F.regexp_replace(F.lower(v), words, F.lit(""))) / n,
+        "vowel_share": share("aeiouyAEIOUY"),
+        "longest_consonants": F.array_max(F.transform(F.regexp_extract_all(v, F.lit("(?i)[b-df-hj-np-tv-xz]+|."), 0), lambda x: F.length(x))).cast("double"),
         "longest_letters": F.array_max(F.transform(F.regexp_extract_all(v, F.lit("[A-Za-z]+|[0-9]"), 0), lambda x: F.when(x.rlike("[A-Za-z]"), F.length(x)).otherwise(0))).cast("double"),
         "known_prefix": flag(v.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^xox[abprs]-|^sk[-_]|^glpat-|^AIza|^eyJ")),
         "repeats": flag(v.rlike(r"(.)\1{4}|(..)\2{3}")),
         "in_path": flag(c["before"].rlike(r"(?:://|www\.|[\w.~-]/|\\)\S*$") | v.rlike(r"^/|/[a-z]+/")),
         "test_path": flag(c["path"].rlike("(?i)(?:^|[/_.-])(?:tests?|examples?|docs?|fixtures?|samples?)(?:$|[/_.-])")),
         "assigned": flag(c["before"].rlike(r"[:=]\s{0,2}[\x22']?$")),
+        "in_address": flag(c["before"].rlike(r"://[^\s:/@]+:$") & c["after"].rlike("^@")),
         "quoted": flag(c["before"].rlike(r"[\x22']$") & c["after"].rlike(r"^[\x22']")),
         "secret_word": flag(c["before"].rlike(r"(?i)(?:password|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|auth)\W{0,6}(?:is)?\W{0,6}$")),
         "hash_word": flag(near.rlike(r"(?i)\b(?:sha-?\d*|md5|commit|checksum|digest|etag|revision|uuid|guid|integrity|card|phone|order|isbn|invoice)\b")),
@@ -107,7 +112,7 @@ def features(c: Column) -> Column:
     return F.struct(*[F.coalesce(values[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES])
 
 
-def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """A reproducible set of labelled findings: (value, before, after, path, is_secret), half of them secrets.
 
     Findings of reviewers can be used in its place; the columns are the same.
@@ -123,13 +128,23 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
     name = pick(["password=", "token = \"", "secret: ", "api_key=", "token: ", "password: ", "access_key = '", "AUTH_TOKEN=", "export SECRET="], 2)
     hash_name = pick(["commit ", "sha256: ", "md5 ", "etag=\"", "checksum: ", "digest ", "revision ", "uuid=", "integrity="], 3)
     other_name = pick(["id=", "order ", "card ", "ref: ", "", "", "page=", "call "], 4)
+    address = F.concat(pick(["postgres", "https", "mongodb", "amqp", "redis", "ftp"], 25), F.lit("://"), word(26), F.lit(":"))
+    safe = F.translate(F.regexp_replace(F.base64(F.unhex(hexes)), "[=\n\r]", ""), "+/abc", "-_-_-")  # the alphabet of addresses
+    drawn = F.translate(hexes, "0123456789", "ghjkrtuwyz")  # letters at random
     kinds = [  # value, text before, secret or not
         (F.substring(hexes, F.lit(1), size(16, 64, 5)), F.concat(plain, name), 1),
         (F.substring(mixed, F.lit(1), size(16, 40, 6)), F.concat(plain, name), 1),
-        (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.concat(plain, pick(["", "", "key ", "aws_access_key_id="], 7)), 1),
+        (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.concat(plain, pick(["", "for ", "key ", "aws_access_key_id=", "id: "], 7)), 1),
         (F.concat(pick(["ghp_", "sk-", "xoxb-", "glpat-", "AIza"], 8), F.substring(mixed, F.lit(1), size(24, 40, 9))), F.concat(plain, pick(["", "", "use ", "token="], 10)), 1),
         (F.substring(mixed, F.lit(1), size(8, 16, 11)), F.concat(plain, pick(["password=", "pwd: ", "password = '"], 12)), 1),
         (F.substring(hexes, F.lit(1), size(12, 24, 23)), F.concat(plain, pick(["password=", "passwd=", "token="], 24)), 1),
+        (F.substring(F.when(F.pmod(F.xxhash64(i, F.lit(44)), F.lit(2)) == 0, F.lower(safe)).otherwise(safe), F.lit(1), size(20, 44, 45)), F.concat(plain, pick(["client_secret: '", "secret = ", "token: ", "api_key=\""], 46)), 1),
+        (F.substring(drawn, F.lit(1), size(8, 16, 27)), F.concat(plain, pick(["password=", "pwd: ", "password = '", "secret: "], 12)), 1),
+        (F.substring(mixed, F.lit(1), size(8, 20, 28)), F.concat(plain, address), 1),
+        (F.substring(drawn, F.lit(1), size(8, 14, 29)), F.concat(plain, address), 1),
+        (F.concat(word(30), pick(["", word(31), "."], 32)), F.concat(plain, name), 0),
+        (F.concat(*[pick("re qui con ta ment er ing or al de fi ni tion pro ces se ma lis ed vo".split(), 40 + k) for k in range(3)], pick(["", "", "ble", "er"], 43)), F.concat(plain, name), 0),
+        (pick(["password", "PASSWORD", "xxxxxxxx", "yourpassword", "example1", "secret", "changeme", "placeholder"], 33), F.concat(plain, address), 0),
         (F.substring(hexes, F.lit(1), F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), size(1, 3, 13))), F.concat(plain, hash_name), 0),
         (F.substring(F.translate(hexes, "abcdef", "271828"), F.lit(1), size(16, 19, 14)), F.concat(plain, other_name), 0),
         (F.concat(word(16), pick(["_", "-", "/"], 15), word(17), pick(["_", "-", "/"], 15), word(18), F.pmod(i, F.lit(997)).cast("string")), F.concat(plain, other_name), 0),
@@ -142,13 +157,13 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
     return spark.range(rows).select(
         choose(0).alias("value"),
         choose(1).alias("before"),
-        F.concat(F.when(choose(1).rlike("\"$"), "\"").when(choose(1).rlike("'$"), "'").otherwise(""), F.lit(" "), plain).alias("after"),
+        F.concat(F.when(choose(1).rlike("\"$"), "\"").when(choose(1).rlike("'$"), "'").when(choose(1).rlike("://[^ ]+:$"), "@db.host/x").otherwise(""), F.lit(" "), plain).alias("after"),
         F.when(F.pmod(i, F.lit(7)) == 0, "tests/data").otherwise("src").alias("path"),
         choose(2).cast("double").alias("is_secret"),
     )
 
 
-def train_forest(findings: DataFrame, trees: int = 20, depth: int = 7, most_rows: int = 100_000, seed: int = 7) -> RandomForestClassificationModel:
+def train_forest(findings: DataFrame, trees: int = 20, depth: int = 8, most_rows: int = 100_000, seed: int = 7) -> RandomForestClassificationModel:
     """Random forest from labelled findings; ``most_rows`` bounds what it is fitted on, drawn by hash."""
     c = F.struct("value", "before", "after", "path")
     rows = findings.withColumn("f", features(c)).select("f.*", "is_secret").orderBy(F.xxhash64(*FEATURES, "is_secret")).limit(most_rows)
