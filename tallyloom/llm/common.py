@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names no such folder (local tests) one is made in the machine's temp folder.
+    Only where the session names no such folder and runs in one process (local tests) one is made in the machine's temp folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corpus-{spark.sparkContext.applicationId}"

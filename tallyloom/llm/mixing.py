@@ -92,13 +92,13 @@ def mix_sources(
 
     ``shares`` maps source names to integer target weights; without it they are count ** alpha, scaled to ``period``. Sources that
     ``shares`` doesn't name get the share one. A null source is a source of its own. Each row appears exactly once;
-    the last block of a source may be short. Rows with null ids are ordered by where they are read; repeated rows stay. An
+    the last block of a source may be short. Rows with null ids are ordered by their other columns; repeated rows stay, next to each other. An
     empty table gives no rows. Columns of the appended names are replaced. Sources are assumed to be few enough
     that one row per source fits the driver (their counts are collected); no rows are.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    order = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id()))
     fields = [c for c in docs.columns if c not in ("block", "phase", "release", "deadline", "slot", "position")]
+    order = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(*[F.col(f"`{c}`") for c in fields])))  # the same in every evaluation
     base = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(fields)], key.alias("source_key"), order.alias("h"))
     sizes = {r["source_key"]: r["n"] for r in base.groupBy("source_key").agg(F.count("*").alias("n")).collect()}
     if shares is None:

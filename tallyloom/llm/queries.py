@@ -30,7 +30,8 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
-    return found.where("gap_reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "digest_ok")
+    whole = F.when(F.col("gap_reason").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("archive just written has a gap: "), F.col("gap_reason"))).cast("boolean"))
+    return found.where(whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "digest_ok")
 
 
 def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
