@@ -502,7 +502,9 @@ def test_lm_score_equals_brute_force(spark):
             mixed = [x * y for x, y in zip(weights[b], p)]
             for k in range(4):
                 sums[b][k] += mixed[k] / sum(mixed)
-        new = {b: [x / sum(sums[b]) for x in sums[b]] if b in sums else w for b, w in weights.items()}
+        stride = lambda w, s: [x * (y / sum(s) / x) ** 1.8 if x else 0.0 for x, y in zip(w, s)]
+        step = {b: stride(weights[b], s) for b, s in sums.items()}
+        new = {b: [x / sum(step[b]) for x in step[b]] if b in step else w for b, w in weights.items()}
         moved = max(abs(x - y) for b in weights for x, y in zip(new[b], weights[b]))
         weights = new
         if moved < 5e-3:
