@@ -33,10 +33,13 @@ def split_lines(text: str) -> list[str]:
 def line_diff(old: str, new: str) -> tuple[int, int]:
     """(added, deleted) against a longest common subsequence of lines. Common ends are cut off first."""
     a, b = split_lines(old), split_lines(new)
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    low, most = 0, min(len(a), len(b))
+    while low < most and a[low] == b[low]:
+        low += 1
+    end = 0
+    while end < most - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[low : len(a) - end], b[low : len(b) - end]
     row = [0] * (len(b) + 1)
     for x in a:
         last = 0
@@ -216,7 +219,8 @@ SCRIPT = re.compile(
 )
 CLOSES = {"(": ")", "[": "]", "{": "}"}
 CONTROL = frozenset("if for while switch catch with".split())
-EAGER = frozenset("all allSettled any every filter find flatMap forEach map race reduce some sort".split())
+# Methods that call the function they are given at once.
+EAGER = frozenset("map flatMap forEach filter some every find findIndex findLast findLastIndex reduce reduceRight sort".split())
 
 
 def script_tokens(script: str) -> list[tuple[str, str]]:

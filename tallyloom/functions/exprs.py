@@ -295,3 +295,10 @@ def age_text(then: Column | str, now: Column | str) -> Column:
         F.when(col(then).isNull(), DASH).when(s < 60, "just now").when(s < 3600, unit(60, "m")).when(s < 86_400, unit(3600, "h")).when(s < 7 * 86_400, unit(86_400, "d"))
         .otherwise(F.date_format(col(then), "MM-dd HH:mm"))
     )
+
+
+def zone_offset(at: Column | str, zone: str) -> Column:
+    """A zone's distance from UTC at an instant, as +hh:mm."""
+    t = col(at)
+    minutes = F.floor((F.unix_micros(F.from_utc_timestamp(t, zone)) - F.unix_micros(F.from_utc_timestamp(t, "UTC"))) / 60_000_000)
+    return F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60), F.abs(minutes) % 60)

@@ -103,15 +103,15 @@ def gaussian(series: DataFrame, radius: int, keys: list[str] = []) -> DataFrame:
 
 
 def ema(series: DataFrame, alpha: float, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Exponential moving average within each run, seeded with its first value. A run is folded as an array: runs are as short as series are."""
+    """Exponential moving average within each run, seeded with its first value; each run takes one pass in its order."""
     s = segments(series.where("value is not null").unionByName(series.where("value is null")), keys)
-    runs = s.where("value is not null").groupBy(*keys, "seg").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("run"))
-    start = F.array(F.struct(F.get("run", F.lit(0))["idx"].alias("idx"), F.get("run", F.lit(0))["value"].alias("value")))
-    folded = F.aggregate(
-        F.slice("run", F.lit(2), F.size("run")), start,
-        lambda a, x: F.concat(a, F.array(F.struct(x["idx"].alias("idx"), (F.lit(alpha) * x["value"] + F.lit(1 - alpha) * F.element_at(a, -1)["value"]).alias("value")))),
-    )
-    out = runs.select(*keys, F.explode(folded).alias("p")).select(*keys, "p.idx", "p.value")
+    kept = s.where("value is not null").select(*keys, "seg", "idx", F.col("value").cast("double").alias("value"))
+
+    def follow(run):
+        run = run.sort_values("idx")
+        return run.assign(value=run["value"].ewm(alpha=alpha, adjust=False).mean())
+
+    out = kept.groupBy(*keys, "seg").applyInPandas(follow, kept.schema).select(*keys, "idx", "value")
     return series.drop("value").join(out, [*keys, "idx"], "left")
 
 
@@ -181,3 +181,12 @@ def day_grid(buckets: DataFrame, end_us: Column | int) -> DataFrame:
     idx = F.floor((F.col("bucket_start_ms") * 1000 - (top - 86_400_000_000)) / 1_800_000_000)
     sums = buckets.withColumn("idx", idx).where(F.col("idx").between(0, 47)).groupBy("idx").agg((F.sum("output") / 1800).alias("value"))
     return buckets.sparkSession.range(48).select(F.col("id").alias("idx")).join(sums, "idx", "left")
+
+
+def model_list(samples: DataFrame, at: str = "at", state: str = "state", by_model: str = "by_model") -> DataFrame:
+    """``(model, value, place)``: every model of the live and zero samples with its value in the last one, else zero; largest first, then by name."""
+    valid = samples.where(F.col(state).isin("live", "zero"))
+    names = valid.select(F.explode(F.map_keys(by_model)).alias("model")).distinct()
+    last = valid.agg(F.max_by(by_model, at).alias("last")).select(F.explode("last").alias("model", "value"))
+    found = names.join(last, "model", "left").select("model", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "model")).cast("long"))  # a row per model

@@ -25,8 +25,8 @@ def first_known_model(order: Column | None = None) -> Column:
 
 
 def map_max(column: str) -> Column:
-    """Key-wise largest values over a group's maps. Groups are the copies of one event, so what is collected is small."""
-    entries = F.flatten(F.collect_list(F.map_entries(column)))
+    """Key-wise largest values over a group's maps. Only distinct maps are collected, and before the shuffle: copies of one event hardly differ."""
+    entries = F.flatten(F.collect_set(F.map_entries(column)))
     keys = lambda e: F.array_sort(F.array_distinct(F.transform(e, lambda x: x["key"])))
     most = lambda e, k: F.array_max(F.transform(F.filter(e, lambda x: x["key"] == k), lambda x: x["value"]))
     return F.transform(F.array(entries), lambda e: F.map_from_arrays(keys(e), F.transform(keys(e), lambda k: most(e, k))))[0]
@@ -83,7 +83,10 @@ def tier_dedup(rows: DataFrame, keys: tuple[str, ...] = ("source", "event_id"))
         if c in rows.columns:
             aggs.append(F.coalesce(F.min_by(c, F.when(F.col(c) != "", order)), F.lit("")).alias(c))
     aggs += [map_max(c).alias(c) for c in ("skill_counts", "mcp_counts") if c in rows.columns]
-    found = best_tier(rows, list(keys)).groupBy(*keys, "tier").agg(*aggs, F.min_by(F.struct(*rest), order).alias("__first"))
+    # one row per key and tier first, so that the highest tier is taken among three rows at most and no full row meets another
+    tiers = rows.groupBy(*keys, "tier").agg(*aggs, F.min_by(F.struct(*rest), order).alias("__first"))
+    own_columns = [c for c in tiers.columns if c not in keys]
+    found = tiers.groupBy(*keys).agg(F.max_by(F.struct(*own_columns), "tier").alias("__top")).select(*keys, "__top.*")
     kept = [F.col(c) for c in found.columns if not c.startswith("__")]
     if "__total" in found.columns:
         kept.append(total_of("__total").alias("total"))

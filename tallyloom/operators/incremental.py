@@ -63,9 +63,19 @@ def high_watermarks(*tables: DataFrame) -> DataFrame:
     return all_.groupBy("hostname").agg(F.max("revision").alias("revision"))
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``order`` and ``row_no``, the row's number from 0 in that order. Rows are dealt into ranges, and a range begins where the counts of those before it end."""
+    dealt = rows.select(*order).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    inside = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
+    # a row per range: as many as there are shuffle partitions
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return inside.join(F.broadcast(starts), "__part").select(*order, (F.col("__start") + F.col("__at")).alias("row_no"))
+
+
 def batches(buckets: DataFrame, sessions: DataFrame, bucket_order: list[str], session_order: list[str], bucket_cap: int = 500, session_cap: int = 1000) -> DataFrame:
     """``(batch, buckets, sessions)``: sizes of the batches when both kinds are cut by their caps (1 to 2000) and zipped by number."""
-    cut = lambda df, order, cap: df.select(F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / min(max(cap, 1), 2000)).cast("long").alias("batch"))  # noqa: E731  a page is at most some thousand rows
+    cut = lambda df, order, cap: numbered(df, order).select(F.floor(F.col("row_no") / min(max(cap, 1), 2000)).cast("long").alias("batch"))
     b = cut(buckets, bucket_order, bucket_cap).groupBy("batch").agg(F.count("*").alias("buckets"))
     s = cut(sessions, session_order, session_cap).groupBy("batch").agg(F.count("*").alias("sessions"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
@@ -176,3 +186,31 @@ def history_slice(rows: DataFrame, now_us: int | Column, points: int, at: str =
     """The last ``points`` samples of the last ``points`` seconds, oldest first."""
     now = F.lit(now_us) if isinstance(now_us, int) else now_us
     return rows.where(F.col(at).between(now - (points - 1) * 1_000_000, now)).orderBy(F.desc(at)).limit(points).orderBy(at)
+
+
+# -- state of a host -----------------------------------------------------------------------------
+
+
+def hostname_state(hostname: Column | str, current: str) -> Column:
+    """Whether rows belong to this host: unnamed, current or foreign. Only current ones may be reported."""
+    h = F.trim(F.coalesce(F.col(hostname) if isinstance(hostname, str) else hostname, F.lit("")))
+    return F.when(h == "", "unnamed").when(h == current, "current").otherwise("foreign")
+
+
+def adopt_hostname(state: DataFrame, hostname: str) -> DataFrame:
+    """``state`` has a row per host: hostname, revision, rebuild_target, parser_version, adopted. History stays as it is."""
+    return state.withColumn("adopted", F.col("hostname") == hostname)
+
+
+def begin_rebuild(state: DataFrame, parser_version: int) -> DataFrame:
+    """A rebuild for this parser is pending from here on; revisions never fall back."""
+    return state.withColumn("rebuild_target", F.lit(parser_version).cast("long"))
+
+
+def rebuild_pending(state: DataFrame) -> DataFrame:
+    return state.where(F.col("rebuild_target").isNotNull())
+
+
+def complete_rebuild(state: DataFrame) -> DataFrame:
+    """The pending parser version becomes the version; hosts without a pending rebuild stay."""
+    return state.withColumns({"parser_version": F.coalesce("rebuild_target", "parser_version"), "rebuild_target": F.lit(None).cast("long")})

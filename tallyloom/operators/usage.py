@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.exprs import bucket_start, cap_lines, cost, micros, saturating_sum, share_or_null, upstream_basis, window_bounds
+from tallyloom.functions.exprs import bucket_start, cap_lines, cost, micros, names_with_keys, normalise_counts, saturating_sum, share_or_null, upstream_basis, window_bounds
 from tallyloom.schemas import BUCKET_MS, COUNTS
 
 BUCKET_KEY = ["source", "model", "project", "bucket_start_ms"]
@@ -32,6 +32,16 @@ def edit_buckets(edits: DataFrame) -> DataFrame:
     return out.withColumn("lines_net", F.col("lines_added") - F.col("lines_deleted"))
 
 
+def normalise_bucket(rows: DataFrame) -> DataFrame:
+    """Counts not below zero, net lines from the others, maps normalised, skills the sorted union of the list and the map's keys. Null counts are zero."""
+    numbers = [c for c in [*COUNTS, "total", "lines_added", "lines_deleted"] if c in rows.columns]
+    out = rows.withColumns({c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long") for c in numbers})
+    out = out.withColumns({c: normalise_counts(c) for c in ("skill_counts", "mcp_counts") if c in rows.columns})
+    if {"lines_added", "lines_deleted"} <= set(numbers):
+        out = out.withColumn("lines_net", F.col("lines_added") - F.col("lines_deleted"))
+    return out.withColumn("skills", names_with_keys(F.col("skills"), F.col("skill_counts"))) if {"skills", "skill_counts"} <= set(rows.columns) else out
+
+
 def buckets_with_edits(tokens: DataFrame, edits: DataFrame, measured: DataFrame) -> DataFrame:
     """Token and edit buckets together; buckets of edits alone appear with zero tokens. Sources in ``measured`` have code metric version 2.
 
@@ -67,7 +77,9 @@ def prices_for(models: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def with_cost(buckets: DataFrame, prices: DataFrame) -> DataFrame:
-    return buckets.join(prices_for(buckets, prices), "model").withColumn("cost", cost("input", "output", "cached_input", "reasoning", F.col("price"))).drop("price")
+    """``cost`` of each bucket; a null model costs what no pattern matches."""
+    found = prices_for(buckets, prices).withColumnRenamed("model", "__model")
+    return buckets.join(found, F.col("model").eqNullSafe(F.col("__model"))).drop("__model").withColumn("cost", cost("input", "output", "cached_input", "reasoning", F.col("price"))).drop("price")
 
 
 def in_window(buckets: DataFrame, window: str, ref: Column, zone: str = "UTC", hostname: str | None = None) -> DataFrame:
