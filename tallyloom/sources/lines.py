@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import coerce_long, parse_time, total_of
@@ -17,16 +17,24 @@ MOST_API_BYTES = 128 << 20
 def read_lines(spark: SparkSession, root: str, source: str) -> DataFrame:
     """``(file_id, source, line_no, raw)`` of every ``.jsonl`` file below the root, without empty lines; line numbers count from 0.
 
-    A root that doesn't exist has no lines. Files are read whole because lines carry no number of their own; transcripts are
-    small, and there are many of them.
+    A root that doesn't exist has no lines; hidden files and folders below it are left out. Files are split and read line by line, so a file may be of
+    any size. A split numbers its own lines, and the counts of a file's earlier splits are added.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "file_id string, source string, line_no long, raw string")
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
-    each = files.select(F.sha2(F.col("_metadata.file_path"), 256).alias("file_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"), F.col("_metadata.file_path").alias("path"))
-    hidden = F.col("path").rlike(r"/\.[^/]*$")
-    return each.where((F.trim("raw") != "") & ~hidden).select("file_id", F.lit(source).alias("source"), F.col("line_no").cast("long").alias("line_no"), "raw")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(root)
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9+.-]+:/*|^/*", "/")
+    below = F.substring(bare(F.col("_metadata.file_path")), len(re.sub("^[a-z0-9+.-]+:/*|^/*", "/", root.rstrip("/"))) + 1, 1 << 20)
+    lines = files.where(~below.rlike(r"/\.")).select(
+        F.sha2(F.col("_metadata.file_path"), 256).alias("file_id"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("raw")
+    )
+    # a split is read by one task, in order, without a gap in its ids
+    splits = lines.groupBy("file_id", "begin").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file_id").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file_id", "begin", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = lines.join(splits, ["file_id", "begin"]).where(F.trim("raw") != "")
+    return numbered.select("file_id", F.lit(source).alias("source"), (F.col("at") + F.col("shift")).alias("line_no"), "raw")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

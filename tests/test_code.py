@@ -72,3 +72,12 @@ def test_script_patches():
     assert code.script_patch('const p = "noop"; text(p);') is None
     assert code.script_patch('function f() { await tools.apply_patch("*** Begin Patch"); }') is None
     assert code.script_patch("await tools.apply_patch(`*** Begin Patch ${x}`);") is None
+
+
+def test_methods_that_call_at_once():
+    for name in "map flatMap forEach filter some every find findIndex findLast findLastIndex reduce reduceRight sort".split():
+        assert code.tools_reached(f"xs.{name}(() => {{ tools.mcp__srv__go(); }});") == {"srv": 1}, name
+    for name in "all allSettled any race then".split():
+        assert code.tools_reached(f"xs.{name}(() => {{ tools.mcp__srv__go(); }});") == {}, name
+    assert code.line_diff("a\n" * 20_000 + "x", "a\n" * 20_000 + "y") == (1, 1)
+    assert code.line_diff("a\nb\na", "a\nb\na\nb\na") == (2, 0)

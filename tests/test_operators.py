@@ -395,3 +395,51 @@ def test_sums_agree(spark):
 def test_sum_map(spark):
     df = spark.createDataFrame([("a", {"x": 1, "y": 2}), ("a", {"x": 5}), ("b", {})], "k string, m map<string,bigint>")
     assert {r["k"]: r["m"] for r in usage.sum_map(df, ["k"], "m").collect()} == {"a": {"x": 6, "y": 2}}
+
+
+def test_lines_of_large_files_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "a.hidden-name").mkdir()
+    for folder in (".git", "sub/.cache"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "x.jsonl").write_text("{}\n")
+    text = [f'{{"k":{k}}}' if k % 7 else "" for k in range(3000)]
+    (tmp_path / "a.hidden-name" / "long.jsonl").write_text("\n".join(text) + "\n")
+    (tmp_path / "short.jsonl").write_text('{"k":0}\r\n{"k":1}')
+    (tmp_path / ".dot.jsonl").write_text("{}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = L.read_lines(spark, str(tmp_path), "s")
+        got = sorted((r["file_id"], r["line_no"], r["raw"]) for r in found.collect())
+        assert found.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    by = {}
+    for f, k, raw in got:
+        by.setdefault(f, []).append((k, raw))
+    assert sorted(by.values(), key=len) == [[(0, '{"k":0}'), (1, '{"k":1}')], [(k, t) for k, t in enumerate(text) if t]]
+
+
+def test_a_null_model_keeps_its_bucket(spark):
+    rows = [(None, 1_000_000, 0), ("big-model", 1_000_000, 0)]
+    b = spark.createDataFrame(rows, "model string, input long, output long").withColumns({"cached_input": F.lit(0), "reasoning": F.lit(0)})
+    p = spark.createDataFrame([(1, "big", 7.0, 1.0, 1.0, 1.0)], "rank int, pattern string, input_price double, output_price double, cache_price double, reasoning_price double")
+    assert {r["model"]: r["cost"] for r in usage.with_cost(b, p).collect()} == {None: usage.FALLBACK_PRICE[0], "big-model": 7.0}
+
+
+def test_rows_are_numbered_by_range(spark):
+    from tallyloom.operators import incremental
+
+    rows = spark.createDataFrame([(k * 7919 % 1000 // 2,) for k in range(1000)], "v long")
+    got = [(r["row_no"], r["v"]) for r in incremental.numbered(rows, ["v"]).collect()]
+    assert sorted(got) == list(enumerate(sorted(k * 7919 % 1000 // 2 for k in range(1000))))
+    assert incremental.numbered(rows.limit(0), ["v"]).count() == 0
+
+
+def test_highest_tier_is_taken_without_a_join(spark):
+    from tallyloom.operators import dedup
+
+    rows = spark.createDataFrame([("s", "e", 1, "f1", 9, 5), ("s", "e", 2, "f2", 3, 7), ("s", "e", 2, "f3", 4, 6)], "source string, event_id string, tier int, file_id string, input long, ts_ms long")
+    out = dedup.tier_dedup(rows)
+    assert [(r["tier"], r["input"], r["file_id"]) for r in out.collect()] == [(2, 4, "f3")]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
