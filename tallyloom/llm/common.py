@@ -46,6 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_split(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, most: int = 10_000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, unique by ``key``, whose column ``rows`` counts the rows of ``left`` that have it (``total`` in all).
+
+    Keys that hold more than one in ``most`` of all rows are fewer than ``most``, so they are broadcast and their rows stay where they are;
+    all other keys are joined by a shuffle.
+    """
+    often = F.col(rows) > total / most
+    hot = F.broadcast(right.where(often))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(~often).hint("merge"), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids belong to fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

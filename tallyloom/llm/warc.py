@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import join_split, shared_dir, stored
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 MOST_HEADERS = 1 << 20
@@ -150,11 +150,12 @@ def salvage(raw: bytes) -> Iterator[tuple[int, int, Record | None, str]]:
 
 
 def decide_types(pages: DataFrame, key_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
-    """``(key, refers_to)`` of the rows that revisit another row's payload."""
+    """``(key, digest, refers_to)`` of the rows that revisit another row's payload, one row per key and payload. Digests, not payloads, are shuffled."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     sums = pages.select(F.col(key_col).cast("long").alias("key"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
-    groups = sums.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("key").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
-    revisits = sums.where(F.col("n") >= least_bytes).join(groups.select("digest", "refers_to"), "digest").where("not key <=> refers_to")
+    sums = stored(sums.where(F.col("n") >= least_bytes).select("key", "digest"), "warc-digests")
+    groups = sums.groupBy("digest").agg(F.min("key").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
+    revisits = join_split(sums, stored(groups, "warc-groups"), "digest", "rows", sums.count()).where("not key <=> refers_to")
     return revisits.groupBy("key", "digest").agg(F.first("refers_to").alias("refers_to"))
 
 
@@ -166,19 +167,22 @@ def write_archives(
     payload_col: str = "html",
     least_bytes: int = 0,
     file_bytes: int = 32 << 20,
+    broadcast_rows: int = 300_000,
 ) -> DataFrame:
     """Writes one record per row below ``path`` and returns ``(file, records, bytes)``, the manifest, as a lazy
     DataFrame: each run writes files anew.
 
     Among rows with equal payloads of at least ``least_bytes`` bytes, that with the smallest key is a response and the others are
     revisits that refer to it; rows that repeat this key are responses too, and so are all rows of a group in which every key is null. Null payloads are empty, null urls are ``urn:none``.
-    A file closes once it holds ``file_bytes``, so a reader's task stays small.
+    A file closes once it holds ``file_bytes``, so a reader's task stays small. Up to ``broadcast_rows`` revisits are broadcast to the rows, so payloads
+    stay where they are; more are joined by a shuffle.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), payload.cast("binary").alias("payload"))
     # join by key and digest: the digest keeps rows apart that repeat a key with another payload
     rows = rows.withColumn("digest", F.sha1("payload"))
-    types = decide_types(pages, key_col, payload_col, least_bytes)
+    types = stored(decide_types(pages, key_col, payload_col, least_bytes), "warc-types")
+    types = F.broadcast(types) if types.count() <= broadcast_rows else types
     joined = rows.join(types.select(F.col("key").alias("k"), F.col("digest").alias("d"), F.col("refers_to")), F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
     joined = joined.select("key", "url", "payload", F.col("refers_to"), F.col("d").isNotNull().alias("revisit"))
 
