@@ -20,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import join_split, shared_dir, stored
 
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 2024) for b in range(256)], np.uint32)
 ROW = 192  # bytes in a pixel row: 64 pixels of three 8-bit samples
 REFS_PER_SALT = 128
+MOST_SALTS = 1 << 14  # copies of one chunk that are sent out, 128 MB of a chunk of the largest size
 
 
 def cuts(data: bytes, least: int = 512, bits: int = 11, most: int = 8192) -> list[int]:
@@ -113,9 +114,11 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = listed.select("id", "th", F.posexplode("digests").alias("seq", "digest"))
     owner = F.min(F.struct("id", "th", "seq")).alias("owner")
     shared = each.groupBy("digest").agg(F.count("*").alias("n"), owner).where("n > 1")
-    shared = stored(shared.select("digest", F.ceil(F.col("n") / REFS_PER_SALT).cast("int").alias("salts"), "owner"), "shared")
+    salts = F.least(F.ceil(F.col("n") / REFS_PER_SALT), F.lit(MOST_SALTS)).cast("int")
+    shared = stored(shared.select("digest", "n", salts.alias("salts"), "owner"), "shared")
+    total = listed.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]
     own = F.struct("id", "th", "seq").eqNullSafe(F.col("owner"))
-    marks = each.join(shared, "digest").groupBy("id", "th").agg(F.collect_set(F.struct("seq", own.alias("keeps"), "salts")).alias("marks"))
+    marks = join_split(each, shared, "digest", "n", total).groupBy("id", "th").agg(F.collect_set(F.struct("seq", own.alias("keeps"), "salts")).alias("marks"))
     marks = stored(marks.select(F.col("id").alias("mid"), F.col("th").alias("mth"), "marks"), "marks")
     size = marks.agg(F.count("*") + F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
     side = F.broadcast(marks) if size <= broadcast_rows else marks.hint("merge")
