@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 BUCKET_ROWS = 1024
+STRETCH = 4096  # buckets whose sizes one task sums up
 
 
 def period_schedule(shares: dict[str, int]) -> list[str]:
@@ -87,6 +88,8 @@ def mix_sources(
     block_rows: int = 16,
     alpha: float = 0.7,
     period: int = 1024,
+    bucket_rows: int = BUCKET_ROWS,
+    stretch: int = STRETCH,
 ) -> DataFrame:
     """``docs`` with block, phase, release, deadline, slot and position appended; sort by position to read the mix.
 
@@ -112,13 +115,15 @@ def mix_sources(
     pattern = spark.createDataFrame(pd.DataFrame(patterns, columns=["phase", "source_key", "k", "offset"]), "phase int, source_key string, k long, offset long")
     small = lambda df, rows: F.broadcast(df) if len(rows) <= 200_000 else df  # noqa: E731  beyond that, an ordinary join
 
-    # ranks within a source, without one task per source: rows are dealt into hash ranges of about BUCKET_ROWS
-    n_buckets = spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in sizes.items()], "source_key string, n_buckets long")
+    # ranks within a source, without one task per source: rows are dealt into hash ranges of about bucket_rows, whose sizes are summed up stretch by stretch
+    n_buckets = spark.createDataFrame([(s, -(-n // bucket_rows)) for s, n in sizes.items()], "source_key string, n_buckets long")
     unit = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
     dealt = base.join(small(n_buckets, sizes), "source_key").withColumn("bucket", F.floor(unit * F.col("n_buckets")))
-    before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("source_key", "bucket").agg(F.count("*").alias("n"))
-    starts = stored(starts, "bucket_sizes").select("source_key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    sums = stored(dealt.groupBy("source_key", "bucket").agg(F.count("*").alias("n")).withColumn("stretch", F.floor(F.col("bucket") / stretch)), "bucket_sizes")
+    earlier = lambda keys, at: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.groupBy("source_key", "stretch").agg(F.sum("n").alias("n")).select("source_key", "stretch", earlier(["source_key"], "stretch").alias("base"))
+    starts = sums.withColumn("start", earlier(["source_key", "stretch"], "bucket")).join(bases, ["source_key", "stretch"])
+    starts = starts.select("source_key", "bucket", (F.col("start") + F.col("base")).alias("start"))
     inside = Window.partitionBy("source_key", "bucket").orderBy("h")
     ranked = dealt.withColumn("in_bucket", F.row_number().over(inside) - 1).join(starts, ["source_key", "bucket"])
     ranked = ranked.withColumn("rank", F.col("start") + F.col("in_bucket")).withColumn("block", F.floor(F.col("rank") / block_rows))
