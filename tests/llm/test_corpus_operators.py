@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import components, decontaminate, domtree, langid, licenses, media, mixing, ngram, secrets, simhash, warc
+from tallyloom.llm import common, components, decontaminate, domtree, langid, licenses, media, mixing, ngram, secrets, simhash, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -547,6 +547,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_keys_of_any_weight_are_joined_once(spark):
+    rng = random.Random(30)
+    left = [(k, rng.choice(["hot"] * 5 + [f"k{j}" for j in range(40)] + [None])) for k in range(500)]
+    counts = collections.Counter(k for _, k in left if k)
+    a, b = spark.createDataFrame(left, "row int, key string"), spark.createDataFrame([(k, n, k.upper()) for k, n in counts.items()], "key string, n long, name string")
+    for most in (1, 10, 40, 10_000):  # none, some, nearly all, all are hot
+        got = common.join_split(a, b, "key", "n", len(left), most).select("row", "name").collect()
+        assert sorted(map(tuple, got)) == [(r, k.upper()) for r, k in left if k]
+    assert common.join_split(a.limit(0), b.limit(0), "key", "n", 0).count() == 0
+
+
+def test_warc_revisits_by_broadcast_and_by_shuffle(spark):
+    rng = random.Random(31)
+    rows = [(k, "u", rng.choice(["hot page"] * 3 + [f"page {j}" for j in range(9)])) for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = {t: min(i for i, _, x in rows if x == t) for t in {t for *_, t in rows}}
+    for bound in (0, 300_000):
+        got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages, broadcast_rows=bound).collect()}
+        assert got == {i: ("response", None) if first[t] == i else ("revisit", first[t]) for i, _, t in rows}
+
+
 def test_warc_salvage_recovers_what_follows_damage():
     rng = random.Random(2)
     blocks = [rng.randbytes(300) + b"WARC/1.1 inside " + bytes([k]) for k in range(12)]
@@ -589,6 +610,20 @@ def test_media_round_trip_and_sharing(spark, corpus):
     assert media.read_media(media.store_media(frame(spark, []))).count() == 0
 
 
+def test_media_chunks_with_many_readers(spark, monkeypatch):
+    rng = random.Random(32)
+    hot = " ".join(words(rng, 120, 10_000))
+    rows = [(k, hot, "en", "s") for k in range(300)] + [(1000 + k, " ".join(words(rng, 50)), "en", "s") for k in range(20)] + [(k, None, None, None) for k in range(2000, 2150)]
+    for most in (1 << 14, 2):
+        monkeypatch.setattr(media, "MOST_SALTS", most)
+        store = media.store_media(frame(spark, rows))
+        salts = {p["salts"] for r in store.collect() for p in r["parts"]}
+        assert max(salts) == min(most, 3) and 0 in salts
+        got = media.read_media(store).collect()
+        assert len(got) == len(rows) and all(r["verified"] for r in got)
+        assert {(r["doc_id"], r["payload_sha256"]) for r in got} == {(i, hashlib.sha256(media.text_payload(t)).hexdigest()) for i, t, _, _ in rows}
+
+
 def test_gear_cuts_move_with_the_content():
     rng = random.Random(4)
     data = rng.randbytes(60_000)
@@ -672,6 +707,32 @@ def test_language_id_held_out_and_edge_cases(spark):
     assert langid.learn_dictionaries(frame(spark, [])) == {} and langid.identify(frame(spark, []), dictionaries).count() == 0
 
 
+def test_language_id_equals_brute_force(spark):
+    import zstandard
+
+    rng = random.Random(33)
+    rows = [(i, sentences(rng, lang := rng.choice(["aa", "bb", "cc"]), rng.choice([1, 3, 20, 150, 900])), lang, "s") for i in range(90)]
+    rows += [(200 + k, " ".join(sentences(rng, lang, 200) for lang in ("aa", "bb", "cc")), None, "s") for k in range(10)]
+    dictionaries = langid.learn_dictionaries(frame(spark, rows), rows_per_language=20)
+
+    def size(data, content, level):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(data[k : k + 2048])) for k in range(0, len(data), 2048))
+
+    def wanted(text):
+        data = "".join(c if c.isalpha() else " " for c in text.lower())
+        data = " ".join(data.split()).encode()
+        order = lambda level: sorted((size(data, content, level), lang) for lang, content in dictionaries.items())
+        sizes = order(12 if len(data) <= 512 else 5)
+        if len(data) > 512 and sizes[1][0] - sizes[0][0] <= 0.01 * sizes[1][0]:
+            sizes = order(12)
+        return sizes[0][1], round(1 - sizes[0][0] / sizes[1][0], 9)
+
+    got = {r["doc_id"]: (r["lang_pred"], round(r["lang_margin"], 9)) for r in langid.identify(frame(spark, rows), dictionaries).collect()}
+    assert got == {i: wanted(t) for i, t, *_ in rows}
+
+
 def test_language_margins_reject_ambiguous_texts_and_keep_clean_ones(spark):
     rng = random.Random(16)
     rows = [(i, sentences(rng, lang := rng.choice(["aa", "bb", "cc"]), rng.randrange(20, 200)), lang, "s") for i in range(400)]
@@ -736,6 +797,41 @@ def test_pfair_period_stays_within_one_block(shares):
     assert done == shares
 
 
+def brute_mix(blocks, shares):
+    """Source of each slot: at every slot the earliest deadline among released blocks; a new phase where a source is used up."""
+    left, out = {s: n for s, n in blocks.items() if n}, []
+    while left:
+        common_ = math.gcd(*[shares[s] for s in left])
+        a = {s: shares[s] // common_ for s in left}
+        q, done, t = sum(a.values()), dict.fromkeys(left, 0), 0
+        while not (t % q == 0 and any(done[s] == left[s] for s in left)):
+            ready = [(-(-(done[s] + 1) * q // a[s]), -a[s], s) for s in left if done[s] * q // a[s] <= t]
+            s = min(ready)[2]
+            if done[s] == left[s]:
+                break
+            done[s] += 1
+            out.append(s)
+            t += 1
+        left = {s: n - done[s] for s, n in left.items() if n > done[s]}
+    return out
+
+
+def test_mixing_equals_brute_force_over_many_buckets(spark):
+    rng = random.Random(34)
+    rows = [(i, "t", "en", rng.choice(["hot"] * 8 + ["b", "c", "c", "dd"])) for i in range(3000)]
+    docs, shares = frame(spark, rows), {"hot": 5, "b": 3, "c": 2, "dd": 4}
+    h = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    n = collections.Counter(s for *_, s in rows)
+    for bucket_rows, stretch in ((32, 4), (1024, 4096)):
+        got = mixing.mix_sources(docs, shares, block_rows=4, bucket_rows=bucket_rows, stretch=stretch).collect()
+        slots = {r["slot"]: r["source"] for r in got}
+        assert [slots[t] for t in sorted(slots)] == brute_mix({s: -(-k // 4) for s, k in n.items()}, shares)
+        for s, size in n.items():
+            bucket = lambda i: int(((h[i] % (1 << 64)) >> 11) / (1 << 53) * -(-size // bucket_rows))  # noqa: B023, E731
+            order = sorted((i for i, *_, x in rows if x == s), key=lambda i: (bucket(i), h[i]))
+            assert [r["doc_id"] for r in sorted((r for r in got if r["source"] == s), key=lambda r: r["position"])] == order
+
+
 def test_mixing_places_every_row_once(spark):
     rng = random.Random(10)
     rows = [(i, "t", "en", s) for i, s in enumerate(["a"] * 700 + ["b"] * 90 + ["c"] * 7 + [None] * 33)] + [(None, "n", "en", "a")] * 3 + [(1, "t", "en", "a")]
@@ -777,9 +873,20 @@ def test_pipeline_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     assert first.columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
-def test_shared_storage_can_be_dropped(spark):
-    from tallyloom.llm import common
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rng = random.Random(35)
+    rows = [(i, sentences(rng, lang := rng.choice(["aa", "bb"]), 80), lang, "s") for i in range(40)]
+    frame(spark, rows).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(40))
 
+
+def test_shared_storage_can_be_dropped(spark):
     kept = common.stored(spark.range(3).toDF("n"), "rows")
     assert kept.count() == 3 and common.shared_dir(spark, "x") != common.shared_dir(spark, "x")
     common.drop_shared(spark)
