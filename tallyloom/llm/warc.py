@@ -62,21 +62,37 @@ class Damaged(ValueError):
     pass
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
-    """The record that begins at ``at`` and where it ends; raises Damaged unless all of its checks hold."""
+class Scan:
+    """Finds a byte string from a place on; places asked for must not fall, so all calls together read the data once."""
+
+    def __init__(self, data: bytes, what: bytes):
+        self.data, self.what, self.found = data, what, -1
+
+    def next(self, at: int) -> int:
+        """The first place at or after ``at``; the data's length if there is none."""
+        if at > self.found:
+            k = self.data.find(self.what, at)
+            self.found = k if k >= 0 else len(self.data)
+        return self.found
+
+
+def parse_record(data: bytes, at: int, blanks: Scan) -> tuple[Record, int]:
+    """The record that begins at ``at`` and where it ends; raises Damaged unless all of its checks hold. ``blanks`` finds the data's blank lines."""
     if not data.startswith(VERSION, at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + MOST_HEADERS)
-    if end < 0:
+    end = blanks.next(at)
+    if end == len(data) or end - at > MOST_HEADERS:
         raise Damaged("headers do not end")
-    headers = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
+    headers: dict[str, str] = {}
+    line = data.find(b"\r\n", at)
+    while line < end:
+        start, line = line + 2, data.find(b"\r\n", line + 2)
+        name, colon, value = data[start:line].decode("utf-8", "replace").partition(":")
         if not colon:
             raise Damaged("header without a colon")
         headers[name.strip().lower()] = value.strip()
     size = headers.get("content-length", "")
-    if not size.isdigit():
+    if not (size.isascii() and size.isdigit() and len(size) < 19):
         raise Damaged("no content length")
     start = end + 4
     stop = start + int(size)
@@ -89,32 +105,30 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     return Record(headers, block), stop + 4
 
 
-def inflate_member(data: memoryview, at: int) -> tuple[bytes, int]:
-    z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof and pos < len(data):
-            piece = data[pos : pos + 65536]
+def inflate_member(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """(what could be inflated, where the member ends or inflating failed, the reason of a failure or nothing)."""
+    z, out, pos, step = zlib.decompressobj(31), [], at, 65536
+    while not z.eof and pos < len(data):
+        before = z.copy()
+        piece = data[pos : pos + step]
+        try:
             out.append(z.decompress(piece))
             pos += len(piece)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
+        except zlib.error as e:
+            if len(piece) == 1:
+                return b"".join(out), pos, f"gzip: {e}"
+            z, step = before, max(1, step // 16)  # the bytes before the failure count
     if not z.eof:
-        raise Damaged("gzip member is cut off")
-    return b"".join(out), pos - len(z.unused_data)
-
-
-def next_start(raw: bytes, at: int) -> int:
-    """Where a gzip member or a version line may begin next; the end if nowhere."""
-    found = [k for k in (raw.find(MAGIC, at), raw.find(VERSION, at)) if k >= 0]
-    return min(found, default=len(raw))
+        return b"".join(out), pos, "gzip member is cut off"
+    return b"".join(out), pos - len(z.unused_data), ""
 
 
 def in_member(plain: bytes, at: int, end: int) -> Iterator[tuple[int, int, Record | None, str]]:
     """Records of one inflated member; a damaged one is skipped up to the next version line and logged with the member's range."""
-    pos = 0
+    pos, blanks = 0, Scan(plain, b"\r\n\r\n")
     while pos < len(plain):
         try:
-            record, pos = parse_record(plain, pos)
+            record, pos = parse_record(plain, pos, blanks)
             yield at, end, record, ""
         except Damaged as e:
             yield at, end, None, f"in member: {e}"
@@ -124,26 +138,42 @@ def in_member(plain: bytes, at: int, end: int) -> Iterator[tuple[int, int, Recor
 
 
 def salvage(raw: bytes) -> Iterator[tuple[int, int, Record | None, str]]:
-    """(offset, end, record or None, reason): every recoverable record, and every gap with the reason of its first failure."""
-    data, at, gap, why = memoryview(raw), 0, -1, ""
+    """(offset, end, record or None, reason): every recoverable record, and every gap with the reason of its first failure.
+
+    Records are also taken from what a failing member gave before it failed: each is checked by its own length and digest, and the range of the failing
+    member is logged with the reason. Behind a failure the next start is looked for from the member's second byte on, as the failing member may have run into the next one;
+    up to where inflating failed only members count, since version lines there were read already.
+    """
+    data, at, gap, why, read = memoryview(raw), 0, -1, "", 0
+    members, lines, blanks = Scan(raw, MAGIC), Scan(raw, VERSION), Scan(raw, b"\r\n\r\n")
     while at < len(raw):
-        records: list[tuple[int, int, Record | None, str]] = []
-        try:
-            if raw.startswith(MAGIC, at):
-                plain, end = inflate_member(data, at)
-                records = list(in_member(plain, at, end))
-            else:
-                record, end = parse_record(raw, at)
-                records.append((at, end, record, ""))
-        except Damaged as e:
+        found: list[tuple[int, int, Record | None, str]] = []
+        if raw.startswith(MAGIC, at):
+            plain, end, failure = inflate_member(data, at)
+            found = list(in_member(plain, at, end))
+            if failure:
+                found = [r for r in found if r[2] is not None]
+                read = max(read, end if found else at + 1)
+        else:
+            failure = ""
+            try:
+                record, end = parse_record(raw, at, blanks)
+                found = [(at, end, record, "")]
+            except Damaged as e:
+                failure = str(e)
+        if failure:
+            if found and gap >= 0:  # what lies before is a gap of its own
+                yield gap, at, None, why
+                gap = -1
             if gap < 0:
-                gap, why = at, str(e)
-            at = next_start(raw, at + 1)
+                gap, why = at, failure
+            yield from found
+            at = min(members.next(at + 1), lines.next(max(at + 1, read)))
             continue
         if gap >= 0:
             yield gap, at, None, why
             gap = -1
-        yield from records
+        yield from found
         at = end
     if gap >= 0:
         yield gap, len(raw), None, why
@@ -196,7 +226,7 @@ def write_archives(
             nonlocal number, out, held
             if held:
                 final = f"{base}/part-{part:06d}-{number:04d}-{attempt}.warc.gz"  # the manifest names those of attempts that succeeded
-                with fs.open_output_stream(final) as f:
+                with fs.open_output_stream(final, compression=None) as f:  # the members are the compression
                     f.write(out.getbuffer())
                 done.append((final.rpartition("/")[2], held, out.tell()))
             number, out, held = number + 1, io.BytesIO(), 0
@@ -224,7 +254,7 @@ RECORD_SCHEMA = "file string, offset long, end long, record_type string, target_
 
 
 def read_archives(spark: SparkSession, path: str, files: DataFrame, keep_payload: bool = True) -> DataFrame:
-    """Records and gaps of the archives named in ``files.file`` below ``path``.
+    """Records and gaps of the archives named in ``files.file`` below ``path``; if ``files`` states their ``records``, a file that gives another number of them has one more gap row at its end.
 
     A row with gap_reason is a quarantined range [offset, end) of its file; all other rows are records. For a response, payload_bytes and
     payload_digest are measured on the payload that was read; for a revisit they are those its headers state. digest_ok tells whether
@@ -238,11 +268,12 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame, keep_payload
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
         number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                with fs.open_input_stream(f"{base}/{name}") as f:
+            for name, stated_records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
                     raw = f.read()
-                rows, held = [], 0
+                rows, held, good = [], 0, 0
                 for offset, end, record, why in salvage(raw):
+                    good += record is not None
                     if record is None:
                         rows.append((name, offset, end, *[None] * 7, None, why))
                         continue
@@ -256,11 +287,14 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame, keep_payload
                     if len(rows) >= 2000 or held > 8 << 20:
                         yield pack(rows)
                         rows, held = [], 0
+                if stated_records is not None and good != stated_records:
+                    rows.append((name, len(raw), len(raw), *[None] * 8, f"the manifest states {stated_records} records, {good} were read"))
                 if rows:
                     yield pack(rows)
 
     n = files.count()
-    return files.select("file").repartition(max(1, min(n, 20_000))).mapInArrow(run, RECORD_SCHEMA)
+    files = files if "records" in files.columns else files.withColumn("records", F.lit(None))
+    return files.select("file", F.col("records").cast("long")).repartition(max(1, min(n, 20_000))).mapInArrow(run, RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
