@@ -151,14 +151,19 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.sparkSession.read.schema(store.schema).parquet(path)
 
 
-def assemble(store: DataFrame) -> DataFrame:
+def assemble(store: DataFrame, broadcast_rows: int = 300_000) -> DataFrame:
     """``(id, n_bytes, parts)``: the store with every chunk list complete. Only rows that lack a chunk are shuffled."""
     parts = "array<struct<seq:int,digest:binary,bytes:binary>>"
     whole = store.where("missing = 0").select("id", "n_bytes", F.transform("parts", lambda p, i: F.struct(i.alias("seq"), p["digest"].alias("digest"), p["bytes"].alias("bytes"))).cast(parts).alias("parts"))
     pieces = store.where("missing > 0").select("uid", "id", "n_bytes", F.posexplode("parts").alias("seq", "p"))
     present = pieces.where("p.bytes is not null").select("uid", "id", "n_bytes", "seq", F.col("p.digest").alias("digest"), F.col("p.bytes").alias("bytes"))
     absent = pieces.where("p.bytes is null").select("uid", "id", "n_bytes", "seq", F.col("p.digest").alias("digest"), F.pmod(F.xxhash64("uid"), F.col("p.salts")).alias("salt"))
-    kept = store.select(F.explode(F.filter("parts", lambda p: (p["salts"] > 0) & p["bytes"].isNotNull())).alias("p"))
+    held = store.select("uid", F.explode(F.filter("parts", lambda p: (p["salts"] > 0) & p["bytes"].isNotNull())).alias("p"))
+    # repeats of the owner's row keep the chunk as well: one of them, the least uid, gives it out
+    several = held.groupBy(F.col("p.digest").alias("digest")).agg(F.min("uid").alias("giver"), F.count("*").alias("holders")).where("holders > 1")
+    several = stored(several.select("digest", "giver"), "givers")
+    n = several.count()
+    kept = held.join(F.broadcast(several) if n <= broadcast_rows else several.hint("merge"), F.col("p.digest") == F.col("digest"), "left").where("giver is null or giver = uid").select("p") if n else held
     kept = kept.select(F.col("p.digest").alias("digest"), F.col("p.bytes").alias("bytes"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.salts").cast("long") - 1)).alias("salt"))
     fetched = absent.join(kept, ["digest", "salt"]).select("uid", "id", "n_bytes", "seq", "digest", "bytes")
     lists = present.unionByName(fetched).groupBy("uid", "id", "n_bytes").agg(F.collect_list(F.struct("seq", "digest", "bytes")).cast(parts).alias("parts"))
@@ -178,8 +183,8 @@ def read_media(store: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                pieces = {p["seq"]: (p["digest"], p["bytes"]) for p in batch.column(2)[k].as_py()}  # repeated rows can bring a chunk twice
-                ordered = [pieces[s] for s in sorted(pieces)]
+                pieces = sorted((p["seq"], p["digest"], p["bytes"]) for p in batch.column(2)[k].as_py())
+                ordered = [(d, b) for _, d, b in pieces]
                 media = b"".join(b for _, b in ordered)
                 payload = decode_ppm(media)
                 good = all(hashlib.sha256(b).digest() == d for d, b in ordered)
