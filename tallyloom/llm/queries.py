@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, domtree, langid, licenses, media, mixing, ngram, secrets, simhash, warc
+from . import codebooks, decontaminate, domtree, langid, licenses, media, merkle, mixing, ngram, secrets, simhash, token_files, warc
+from . import oracle as _oracle
 from .common import fold, table
 
 
@@ -60,6 +61,20 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
@@ -71,5 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_pfair_mixing": op10_pfair_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_repair_tokens": op13_repair_tokens,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(_oracle.ORACLE)
