@@ -79,7 +79,8 @@ def parse(page: str | None) -> Dom:
     """Block elements and text blocks of one page. Unclosed and misnested tags are closed by what HTML lets follow; nothing raises."""
     page = page or ""
     parent, tags, names = [-1], ["#root"], [""]
-    opened: dict[str, int] = defaultdict(int)  # elements of each tag on the stack
+    opened: dict[str, list[int]] = defaultdict(list)  # places on the stack of each tag's elements
+    scopes: list[int] = []  # places of those that bound a scope
     never_closed: set[str] = set()
     markup = Markup(page)
     blocks: list[tuple[int, str, int]] = []
@@ -99,8 +100,10 @@ def parse(page: str | None) -> Dom:
     def close(k: int) -> None:
         """Takes the elements from place k of the stack on off it."""
         for e in stack[k:]:
-            opened[tags[e]] -= 1
+            opened[tags[e]].pop()
         del stack[k:]
+        while scopes and scopes[-1] >= k:
+            scopes.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -144,27 +147,26 @@ def parse(page: str | None) -> Dom:
             continue
         if closing:
             if opened[tag]:
-                close(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag))
+                close(opened[tag][-1])
             continue
         if tag in ("html", "body") and opened[tag]:
             continue
         if tag in CLOSES_P and tags[stack[-1]] == "p":
             close(len(stack) - 1)
         same = SAME_LEVEL.get(tag)
-        if same and any(opened[t] for t in same):
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in same:
-                    close(k)
-                    break
-                if tags[stack[k]] in SCOPE:
-                    break
+        if same:
+            nearest = max((opened[t][-1] for t in same if opened[t]), default=0)
+            if nearest and nearest >= (scopes[-1] if scopes else 0):
+                close(nearest)
         if rest.endswith("/") and tag not in CLOSES_P:
             continue
         parent.append(stack[-1])
         tags.append(tag)
         names.append(" ".join(a.strip("\"'") for a in ATTRIBUTE.findall(rest)) if rest else "")
+        opened[tag].append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
         stack.append(len(tags) - 1)
-        opened[tag] += 1
     flush()
     return Dom(parent, tags, names, blocks)
 

@@ -164,3 +164,14 @@ def test_damaged_tags_lose_no_text():
     assert text("<div>1<!-- x > <p>no</p> -->2</div><p>3 <!-- never closed") == ["12", "3"]
     assert text("3 < 4 <") == ["3 < 4 <"] and text("<p>tail <a href='x'") == ["tail <a href='x'"]
     assert text("<textarea>in</textarea><p>out</p><textarea><p>rest") == ["out", "rest"]
+
+
+def test_deep_nesting_is_read_in_linear_time():
+    import time
+
+    from tallyloom.llm import domtree
+
+    for page in ("<p><foo><section>" + "<foo>" * 90_000 + "<p></p>" * 90_000, "<li><foo>" * 60_000 + "<li>" * 60_000, "<ul><li>" * 60_000 + "<td><dd>" * 60_000, "<div>" * 90_000 + "</div><p>" * 60_000, "<option><b>" + "<foo>" * 100_000 + "<option>" * 60_000):
+        start = time.perf_counter()
+        dom = domtree.parse(page)
+        assert time.perf_counter() - start < 6 and len(dom.tag) > 1000
