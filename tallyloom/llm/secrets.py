@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 RUN = r"[A-Za-z0-9_+/\-]"
 # the first two look-behinds are cheap and turn almost every place away before the last one is tried
-ASSIGNED = r"(?<=[:=\s\x22'])(?<=[:=][\s\x22']{0,3})(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|access_key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22'#<>]{6,}+"
+ASSIGNED = r"(?<=[:=\s\x22'])(?<=[:=][\s\x22']{0,3})(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|access_key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)(?=[^\s\x22'#<>]{6})[^\s\x22'#<>&;]++(?:[&;](?![\s\x22']|$|[A-Za-z_][\w.-]{0,40}=)[^\s\x22'#<>&;]*+){0,200}+"
 IN_ADDRESS = r"(?<=:)(?<=://[^\s:/@\x22'<>]{1,64}:)[^\s@/\x22'<>]{6,}+(?=@)"
+IN_OPTION = r"(?<=:)(?<=\s(?:-u|--user)[ =][\x22']{0,1}[^\s:/@\x22'<>]{1,64}:)[^\s\x22'<>]{6,}+"  # curl -u name:password
+HOOK = rf"(?:hooks\.slack\.com/(?:services|workflows)|discord(?:app)?\.com/api/webhooks)/{RUN}{{20,}}+"
 PREFIXED = rf"(?<!{RUN})(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|glpat-|AIza|eyJ){RUN}{{16,}}+={{0,2}}"
-CANDIDATE = rf"{ASSIGNED}|{IN_ADDRESS}|{PREFIXED}|(?<!{RUN})(?=[A-Za-z_+/\-]*+[0-9]){RUN}{{16,}}+={{0,2}}"
+CANDIDATE = rf"{ASSIGNED}|{IN_ADDRESS}|{IN_OPTION}|{HOOK}|{PREFIXED}|(?<!{RUN})(?=[A-Za-z_+/\-]*+[0-9]){RUN}{{16,}}+={{0,2}}"
 NEAR = 48  # characters of context kept on either side
 
 # Common words and word parts whose presence speaks against randomness.
@@ -39,38 +41,38 @@ FEATURES = [
 ]
 
 
-def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """``docs`` with ``found``: an array of (value, start, before, after, path) in text order; null and empty texts have none.
+def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = None, out_col: str = "found") -> DataFrame:
+    """``docs`` with ``out_col``: an array of (value, start, before, after, path) in text order; null and empty texts have none.
 
     The pieces between the matches give both the places and the neighbouring words.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    df = docs.withColumn("__values", F.regexp_extract_all(text, F.lit(CANDIDATE), 0))
-    gaps = F.when(F.size("__values") > 0, F.split(text, CANDIDATE, -1))
-    df = df.withColumn("__gaps", gaps)
+    df = docs.withColumn("__tl_values", F.regexp_extract_all(text, F.lit(CANDIDATE), 0))
+    gaps = F.when(F.size("__tl_values") > 0, F.split(text, CANDIDATE, -1))
+    df = df.withColumn("__tl_gaps", gaps)
     place = F.aggregate(
-        F.sequence(F.lit(0), F.size("__values") - 1),
+        F.sequence(F.lit(0), F.size("__tl_values") - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
         lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get("__gaps", i)) + F.length(F.get("__values", i))).alias("at"),
-            F.array_append(acc["starts"], acc["at"] + F.length(F.get("__gaps", i))).alias("starts"),
+            (acc["at"] + F.length(F.get("__tl_gaps", i)) + F.length(F.get("__tl_values", i))).alias("at"),
+            F.array_append(acc["starts"], acc["at"] + F.length(F.get("__tl_gaps", i))).alias("starts"),
         ),
         lambda acc: acc["starts"],
     )
-    df = df.withColumn("__starts", F.when(F.size("__values") > 0, place))
+    df = df.withColumn("__tl_starts", F.when(F.size("__tl_values") > 0, place))
     found = F.transform(
-        F.col("__starts"),
+        F.col("__tl_starts"),
         lambda at, i: F.struct(
-            F.get("__values", i).alias("value"),
+            F.get("__tl_values", i).alias("value"),
             at.alias("start"),
             F.substring(text, F.greatest(at + 1 - NEAR, F.lit(1)), F.least(at, F.lit(NEAR))).alias("before"),
-            F.substring(text, at + 1 + F.length(F.get("__values", i)), F.lit(NEAR)).alias("after"),
+            F.substring(text, at + 1 + F.length(F.get("__tl_values", i)), F.lit(NEAR)).alias("after"),
             path.alias("path"),
         ),
     )
-    return df.withColumn("found", F.coalesce(found, F.array().cast("array<struct<value:string,start:int,before:string,after:string,path:string>>"))).drop(
-        "__values", "__gaps", "__starts"
+    return df.withColumn(out_col, F.coalesce(found, F.array().cast("array<struct<value:string,start:int,before:string,after:string,path:string>>"))).drop(
+        "__tl_values", "__tl_gaps", "__tl_starts"
     )
 
 
@@ -98,14 +100,14 @@ def features(c: Column) -> Column:
         "vowel_share": share("aeiouyAEIOUY"),
         "longest_consonants": F.array_max(F.transform(F.regexp_extract_all(v, F.lit("(?i)[b-df-hj-np-tv-xz]+|."), 0), lambda x: F.length(x))).cast("double"),
         "longest_letters": F.array_max(F.transform(F.regexp_extract_all(v, F.lit("[A-Za-z]+|[0-9]"), 0), lambda x: F.when(x.rlike("[A-Za-z]"), F.length(x)).otherwise(0))).cast("double"),
-        "known_prefix": flag(v.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^xox[abprs]-|^sk[-_]|^glpat-|^AIza|^eyJ")),
+        "known_prefix": flag(v.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^xox[abprs]-|^sk[-_]|^glpat-|^AIza|^eyJ|^hooks\.slack\.|^discord")),
         "repeats": flag(v.rlike(r"(.)\1{4}|(..)\2{3}")),
         "in_path": flag(c["before"].rlike(r"(?:://|www\.|[\w.~-]/|\\)\S*$") | v.rlike(r"^/|/[a-z]+/")),
         "test_path": flag(c["path"].rlike("(?i)(?:^|[/_.-])(?:tests?|examples?|docs?|fixtures?|samples?)(?:$|[/_.-])")),
         "assigned": flag(c["before"].rlike(r"[:=]\s{0,2}[\x22']?$")),
-        "in_address": flag(c["before"].rlike(r"://[^\s:/@]+:$") & c["after"].rlike("^@")),
+        "in_address": flag((c["before"].rlike(r"://[^\s:/@]+:$") & c["after"].rlike("^@")) | c["before"].rlike(r"\s(?:-u|--user)[ =][\x22']?[^\s:/@]+:$")),
         "quoted": flag(c["before"].rlike(r"[\x22']$") & c["after"].rlike(r"^[\x22']")),
-        "secret_word": flag(c["before"].rlike(r"(?i)(?:password|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|auth)\W{0,6}(?:is)?\W{0,6}$")),
+        "secret_word": flag(c["before"].rlike(r"(?i)(?:password|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|auth|bearer|basic)\W{0,6}(?:is)?\W{0,6}$")),
         "hash_word": flag(near.rlike(r"(?i)\b(?:sha-?\d*|md5|commit|checksum|digest|etag|revision|uuid|guid|integrity|card|phone|order|isbn|invoice)\b")),
         "example_word": flag(F.concat(v, F.lit(" "), near).rlike(r"(?i)example|sample|placeholder|dummy|your[_-]|xxxx|changeme|redacted")),
     }
@@ -142,6 +144,10 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (F.substring(drawn, F.lit(1), size(8, 16, 27)), F.concat(plain, pick(["password=", "pwd: ", "password = '", "secret: "], 12)), 1),
         (F.substring(mixed, F.lit(1), size(8, 20, 28)), F.concat(plain, address), 1),
         (F.substring(drawn, F.lit(1), size(8, 14, 29)), F.concat(plain, address), 1),
+        (F.substring(F.when(F.pmod(F.xxhash64(i, F.lit(47)), F.lit(2)) == 0, hexes).otherwise(mixed), F.lit(1), size(24, 64, 48)), F.concat(plain, pick(["Authorization: Bearer ", "authorization: bearer ", "Authorization: Basic ", "-H 'Authorization: Bearer "], 49)), 1),
+        (F.concat(word(50), F.substring(mixed, F.lit(1), size(4, 12, 51))), F.concat(plain, pick(["curl -u ", "curl --user ", "wget --user="], 52), word(53), F.lit(":")), 1),
+        (F.concat(pick(["hooks.slack.com/services/", "discord.com/api/webhooks/"], 54), F.substring(upper, 1, 9), F.lit("/"), F.substring(upper, 10, 9), F.lit("/"), F.substring(mixed, 20, 24)), F.concat(plain, F.lit("https://")), 1),
+        (pick(["password", "yourpassword", "changeme", "xxxxxxxx", "example1"], 55), F.concat(plain, F.lit("curl -u "), word(56), F.lit(":")), 0),
         (F.concat(word(30), pick(["", word(31), "."], 32)), F.concat(plain, name), 0),
         (F.concat(*[pick("re qui con ta ment er ing or al de fi ni tion pro ces se ma lis ed vo".split(), 40 + k) for k in range(3)], pick(["", "", "ble", "er"], 43)), F.concat(plain, name), 0),
         (pick(["password", "PASSWORD", "xxxxxxxx", "yourpassword", "example1", "secret", "changeme", "placeholder"], 33), F.concat(plain, address), 0),
@@ -188,6 +194,17 @@ def forest_score(model: RandomForestClassificationModel, f: Column) -> Column:
     return F.get(F.transform(F.array(f), vote), 0)  # in a lambda the features are one variable and not repeated at every node
 
 
+def _scored(docs: DataFrame, model: RandomForestClassificationModel, text_col: str, path_col: str | None, threshold: float) -> DataFrame:
+    """``docs`` with ``__tl_secrets``, as ``detect`` states it; the columns of ``docs`` stay, whatever their names."""
+    df = candidates(docs, text_col, path_col, "__tl_found")
+    df = df.withColumn("__tl_found", F.transform("__tl_found", lambda c: F.struct(c.alias("c"), features(c).alias("f"))))
+    scored = F.transform(
+        "__tl_found",
+        lambda x: F.struct(*[x["c"][k].alias(k) for k in ("value", "start", "before", "after", "path")], forest_score(model, x["f"]).alias("score")),
+    )
+    return df.withColumn("__tl_found", scored).withColumn("__tl_secrets", F.filter("__tl_found", lambda x: x["score"] >= threshold)).drop("__tl_found")
+
+
 def detect(
     docs: DataFrame,
     model: RandomForestClassificationModel,
@@ -198,32 +215,28 @@ def detect(
     """``docs`` with ``secrets``: an array of (value, start, before, after, path, score), in text order, of the accepted candidates.
 
     Null and empty texts have an empty array. Repeated rows and null ids are treated like any other. An existing
-    column ``secrets`` or ``found`` is replaced. Very long texts are scanned whole.
+    column ``secrets`` is replaced, all others stay. Very long texts are scanned whole.
     """
-    df = candidates(docs.drop("found", "secrets"), text_col, path_col)
-    described = F.transform("found", lambda c: F.struct(c.alias("c"), features(c).alias("f")))
-    df = df.withColumn("found", described)
-    scored = F.transform(
-        "found",
-        lambda x: F.struct(*[x["c"][k].alias(k) for k in ("value", "start", "before", "after", "path")], forest_score(model, x["f"]).alias("score")),
-    )
-    return df.withColumn("found", scored).withColumn("secrets", F.filter("found", lambda x: x["score"] >= threshold)).drop("found")
+    return _scored(docs, model, text_col, path_col, threshold).drop("secrets").withColumnRenamed("__tl_secrets", "secrets")
 
 
 def findings(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """One row per accepted secret: id, start (characters from 0), length, value_sha256 (never the value), score."""
-    rows = detect(docs, model, text_col, path_col, threshold)
+    """One row per accepted secret: id, start (characters from 0), length, value_sha256 (never the value), score. Cases as in ``detect``; repeated rows give their findings each."""
+    rows = _scored(docs, model, text_col, path_col, threshold)
     # explode_outer: a filter before the generator would repeat the whole scan in the filter
-    return rows.select(id_col, F.explode_outer("secrets").alias("s")).where("s is not null").select(
-        id_col, F.col("s.start").cast("long").alias("start"), F.length("s.value").cast("long").alias("length"), F.sha2("s.value", 256).alias("value_sha256"), F.round("s.score", 6).alias("score")
+    return rows.select(id_col, F.explode_outer("__tl_secrets").alias("__tl_s")).where("__tl_s is not null").select(
+        id_col, F.col("__tl_s.start").cast("long").alias("start"), F.length("__tl_s.value").cast("long").alias("length"), F.sha2("__tl_s.value", 256).alias("value_sha256"), F.round("__tl_s.score", 6).alias("score")
     )
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every accepted secret in the text replaced by ``mark``; all rows and columns stay."""
-    df = detect(docs, model, text_col, path_col, threshold)
+    """``docs`` with every accepted secret in the text replaced by ``mark``; all rows and columns stay, whatever the columns' names.
+
+    Null and empty texts stay as they are, repeated rows and null ids are treated like any other, and an empty table gives no rows.
+    """
+    df = _scored(docs, model, text_col, path_col, threshold)
     cut = F.aggregate(
-        "secrets",
+        "__tl_secrets",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             (s["start"] + F.length(s["value"])).alias("at"),
@@ -231,4 +244,4 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, text_col: st
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))),
     )
-    return df.withColumn(text_col, F.when(F.size("secrets") > 0, cut).otherwise(F.col(text_col))).drop("secrets").select(*docs.columns)
+    return df.withColumn(text_col, F.when(F.size("__tl_secrets") > 0, cut).otherwise(F.col(text_col))).drop("__tl_secrets").select(*docs.columns)
