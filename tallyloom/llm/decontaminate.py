@@ -1,8 +1,9 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, names and units become typed placeholders, the rest is lower-cased words. Windows of template words are hashed and
-joined with the windows of the benchmark. Matches on one diagonal (document place minus item place) are checked for slot consistency: an item's slot
-value must always map to the same document value. A capitalised word that opens a sentence may be a name or not, so windows that hold one are
+joined with the windows of the benchmark. Matches on one diagonal (document place minus item place) are checked for slot consistency: each of an item's slot
+values is mapped to the document value that stands for it most often, and a window counts if at least half of its slots agree with that: two slots of an item may have equal values by chance. Currency
+signs stand behind their number, as units do. Words of mixed or upper case are names (the latter not where over half of a text's words are). A capitalised word that opens a sentence may be a name or not, so windows that hold one are
 read both ways. Plain lower-case windows are joined too, so a verbatim passage in other letter case is found. Items whose windows have too few
 literal words are looked for as one whole template. What share of an item's windows is matched decides.
 """
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms t ton tons tonne tonnes oz ounce ounces lb lbs pound pounds "
     "ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hr hrs hour hours day days week weeks month months year years "
-    "ms kmh kph mph degree degrees c f k percent usd eur gbp dollar dollars euro euros cent cents hz khz mhz ghz w kw kwh v volt volts watt watts j joule joules n newton newtons pa kpa b kb mb gb tb byte bytes bit bits".split()
+    "ms kmh kph mph degree degrees c f k percent usd eur gbp dollar dollars euro euros cent cents hz khz mhz ghz w kw kwh v volt volts watt watts j joule joules n newton newtons pa kpa b kb mb gb tb byte bytes bit bits $ € £ ¥".split()
 )
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
+MONEY = re.compile(r"([$€£¥]|\b(?:USD|EUR|GBP))\s?(\d+(?:[.,]\d+)*)")
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]|(?<=\d )[$€£¥]|(?<=\d)[$€£¥]")
 ENDS = frozenset(".!?:\n")
 PLACEHOLDERS = "<number>", "<name>", "<unit>"
 NUMBER, NAME, UNIT = 1, 2, 3  # kinds; 0: literal
@@ -34,7 +36,8 @@ WHOLE_LITERAL, WHOLE_WORDS = 3, (5, 64)  # literal words and length of an item t
 FEW_TYPED = 0.25  # an item with fewer template windows than this share is looked for as one template
 TYPED = ("template", "open", "whole")
 BASE = 0x9E3779B97F4A7C15
-IS_END, IS_NUMBER, IS_UNIT, IS_CAPITAL = 1, 2, 4, 8
+IS_END, IS_NUMBER, IS_UNIT, IS_CAPITAL, IS_UPPER = 1, 2, 4, 8, 16
+FLAG_BITS = 5
 
 
 def code(word: str) -> int:
@@ -50,8 +53,8 @@ class Words(dict):
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        flags = IS_END if token in ENDS else IS_NUMBER if token[0].isdigit() else IS_UNIT * (low in UNITS) | IS_CAPITAL * (len(token) > 1 and token[0].isupper() and token[1:].islower())
-        self[token] = known = self.vocabulary.get(low, 0) << 4 | flags
+        flags = IS_END if token in ENDS else IS_NUMBER if token[0].isdigit() else IS_UNIT * (low in UNITS) | (len(token) > 1 and token[0].isupper()) * (IS_UPPER if token.isupper() else IS_CAPITAL)
+        self[token] = known = self.vocabulary.get(low, 0) << FLAG_BITS | flags
         return known
 
 
@@ -68,20 +71,27 @@ class Reading(NamedTuple):
         return self.tokens[self.at[k]].lower()
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """Words, numbers and sentence ends; currency signs and codes come behind their number."""
+    return TOKEN.findall(MONEY.sub(r"\2 \1", text)) if text else []
+
+
 def read(text: str | None, words: Words) -> Reading:
-    tokens = TOKEN.findall(text or "")
+    tokens = tokens_of(text)
     packed = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
     if len(words) > 300_000:
         words.clear()
-    flags = packed & 15
+    flags = packed & ((1 << FLAG_BITS) - 1)
     before = np.concatenate(([IS_END], flags[:-1]))[: len(flags)]
-    number, unit, capital = ((flags & f) > 0 for f in (IS_NUMBER, IS_UNIT, IS_CAPITAL))
+    number, unit, capital, upper = ((flags & f) > 0 for f in (IS_NUMBER, IS_UNIT, IS_CAPITAL, IS_UPPER))
+    if 2 * np.count_nonzero(upper) <= np.count_nonzero(flags & (IS_END | IS_NUMBER) == 0):
+        capital |= upper
     rest = np.where(unit & (before & IS_NUMBER > 0), UNIT, 0)
     rest = np.where(number, NUMBER, rest)
     open_kinds = np.where((rest == 0) & capital, NAME, rest)
     kinds = np.where((rest == 0) & capital & (before & IS_END == 0), NAME, rest)
     at = np.flatnonzero(flags & IS_END == 0)
-    return Reading(tokens, at, packed[at] >> 4, kinds[at], open_kinds[at])
+    return Reading(tokens, at, packed[at] >> FLAG_BITS, kinds[at], open_kinds[at])
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -134,7 +144,7 @@ class Index(NamedTuple):
 
 def item_index(items: list[tuple[int, str]], width: int) -> Index:
     """Windows of the items that have at least four words; items shorter than ``width`` are one window."""
-    found = {t.lower() for _, text in items for t in TOKEN.findall(text or "") if t not in ENDS}
+    found = {t.lower() for _, text in items for t in tokens_of(text) if t not in ENDS}
     vocabulary = {w: k for k, w in enumerate(sorted(found), 1)}
     codes, holders = (np.array([0, *map(code, x)], np.uint64) for x in (vocabulary, PLACEHOLDERS))
     words, rows, sizes, hashes = Words(vocabulary), [], [], {}
@@ -196,9 +206,9 @@ def contaminated(
     """One row per document and benchmark item found in it.
 
     Columns: id, row_key (xxhash64 of the text, which tells rows with null or repeated ids apart), item_id, n_windows
-    (distinct windows of the item found on consistent diagonals), coverage (their share of the item's, or the share of its template windows if these
+    (distinct windows of the item found with agreeing slots), coverage (their share of the item's, or the share of its template windows if these
     are at least a quarter of all, or 1 for an item found as one whole template), n_slots, n_changed (slots
-    with another value), reparameterised (some slot has another value, all of them consistently).
+    with another value), reparameterised (some slot has another value).
 
     Null and empty texts hold nothing; items with a null id or under four words are not looked for. Repeated rows give one
     row. The benchmark is looked for in blocks of about ``block_chars`` characters of items, which bounds what is broadcast; one
@@ -248,13 +258,21 @@ def _found(texts: DataFrame, index: Index, least: float) -> DataFrame:
     )
     pair = lambda a, b: F.struct((F.col("item_at") + a["j"]).alias("place"), a["value"].alias("item"), b["value"].alias("doc"))
     lined = hits.join(known, ["form", "hash"]).withColumn("pairs", F.zip_with("item_slots", "slots", pair))
-    by_diagonal = lined.groupBy("id", "row_key", "item_id", "form", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
-        F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots")
-    )
+    by_diagonal = lined.groupBy("id", "row_key", "item_id", "form", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set(F.struct("item_at", "pairs")).alias("windows"))
+    slots_of = lambda w: F.array_distinct(F.flatten(F.transform(w, lambda x: x["pairs"])))
+    by_diagonal = by_diagonal.withColumn("slots", slots_of(F.col("windows")))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["item"], s["doc"])))
-    consistent = F.size(values) == F.size(F.array_distinct(F.transform(values, lambda s: s["item"])))
-    changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
-    good = by_diagonal.where(consistent).withColumn("changed", changed)
+    by_diagonal = by_diagonal.withColumn("values", values)
+    often = lambda v: -F.size(F.filter("slots", lambda s: (s["item"] == v["item"]) & (s["doc"] == v["doc"])))
+    clash = F.size("values") > F.size(F.array_distinct(F.transform("values", lambda v: v["item"])))
+    by_diagonal = by_diagonal.withColumn("ranked", F.when(clash, F.array_sort(F.transform("values", lambda v: F.struct(v["item"].alias("item"), often(v).alias("n"), v["doc"].alias("doc"))))))
+    first = F.filter("ranked", lambda v, i: (i == 0) | (v["item"] != F.get("ranked", i - 1)["item"]))  # an item value's most frequent document value; of equals the smaller
+    by_diagonal = by_diagonal.withColumn("mapped", first)
+    agrees = lambda p: F.exists("mapped", lambda m: (m["item"] == p["item"]) & (m["doc"] == p["doc"]))
+    agreeing = F.filter("windows", lambda w: 2 * F.size(F.filter(w["pairs"], agrees)) >= F.size(w["pairs"]))
+    good = by_diagonal.withColumn("windows", F.when(F.col("ranked").isNull(), F.col("windows")).otherwise(agreeing)).where(F.size("windows") > 0)
+    good = good.withColumns({"places": F.transform("windows", lambda w: w["item_at"]), "slots": slots_of(F.col("windows"))})
+    good = good.withColumn("changed", F.size(F.filter("slots", lambda s: s["item"] != s["doc"])))
     typed = F.when(F.col("form").isin(*TYPED), F.col("places"))
     per_item = good.groupBy("id", "row_key", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"),

@@ -237,14 +237,18 @@ ITEM = "A train of 12 cars leaves Boston at 45 km per hour and meets Alice after
 def test_decontamination_finds_verbatim_recased_and_changed_copies(spark):
     changed = ITEM.replace("12", "18").replace("45 km", "70 miles").replace("Boston", "Denver").replace("Alice", "Robert")
     uneven = ITEM.replace("12 cars", "18 cars").replace("12 hours", "31 hours")
+    twice = "when Anna counts red Anna boxes in Anna hall while Anna near door Anna stands and Anna under Anna lamp"
+    others = "Bert Carl Dora Emil Fred Gina Hans".split()
+    mixed = twice.replace("Anna", "{}").format(*others)  # one name can't be seven people
     noise = "some words that stand before it . "
-    rows = [(1, noise + ITEM + " and more", "en", "s"), (2, ITEM.upper(), "en", "s"), (3, noise + changed, "en", "s"), (4, uneven, "en", "s"), (5, noise * 9, "en", "s"), (6, None, "en", "s"), (7, "", "en", "s"), (None, ITEM, "en", "s"), (8, ITEM.replace(" ", "\n"), "en", "s")]
-    bench = spark.createDataFrame([(1, ITEM), (2, ITEM), (3, None), (None, "x"), (4, "too short"), (5, "")], "item_id long, text string")
+    rows = [(9, mixed, "en", "s"), (10, twice.replace("Anna", "Emma"), "en", "s"), (1, noise + ITEM + " and more", "en", "s"), (2, ITEM.upper(), "en", "s"), (3, noise + changed, "en", "s"), (4, uneven, "en", "s"), (5, noise * 9, "en", "s"), (6, None, "en", "s"), (7, "", "en", "s"), (None, ITEM, "en", "s"), (8, ITEM.replace(" ", "\n"), "en", "s")]
+    bench = spark.createDataFrame([(1, ITEM), (2, ITEM), (3, None), (None, "x"), (4, "too short"), (5, ""), (6, twice)], "item_id long, text string")
     got = decontaminate.contaminated(frame(spark, rows).withColumn("item_id", F.lit(0)), bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d in (1, 2, 3, 8, None) for i in (1, 2)}
-    assert {r["doc_id"]: r["reparameterised"] for r in got if r["item_id"] == 1} == {1: False, 2: False, 3: True, 8: False, None: False}
+    # row 4: two slots of the item have the value 12 by chance, and in the copy other values each
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d in (1, 2, 3, 4, 8, None) for i in (1, 2)} | {(10, 6)}
+    assert {r["doc_id"]: r["reparameterised"] for r in got if r["item_id"] == 1} == {1: False, 2: False, 3: True, 4: True, 8: False, None: False}
     left = decontaminate.drop_contaminated(frame(spark, rows), bench)
-    assert sorted(r["doc_id"] for r in left.collect()) == [4, 5, 6, 7]
+    assert sorted(r["doc_id"] for r in left.collect()) == [5, 6, 7, 9]
     assert decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(frame(spark, rows).limit(0), bench).count() == 0
     blocks = decontaminate.contaminated(frame(spark, rows), bench, block_chars=100).collect()
@@ -276,18 +280,26 @@ def brute_contaminated(text, item, width=8):
     """Whether a text holds an item, by comparing all windows of both word by word."""
     def reading(t, opening):
         out, start, number = [], True, False
-        for tok in re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]", t or ""):
+        t = re.sub(r"([$€£¥]|\b(?:USD|EUR|GBP))\s?(\d+(?:[.,]\d+)*)", r"\2 \1", t or "")
+        toks = re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]|(?<=\d )[$€£¥]", t)
+        shout = 2 * sum(len(x) > 1 and x.isupper() for x in toks) > sum(x not in ".!?:\n" and not x[0].isdigit() for x in toks)
+        for tok in toks:
             if tok in ".!?:\n":
                 start, number = True, False
                 continue
             low = tok.lower()
-            kind = "#" if tok[0].isdigit() else "u" if number and low in decontaminate.UNITS else "n" if (opening or not start) and len(tok) > 1 and tok[0].isupper() and tok[1:].islower() else ""
+            kind = "#" if tok[0].isdigit() else "u" if number and low in decontaminate.UNITS else "n" if (opening or not start) and len(tok) > 1 and tok[0].isupper() and not (shout and tok.isupper()) else ""
             start, number = False, kind == "#"
             out.append((kind or low, low, bool(kind)))
         return out
 
-    def consistent(pairs):
-        return len({p[0] for p in pairs}) == len(set(pairs))
+    def agreeing(found):
+        """The windows of {place: [(slot's place, item value, document value)]} of which at least half of the slots have their item value's usual document value."""
+        counts = collections.Counter((a, b) for _, a, b in {p for pairs in found.values() for p in pairs})
+        usual = {}
+        for (a, b), n in sorted(counts.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
+            usual.setdefault(a, b)
+        return {i for i, pairs in found.items() if 2 * sum(usual[a] == b for _, a, b in pairs) >= len(pairs)}
 
     plain = lambda r: [(low, low, False) for _, low, _ in r]
     closed, opened = (reading(item, x) for x in (False, True))
@@ -302,14 +314,14 @@ def brute_contaminated(text, item, width=8):
             typed_all |= set(at)
         for shift in range(-n, len(y)):
             hit = [i for i in at if 0 <= i + shift <= len(y) - own and all(x[i + j][0] == y[i + shift + j][0] for j in range(own))]
-            if consistent({(x[i + j][1], y[i + shift + j][1]) for i in hit for j in range(own) if x[i + j][2]}):
-                matched |= set(hit)
-                typed_hit |= set(hit) if form != "p" else set()
+            kept = agreeing({i: [(i + j, x[i + j][1], y[i + shift + j][1]) for j in range(own) if x[i + j][2]] for i in hit})
+            matched |= kept
+            typed_hit |= kept if form != "p" else set()
     if len(typed_all) < 0.25 * (n - own + 1):
         y = reading(text, True)
         if 5 <= n <= 64 and sum(not w[2] for w in opened) >= 3:
             for s in range(len(y) - n + 1):
-                if all(opened[j][0] == y[s + j][0] for j in range(n)) and consistent({(opened[j][1], y[s + j][1]) for j in range(n) if opened[j][2]}):
+                if all(opened[j][0] == y[s + j][0] for j in range(n)) and agreeing({0: [(j, opened[j][1], y[s + j][1]) for j in range(n) if opened[j][2]]}):
                     return True
     elif typed_hit and len(typed_hit) >= 0.4 * len(typed_all):
         return True
@@ -333,6 +345,38 @@ def test_reparameterised_problems_are_found_and_clean_texts_stay(spark):
     assert {p for p in pairs if p[0] in ids} == {(r[0], i) for r in some for i, t in items if brute_contaminated(r[1], t)}
 
 
+ODD_NAMES = "McDonald DeShawn O'Neil MacArthur LeBron ANNA KAREN JACK VanDyke Zoë".split()
+ODD_PROBLEMS = [
+    "{a} is {x} years old now. How old will the sister of {a} be in {y} years from now?",
+    "{a} bought {t} for ${x} and sold the same {t} for ${y}. What profit did {a} make?",
+    "The shop of {a} sells {t} for {x} dollars a box and {b} buys {y} boxes of them.",
+    "Each of the friends {a} and {b} has {x} {t} and {y} coins in a drawer. How many things are there?",
+]
+
+
+def test_odd_names_currencies_and_equal_values_are_found(spark):
+    """Names in mixed and upper case, signs for units, items whose slots have equal values: recall, no clean document lost, and the same pairs as brute force."""
+    rng = random.Random(47)
+    filler = lambda: " ".join(rng.choice("the of and river house under green walk some many water over never light stone".split()) for _ in range(rng.randrange(5, 30))).capitalize() + ". "
+
+    def odd(k, thing, equal=False, money=None):
+        a, b = rng.sample(ODD_NAMES + NAMES[:4], 2)
+        x = rng.randrange(2, 90)
+        t = ODD_PROBLEMS[k].format(a=a, b=b, t=thing, x=x, y=x if equal else rng.randrange(2, 90))
+        return re.sub(r"\$(\d+)|(\d+) dollars", lambda m: (m[1] or m[2]).join(money), t) if money else t
+
+    kinds = [(k, t) for k in range(len(ODD_PROBLEMS)) for t in THINGS[:5]]
+    items = [(i, odd(k, t, equal=i % 2 == 0)) for i, (k, t) in enumerate(kinds)]
+    copies = [(1000 + j, filler() + odd(*kinds[j % len(kinds)], money=rng.choice([("$", ""), ("", " dollars"), ("€", ""), ("USD ", "")])) + " " + filler(), "en", "s") for j in range(200)]
+    clean = [(5000 + j, "".join(filler() for _ in range(4)) + f"{rng.choice(ODD_NAMES)} paid ${rng.randrange(99)} for {rng.choice(THINGS)}. " + filler(), "en", "s") for j in range(100)]
+    got = decontaminate.contaminated(frame(spark, copies + clean), spark.createDataFrame(items, "item_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got}
+    missed = {j for j in range(200) if (1000 + j, j % len(kinds)) not in pairs}
+    assert len(missed) <= 10 and not [d for d, _ in pairs if d >= 5000], [(items[j % len(kinds)], copies[j][1]) for j in sorted(missed)[:4]]
+    some = rng.sample(copies, 25) + rng.sample(clean, 5)
+    assert {p for p in pairs if p[0] in {r[0] for r in some}} == {(r[0], i) for r in some for i, t in items if brute_contaminated(r[1], t)}
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.train_forest(secrets.labelled_findings(spark))
@@ -372,6 +416,27 @@ def test_secrets_are_found_in_place_and_redacted(spark, forest):
     assert clean[3] == text[3] and clean[4] is None and clean[5] == "" and clean[6] == "plain " * 30_000 + 'token = "[SECRET]"'
     assert secrets.redact(frame(spark, rows), forest).columns == [c.split()[0] for c in DOCS.split(", ")]
     assert secrets.findings(frame(spark, []), forest).count() == 0
+    odd = {c: F.lit("clash") for c in ("found", "secrets", "value", "start", "c", "f", "x", "score", "s", "__values")}
+    same = secrets.redact(frame(spark, rows).withColumns(odd), forest, path_col="source").collect()
+    assert {r["doc_id"]: r["text"] for r in same} == clean and all(r[c] == "clash" for r in same for c in odd)
+
+
+def test_secrets_in_headers_options_hooks_and_queries(spark, forest):
+    rng = random.Random(77)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    mixed = LETTERS + LETTERS.upper() + DIGITS
+    cases, wanted = [], {}
+    for k in range(20):
+        hexa, pw, key, hook = draw("0123456789abcdef", 40), "S3cr3t" + draw(mixed, 10), draw(mixed, 32), f"T{draw(LETTERS.upper() + DIGITS, 8)}/B{draw(LETTERS.upper() + DIGITS, 8)}/{draw(mixed, 24)}"
+        for text, value in ((f"curl -H 'Authorization: Bearer {hexa}' https://h", hexa), (f"run curl -u admin:{pw} https://host/x", pw), (f"post to https://hooks.slack.com/services/{hook} now", hook), (f"GET /v1?api_key={key}&user=bob HTTP/1.1", key), (f"token={key};path=/", key)):
+            cases.append((len(cases), text, "en", "s"))
+            wanted[cases[-1][0]] = value
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, cases), forest).collect()}
+    caught = [sum(wanted[i] not in clean[i] for i in range(f, 100, 5)) for f in range(5)]
+    assert min(caught) >= 18, caught
+    assert all("&user=bob HTTP/1.1" in clean[i] for i in range(3, 100, 5)) and all(clean[i].endswith(";path=/") for i in range(4, 100, 5))
+    kept = [(1, "curl -u admin:password https://host", "en", "s"), (2, "see https://hooks.slack.com/docs for more", "en", "s"), (3, "password=ab&page=2&" + "a&" * 20_000, "en", "s")]
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, kept), forest).collect()} == {i: t for i, t, *_ in kept}
 
 
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -751,6 +816,24 @@ def test_language_margins_reject_ambiguous_texts_and_keep_clean_ones(spark):
     assert langid.learn_margins(frame(spark, []), dictionaries) == {0: 0.0, 40: 0.0, 160: 0.0, 640: 0.0}
 
 
+def test_language_samples_are_bounded_for_null_and_repeated_ids(spark):
+    rng = random.Random(61)
+    rows = [(None, sentences(rng, "aa", 20), "aa", "s") for _ in range(1500)] + [(5, sentences(rng, "bb", 20), "bb", "s")] * 1500
+    df = frame(spark, rows)
+    seen = []
+    real = type(df).collect
+    try:
+        type(df).collect = lambda self: seen.append(real(self)) or seen[-1]
+        found = langid.learn_dictionaries(df, rows_per_language=50)
+        margins = langid.learn_margins(df, found, most_rows=100)
+    finally:
+        type(df).collect = real
+    assert sorted(found) == ["aa", "bb"] and max(map(len, seen)) <= 300 and margins[0] >= 0
+    kept = langid.drop_rejected(df.limit(20).withColumns({"lang_pred": F.lit("clash"), "lang_rejected": F.lit("clash")}), found).collect()
+    assert len(kept) == 20 and all(r["lang_pred"] == "clash" == r["lang_rejected"] for r in kept)
+    assert langid.drop_rejected(df.limit(3), {}).count() == 0
+
+
 def test_every_language_with_a_letter_is_learned_and_only_letters_count(spark):
     rows = [(1, "kurz wort", "aa", "s"), (2, "lang " * 3000, "bb", "s"), (3, "middle text " * 20, "cc", "s"), (4, "12 34", "dd", "s")]
     found = langid.learn_dictionaries(frame(spark, rows))
