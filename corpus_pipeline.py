@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     training = docs.where(fold("doc_id", 4) != 2)
     dictionaries = langid.learn_dictionaries(training)
     margins = langid.learn_margins(training, dictionaries)
-    return langid.identify(docs, dictionaries, least_margin=margins).where("not lang_rejected").select(*docs.columns)
+    return langid.drop_rejected(docs, dictionaries, least_margin=margins)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
