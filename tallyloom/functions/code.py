@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.exprs import GENERATED_FOLDERS, GENERATED_NAMES, GENERATED_SUFFIXES
-from tallyloom.schemas import EDIT_LINE_CAP, NAME_CAP
+from tallyloom.schemas import EDIT_LINE_CAP, MAX_LONG, NAME_CAP
 
 DELTA = T.StructType([T.StructField("added", T.LongType()), T.StructField("deleted", T.LongType())])
 COUNTS_MAP = T.MapType(T.StringType(), T.LongType())
@@ -40,12 +40,16 @@ def line_diff(old: str, new: str) -> tuple[int, int]:
     while end < most - low and a[-1 - end] == b[-1 - end]:
         end += 1
     a, b = a[low : len(a) - end], b[low : len(b) - end]
-    row = [0] * (len(b) + 1)
+    # one bit for each line of b: a zero says that the common subsequence grows there
+    places: dict[str, int] = defaultdict(int)
+    for k, y in enumerate(b):
+        places[y] |= 1 << k
+    whole = row = (1 << len(b)) - 1
     for x in a:
-        last = 0
-        for k, y in enumerate(b, 1):
-            last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
-    return len(b) - row[-1], len(a) - row[-1]
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & whole
+    common = len(b) - row.bit_count()
+    return len(b) - common, len(a) - common
 
 
 def capped(added: int, deleted: int) -> tuple[int, int]:
@@ -288,6 +292,76 @@ def functions(t: list[tuple[str, str]], pair: dict[int, int]) -> list[tuple[int,
     return out
 
 
+def innermost(spans: list[tuple[int, int]], n: int) -> list[int]:
+    """For each of ``n`` places the nested span that begins last around it, -1 outside of all."""
+    at = defaultdict(list)
+    for f, (begin, end) in sorted(enumerate(spans), key=lambda s: (s[1][0], -s[1][1])):
+        at[begin].append(f)
+    out, open_ = [], []
+    for k in range(n):
+        while open_ and spans[open_[-1]][1] < k:
+            open_.pop()
+        open_ += at.get(k, ())
+        out.append(open_[-1] if open_ else -1)
+    return out
+
+
+MOST_IN_CYCLE = 8
+
+
+def cycles(edges: dict[int, Counter]) -> list[list[int]]:
+    """The functions reached from -1, those that call each other in one group, callers' groups first."""
+    index, low, stack, work, out = {}, {}, [], [(-1, None)], []
+    while work:
+        f, rest = work.pop()
+        if rest is None:
+            if f in index:
+                continue
+            index[f] = low[f] = len(index)
+            stack.append(f)
+            rest = iter(list(edges.get(f, ())))
+        for g in rest:
+            if g not in index:
+                work += [(f, rest), (g, None)]
+                break
+            if g in low and g in stack:
+                low[f] = min(low[f], index[g])
+        else:
+            if low[f] == index[f]:
+                group = stack[stack.index(f) :]
+                del stack[len(stack) - len(group) :]
+                out.append(group)
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[f]) if f in stack else low[work[-1][0]]
+    return out[::-1]
+
+
+def runs(edges: dict[int, Counter]) -> Counter:
+    """How often each function runs if -1 runs once: counts go down from callers to called. Among functions that call each other every chain of calls without a repetition counts; in a
+    group of more than ``MOST_IN_CYCLE`` each runs once for each call from outside."""
+    times = Counter({-1: 1})
+    for group in cycles(edges):
+        inside = set(group)
+        if len(group) > 1 or group[0] in edges.get(group[0], ()):
+            entered = {f: times[f] for f in group if times[f]}
+            for f in group:
+                times[f] = 0
+            if len(group) > MOST_IN_CYCLE:
+                for f in group:
+                    times[f] = sum(entered.values())
+            else:
+                chains = [(f, n, frozenset([f])) for f, n in entered.items()]
+                while chains:
+                    f, n, seen = chains.pop()
+                    times[f] += n
+                    chains += [(g, n * m, seen | {g}) for g, m in edges.get(f, Counter()).items() if g in inside and g not in seen]
+        for f in group:
+            for g, m in edges.get(f, Counter()).items():
+                if g not in inside:
+                    times[g] += times[f] * m
+    return times
+
+
 def tools_reached(script: str) -> dict[str, int]:
     """MCP servers that a script's executed code calls, with how often: at the top, in functions that run at once, and in named functions by their calls.
 
@@ -298,36 +372,29 @@ def tools_reached(script: str) -> dict[str, int]:
     t = script_tokens(script)
     pair = matching(t)
     fs = functions(t, pair)
-    inner = lambda k: max((f for f in range(len(fs)) if fs[f][0] <= k <= fs[f][1]), key=lambda f: fs[f][0], default=-1)
-    uses, calls, once = defaultdict(Counter), defaultdict(Counter), defaultdict(list)
-    by_name = {n: [f for f, x in enumerate(fs) if x[2] == n] for n in {x[2] for x in fs if x[2]}}
+    inner = innermost([(begin, end) for begin, end, *_ in fs], len(t))
+    by_name = defaultdict(list)
+    for f, x in enumerate(fs):
+        if x[2]:
+            by_name[x[2]].append(f)
+    uses, edges = defaultdict(Counter), defaultdict(Counter)
     for f, (begin, _, _, eager) in enumerate(fs):
-        if eager:
-            outside = [g for g in range(len(fs)) if g != f and fs[g][0] <= begin <= fs[g][1]]
-            once[max(outside, key=lambda g: fs[g][0], default=-1)].append(f)
+        if eager:  # it runs whenever what it stands in does
+            edges[inner[begin - 1] if begin else -1][f] += 1
     for k, (kind, x) in enumerate(t):
         if kind != "word" or k + 1 >= len(t) or t[k + 1][1] != "(" or k + 1 not in pair:
             continue
         before = [y for _, y in t[max(0, k - 2) : k]]
         if before == ["tools", "."] and (m := re.match(r"mcp__(.*?)__(.*\S.*)$", x)):
-            uses[inner(k)][m[1].strip()] += 1
+            uses[inner[k]][m[1].strip()] += 1
         elif before[-1:] not in (["function"], ["new"]):
-            name = f"{before[0]}.{x}" if before[-1:] == ["."] and len(before) == 2 else x
-            declared = any(fs[f][0] == pair[k + 1] + 1 for f in by_name.get(name, ()))
-            if len(by_name.get(name, ())) == 1 and not declared:
-                calls[inner(k)][by_name[name][0]] += 1
+            known = by_name.get(f"{before[0]}.{x}" if before[-1:] == ["."] and len(before) == 2 else x, [])
+            if len(known) == 1 and fs[known[0]][0] != pair[k + 1] + 1:  # not where it is declared
+                edges[inner[k]][known[0]] += 1
     total: Counter[str] = Counter()
-
-    def visit(f: int, times: int, path: tuple[int, ...]) -> None:
-        for server, n in uses[f].items():
-            total[server] += n * times
-        for g in once[f]:
-            visit(g, times, path)
-        for g, n in calls[f].items():
-            if g not in path:
-                visit(g, times * n, (*path, g))
-
-    visit(-1, 1, ())
+    for f, n in runs(edges).items():
+        for server, m in uses[f].items() if n else ():
+            total[server] = min(total[server] + n * m, MAX_LONG)
     return dict(total)
 
 

@@ -98,12 +98,14 @@ def overwrite_conflicts(rows: DataFrame) -> DataFrame:
 
     Sessions and known models must agree; projects must agree with the first row's, unless that is unknown.
     """
-    own = best_tier(rows.where("merge_strategy <> 'cumulativeMax'"), ["source", "event_id"])
+    rows = rows.where("merge_strategy <> 'cumulativeMax'")
     first = F.min_by("project", order_key())
-    found = own.groupBy("source", "event_id").agg(
-        F.count_distinct("session_hash").alias("sessions"), F.count_distinct(F.when(~is_unknown("model"), F.col("model"))).alias("models"),
-        F.count_distinct("project").alias("projects"), first.alias("first_project"),
+    known = F.when(~is_unknown("model"), F.col("model"))
+    # counted for each tier, so the highest one is taken among three rows at most and no full row meets another
+    tiers = rows.groupBy("source", "event_id", "tier").agg(
+        F.count_distinct("session_hash").alias("sessions"), F.count_distinct(known).alias("models"), F.count_distinct("project").alias("projects"), first.alias("first_project"),
     )
+    found = tiers.groupBy("source", "event_id").agg(F.max_by(F.struct("sessions", "models", "projects", "first_project"), "tier").alias("top")).select("source", "event_id", "top.*")
     return found.where((F.col("sessions") > 1) | (F.col("models") > 1) | ((F.col("projects") > 1) & ~is_unknown("first_project"))).select("source", "event_id", "sessions", "models", "projects")
 
 

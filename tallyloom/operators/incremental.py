@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyloom.schemas import BUCKET_MS, FREEZE_DAYS
@@ -136,6 +136,18 @@ def drop_late(rows: DataFrame, frozen_ms: int | Column) -> tuple[DataFrame, Data
     return rows.where(~late), rows.where(late).agg(F.count("*").alias("late"))
 
 
+def drop_late_observed(rows: DataFrame, frozen_ms: int, name: str = "late", future_ms: int | None = None) -> tuple[DataFrame, Observation | None]:
+    """Rows that come in time, and what counts the others while they are read: one scan. The counts (``late``, ``future``, ``kept``) are there once an action has run.
+
+    Rows from ``future_ms`` on are dropped as well. On a stream the counts come with each batch's progress under ``name``, and there is no observation to ask.
+    """
+    late = F.col("ts_ms") < frozen_ms
+    ahead = F.lit(False) if future_ms is None else F.col("ts_ms") >= future_ms
+    counts = [F.count_if(late).alias("late"), F.count_if(ahead).alias("future"), F.count_if(~late & ~ahead).alias("kept")]
+    seen = None if rows.isStreaming else Observation(name)
+    return rows.observe(seen if seen is not None else name, *counts).where(~late & ~ahead), seen
+
+
 def compact_raw(events: DataFrame, session_events: DataFrame, frozen_ms: int | Column) -> tuple[DataFrame, DataFrame]:
     """Raw rows that stay after the freeze; a session with a row past the line stays whole."""
     alive = session_events.where(F.col("ts_ms") >= frozen_ms).select("source", "session_hash").distinct()

@@ -81,3 +81,52 @@ def test_methods_that_call_at_once():
         assert code.tools_reached(f"xs.{name}(() => {{ tools.mcp__srv__go(); }});") == {}, name
     assert code.line_diff("a\n" * 20_000 + "x", "a\n" * 20_000 + "y") == (1, 1)
     assert code.line_diff("a\nb\na", "a\nb\na\nb\na") == (2, 0)
+
+
+def test_line_diff_equals_a_longest_common_subsequence():
+    import random
+    import time
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        text = lambda rows: "".join(r + "\n" for r in rows)
+        assert code.line_diff(text(a), text(b)) == (len(b) - table[-1][-1], len(a) - table[-1][-1])
+    big = ["\n".join(str(rng.randrange(50)) for _ in range(20_000)) for _ in range(2)]
+    start = time.perf_counter()
+    code.line_diff(*big)
+    assert time.perf_counter() - start < 3
+
+
+def brute_runs(edges):
+    from collections import Counter
+
+    times = Counter()
+    todo = [(-1, 1, ())]
+    while todo:
+        f, n, path = todo.pop()
+        times[f] += n
+        todo += [(g, n * m, (*path, g)) for g, m in edges.get(f, {}).items() if g not in path]
+    return {f: n for f, n in times.items() if n}
+
+
+def test_runs_of_functions_that_call_each_other():
+    import random
+    import time
+    from collections import Counter
+
+    rng = random.Random(5)
+    for _ in range(400):
+        n = rng.randrange(1, 7)
+        edges = {f: Counter({g: rng.randrange(1, 3) for g in range(n) if rng.random() < 0.3}) for f in range(-1, n)}
+        assert {f: k for f, k in code.runs(edges).items() if k} == brute_runs(edges), edges
+    layers = 40  # 2^40 ways down
+    script = "".join(f"function a{k}() {{ a{k + 1}(); a{k + 1}(); }}\n" for k in range(layers)) + f"function a{layers}() {{ tools.mcp__deep__x(); }}\na0();"
+    start = time.perf_counter()
+    assert code.tools_reached(script) == {"deep": 2**layers}
+    ring = "".join(f"function r{k}() {{ tools.mcp__ring__x(); r{(k + 1) % 30}(); r{(k + 7) % 30}(); }}\n" for k in range(30)) + "r0();"
+    assert code.tools_reached(ring) == {"ring": 30} and time.perf_counter() - start < 1

@@ -89,6 +89,24 @@ def test_every_second_has_a_sample_also_when_nothing_arrives(spark, tmp_path):
     assert held < 20  # what lies behind the window isn't kept
 
 
+def test_late_rows_are_counted_in_the_scan_that_drops_them(spark, tmp_path):
+    from tallyloom.operators import incremental
+
+    schema = "id long, ts_ms long"
+    rows = [(k, k * 10) for k in range(100)]
+    src = str(tmp_path / "src")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    kept, seen = incremental.drop_late_observed(spark.read.parquet(src), 300, future_ms=900)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Exchange" not in plan
+    assert kept.count() == 60 and seen.get == {"late": 30, "future": 10, "kept": 60}
+    stream, none = incremental.drop_late_observed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), 300, "late_rows")
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    metrics = [p["observedMetrics"]["late_rows"] for p in q.recentProgress if "late_rows" in (p["observedMetrics"] or {})]
+    assert none is None and sum(m["late"] for m in metrics) == 30 and sum(m["kept"] for m in metrics) == 70
+
+
 def test_idle_seconds_are_zero_before_they_are_stale():
     spans = [(0, S, 50)]
     states = [stateful.sample("h", t * S, spans if t < 181 + 1 else [], S).state for t in (1, 100, 181, 182, 300, 301, 302)]
