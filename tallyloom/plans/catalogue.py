@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from tallyloom.plans import batch_queries, curve_queries, ledger_queries, lifecycle_queries, parser_queries, scalar_queries  # noqa: E402, F401  they register themselves
+from tallyloom.plans import batch_queries, code_queries, curve_queries, ledger_queries, lifecycle_queries, parser_queries, scalar_queries  # noqa: E402, F401  they register themselves

@@ -194,9 +194,16 @@ def w15(spark, d):
     return out.select("idx", *[F.round(c, 4).alias(c) for c in ("raw", "value", "normalized")])
 
 
-@query("w16_span_presets", "SELECT * FROM (VALUES ('15m', 900, 5, 0), ('1h', 3600, 5, 1), ('24h', 86400, 1800, 0)) v(span, seconds, step, radius)")
+@query("w16_span_presets", f"""WITH {USAGE}, v(span, seconds, step, radius) AS (VALUES ('15m', 900, 5, 0), ('1h', 3600, 5, 1), ('24h', 86400, 1800, 0))
+ SELECT span, step, radius, CAST(seconds//step - ((SELECT max(ts_ms) FROM usage)-ts_ms)//(1000*step) - 1 AS BIGINT) AS slot, count(*) AS n FROM usage, v WHERE ts_ms>(SELECT max(ts_ms) FROM usage)-1000*seconds GROUP BY 1,2,3,4""")
 def w16(spark, d):
-    return spark.createDataFrame([(k, *v) for k, v in curves.SPANS.items()], "span string, seconds int, step int, radius int")
+    """Usage rows by the slots of each span that ends with the newest row."""
+    rows = usage_rows(spark, d).select("ts_ms")
+    spans = F.array(*[F.struct(F.lit(name).alias("span"), *[F.lit(x).alias(c) for c, x in zip(("seconds", "step", "radius"), v)]) for name, v in curves.SPANS.items()])
+    newest = rows.agg(F.max("ts_ms").alias("end_ms"))
+    each = rows.crossJoin(F.broadcast(newest)).select("ts_ms", "end_ms", F.explode(spans).alias("s")).where(F.col("ts_ms") > F.col("end_ms") - 1000 * F.col("s.seconds"))
+    slot = F.floor(F.col("s.seconds") / F.col("s.step")) - F.floor((F.col("end_ms") - F.col("ts_ms")) / (1000 * F.col("s.step"))) - 1
+    return each.groupBy("s.span", "s.step", "s.radius", slot.cast("long").alias("slot")).agg(F.count("*").alias("n"))
 
 
 @query("p22_numeric_series", f"WITH {USAGE} SELECT n, CASE WHEN k%5 IN (0,1) THEN CAST(input AS DOUBLE) END AS value, CASE WHEN k%5 IN (0,1) THEN coalesce(CASE WHEN k%2=0 THEN output END/5.0, input) END AS short, CASE WHEN k%5 IN (0,1) AND k%2=0 THEN CAST(output AS DOUBLE) END AS second FROM usage")
