@@ -96,16 +96,20 @@ def message_growth(rows: DataFrame) -> DataFrame:
 
 
 def write_samples(intervals: DataFrame, path: str, checkpoint: str, ticks_per_batch: int = 1):
-    """Starts a query that appends each batch's intervals and writes the samples of its newest seconds; retention keeps six hours of them."""
+    """Starts a query that appends each batch's intervals and writes the samples of its newest seconds; retention keeps six hours of them.
+
+    Intervals are laid out by hour and a batch reads the newest hours alone. A sample for every second, also while nothing arrives, is ``stateful.second_samples``.
+    """
     spark = intervals.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/intervals/batch={number}")
-        all_ = spark.read.parquet(f"{path}/intervals").withColumn("interval_id", F.monotonically_increasing_id())
         newest = batch.agg(F.max("end_us")).first()[0]
         if newest is None:
             return
-        recent = all_.where(F.col("end_us") >= newest - 2 * WINDOW_SECONDS * rate.US)
+        hour = lambda us: F.floor(us / (3600 * rate.US))
+        batch.withColumn("hour", hour(F.col("end_us"))).write.mode("overwrite").partitionBy("hour").parquet(f"{path}/intervals/batch={number}")
+        since = newest - 2 * WINDOW_SECONDS * rate.US
+        recent = spark.read.parquet(f"{path}/intervals").where((F.col("hour") >= hour(F.lit(since))) & (F.col("end_us") >= since)).withColumn("interval_id", F.monotonically_increasing_id())
         top = -(-newest // rate.US) * rate.US
         ticks = spark.range(ticks_per_batch).select((F.lit(top) - F.col("id") * rate.US).alias("tick_us"))
         samples = rate.live_samples(ticks, recent, recent.select(F.col("end_us").alias("signal_us")))
