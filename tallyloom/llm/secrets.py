@@ -100,7 +100,7 @@ def features(c: Column) -> Column:
         "vowel_share": share("aeiouyAEIOUY"),
         "longest_consonants": F.array_max(F.transform(F.regexp_extract_all(v, F.lit("(?i)[b-df-hj-np-tv-xz]+|."), 0), lambda x: F.length(x))).cast("double"),
         "longest_letters": F.array_max(F.transform(F.regexp_extract_all(v, F.lit("[A-Za-z]+|[0-9]"), 0), lambda x: F.when(x.rlike("[A-Za-z]"), F.length(x)).otherwise(0))).cast("double"),
-        "known_prefix": flag(v.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^xox[abprs]-|^sk[-_]|^glpat-|^AIza|^eyJ|^hooks\.slack\.|^discord")),
+        "known_prefix": flag(v.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^xox[abprs]-|^sk[-_]|^glpat-|^AIza|^eyJ|^hooks\.slack\.|^discord")),
         "repeats": flag(v.rlike(r"(.)\1{4}|(..)\2{3}")),
         "in_path": flag(c["before"].rlike(r"(?:://|www\.|[\w.~-]/|\\)\S*$") | v.rlike(r"^/|/[a-z]+/")),
         "test_path": flag(c["path"].rlike("(?i)(?:^|[/_.-])(?:tests?|examples?|docs?|fixtures?|samples?)(?:$|[/_.-])")),
