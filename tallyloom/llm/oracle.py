@@ -69,4 +69,15 @@ def _codes_sql() -> str:
     return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (row), digest"
 
 
-ORACLE = {"op11_merkle_manifest": MERKLE, "op12_vector_codes": _codes_sql()}
+# base32 of the SHA-1: ten hex digits are eight signs of five bits
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, trim(regexp_replace(coalesce(url, ''), '\\s+', ' ', 'g')) AS url FROM pages),
+g AS (SELECT *, sha1(body) AS d, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(d, 1 + (i // 8) * 10, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  CASE WHEN url = '' THEN 'urn:none' ELSE url END AS target_uri, true AS digest_ok
+FROM g
+"""
+
+ORACLE = {"op5_warc_salvage": WARC, "op11_merkle_manifest": MERKLE, "op12_vector_codes": _codes_sql()}
