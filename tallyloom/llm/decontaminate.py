@@ -27,7 +27,9 @@ UNITS = frozenset(
     "ms kmh kph mph degree degrees c f k percent usd eur gbp dollar dollars euro euros cent cents hz khz mhz ghz w kw kwh v volt volts watt watts j joule joules n newton newtons pa kpa b kb mb gb tb byte bytes bit bits $ € £ ¥".split()
 )
 MONEY = re.compile(r"([$€£¥]|\b(?:USD|EUR|GBP))\s?(\d+(?:[.,]\d+)*)")
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]|(?<=\d )[$€£¥]|(?<=\d)[$€£¥]")
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
+SIGNED = re.compile(TOKEN.pattern + r"|(?<=\d )[$€£¥]|(?<=\d)[$€£¥]")
+MARKS = "$", "€", "£", "¥", "USD", "EUR", "GBP"
 ENDS = frozenset(".!?:\n")
 PLACEHOLDERS = "<number>", "<name>", "<unit>"
 NUMBER, NAME, UNIT = 1, 2, 3  # kinds; 0: literal
@@ -73,7 +75,9 @@ class Reading(NamedTuple):
 
 def tokens_of(text: str | None) -> list[str]:
     """Words, numbers and sentence ends; currency signs and codes come behind their number."""
-    return TOKEN.findall(MONEY.sub(r"\2 \1", text)) if text else []
+    if not text:
+        return []
+    return SIGNED.findall(MONEY.sub(r"\2 \1", text)) if any(m in text for m in MARKS) else TOKEN.findall(text)
 
 
 def read(text: str | None, words: Words) -> Reading:
