@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import math
 import random
 
 import pytest
@@ -222,6 +223,34 @@ def test_overlap_equals_nested_loop(spark):
     assert len(got) == len(set(got)) and set(map(tuple, got)) == want
 
 
+def test_windows_equal_the_pairs_sums_without_a_row_a_pair(spark):
+    rng = random.Random(5)
+    length = lambda: rng.choice([0, 1, 3_000_000, 70_000_000, 4 * 10**8])
+    iv = [(k, s := rng.randrange(3_000_000_000), s + length(), rng.randrange(1, 99), rng.choice(["a", "b", None])) for k in range(400)] + [(999, 7, 7, 0, "a")]
+    tk = [rng.randrange(3_400_000_000) for _ in range(150)] + [iv[0][2], iv[1][1] + 180_000_000]
+    ticks, df = spark.createDataFrame([(t,) for t in tk + tk[:9]], "tick_us long"), spark.createDataFrame(iv, "interval_id long, start_us long, end_us long, tokens long, model string")
+
+    def brute(seconds, slack, rounded):
+        out = {}
+        for t in set(tk):
+            lo, hi = t - seconds * 1_000_000, t + slack * 1_000_000
+            for _, s, e, n, m in iv:
+                if n > 0 and s <= hi and e >= lo and (rounded or e > s or e > lo):
+                    share = n * min(1.0, (min(e, hi) - max(s, lo)) / (e - s)) if e > s else float(n)
+                    share = float(math.floor(share) + (share - math.floor(share) >= 0.5)) if rounded else share
+                    if share > 0:
+                        out[t, m or "unknown"] = out.get((t, m or "unknown"), 0.0) + share
+        return out
+
+    for f, args in ((rate.tokens_in_window, (180, 5, True)), (rate.tokens_in_short_window, (5, 5, True)), (rate.tokens_in_last_second, (1, 0, False))):
+        want = brute(*args)
+        got = {(r["tick_us"], r["model"]): r["tokens"] for r in f(ticks, df, by_model=True).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        both = {r["tick_us"]: r["tokens"] for r in f(ticks, df).collect()}
+        assert both.keys() == {t for t, _ in want} and all(abs(both[t] - sum(v for (u, _), v in want.items() if u == t)) < 1e-6 for t in both)
+        assert "Join" not in f(ticks, df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_live_states(spark):
     ticks = spark.createDataFrame([(int(t * 1e6),) for t in (5, 100, 250, 500, 90_000)], "tick_us long")
     iv = spark.createDataFrame([(1, 100_000_000, 100_000_000, 180, "m")], "interval_id long, start_us long, end_us long, tokens long, model string")
