@@ -72,21 +72,24 @@ def learn_margins(
     lang_col: str = "lang",
     text_col: str = "text",
     key_col: str = "doc_id",
-    most_rows: int = 8000,
+    most_rows: int | None = None,
     lost: float = 0.001,
     edges: tuple[int, ...] = (0, 40, 160, 640),
 ) -> dict[int, float]:
     """Number of characters from which it holds -> the margin that is narrow: what a share ``lost`` of rightly named labelled rows of that length don't exceed.
 
-    Learned from at most about ``most_rows`` labelled rows (rows that repeat key and text count once), drawn by the hash of key and text from the end that the dictionaries are not drawn from first. Rows
+    Learned from all labelled rows (rows that repeat key and text count once), or, where a caller gives ``most_rows``, from about so many, drawn by the hash of key and text from the end that the
+    dictionaries are not drawn from first. Margins are counted in cells, of 2^-20 below 1/16, so what comes together for a length is bounded by the cells. Rows
     whose letters their dictionary holds don't count: they stand out as no new text does. Where a length has n rows and n x ``lost`` is under one, the share
     can't be seen: then it is read off a log-normal curve with their mean and deviation, and is their smallest margin at most. Lengths without such a row take over the value of shorter texts; with none at all
     only ties are narrow.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     usable = usable.select(F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(key_col, text_col).alias("__h"))
-    n = usable.agg(F.approx_count_distinct("__h")).first()[0]
-    held = usable.where(_draw("__h") >= 1 - min(1.0, most_rows / n)) if n else usable
+    held = usable
+    if most_rows is not None:
+        n = usable.agg(F.approx_count_distinct("__h")).first()[0]
+        held = usable.where(_draw("__h") >= 1 - min(1.0, most_rows / n)) if n else usable
     held = held.dropDuplicates(["__lang", "__h"]).drop("__h")
 
     @F.pandas_udf("boolean")
@@ -97,11 +100,15 @@ def learn_margins(
     bin_ = F.lit(edges[0])
     for e in edges[1:]:
         bin_ = F.when(F.length("text") >= e, e).otherwise(bin_)
-    named = identify(held, dictionaries).where("lang_pred = __lang")
-    log = F.log(F.greatest("lang_margin", F.lit(1e-6)))
-    curve = F.exp(F.avg(log) + NormalDist().inv_cdf(lost) * F.stddev_samp(log))
-    narrow = F.when(F.count("*") * lost < 1, F.least(F.min("lang_margin"), F.coalesce(curve, F.lit(0.0)))).otherwise(F.percentile("lang_margin", F.lit(lost)))
-    found = {r["bin"]: r["m"] for r in named.groupBy(bin_.alias("bin")).agg(narrow.alias("m")).collect()}
+    m, log = F.col("lang_margin"), F.log(F.greatest("lang_margin", F.lit(1e-6)))
+    cell = F.when(m < 1 / 16, F.floor(m * (1 << 20))).otherwise((1 << 16) + F.floor(m * 1024))
+    named = identify(held, dictionaries).where("lang_pred = __lang").select(bin_.alias("bin"), cell.alias("cell"), m.alias("m"), log.alias("log"))
+    cells = named.groupBy("bin", "cell").agg(F.count("*").alias("n"), F.min("m").alias("least"), F.max("m").alias("m"), F.sum("log").alias("log"), F.sum(F.col("log") * F.col("log")).alias("square"))
+    n, mean = F.sum("n"), F.sum("log") / F.sum("n")
+    deviation = F.sqrt(F.greatest(F.sum("square") - n * mean * mean, F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
+    curve = F.exp(mean + NormalDist().inv_cdf(lost) * deviation)
+    narrow = F.when(n * lost < 1, F.least(F.min("least"), F.coalesce(curve, F.lit(0.0)))).otherwise(F.percentile("m", F.lit(lost), F.col("n")))
+    found = {r["bin"]: r["m"] for r in cells.groupBy("bin").agg(narrow.alias("m")).collect()}
     out, last = {}, 0.0
     for e in edges:
         out[e] = last = found.get(e, last)

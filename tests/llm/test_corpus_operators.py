@@ -816,6 +816,30 @@ def test_language_margins_reject_ambiguous_texts_and_keep_clean_ones(spark):
     assert langid.learn_margins(frame(spark, []), dictionaries) == {0: 0.0, 40: 0.0, 160: 0.0, 640: 0.0}
 
 
+def test_margins_are_learned_from_all_labelled_rows(spark):
+    rng = random.Random(17)
+    dictionaries = langid.learn_dictionaries(frame(spark, [(i, sentences(rng, lang, 60), lang, "s") for i in range(90) for lang in ("aa", "bb")]))
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"), F.lit("").alias("text"))
+    words = {lang: sentences(rng, lang, 60).split() for lang in ("aa", "bb")}
+    text = lambda lang: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.element_at(F.array(*[F.lit(w) for w in words[lang]]), (F.pmod(F.xxhash64("doc_id", k), F.lit(len(words[lang]))) + 1).cast("int"))), " ")
+    df = df.withColumn("text", F.when(F.col("lang") == "aa", text("aa")).otherwise(text("bb")))
+    rows = langid.identify(df, dictionaries).where("lang = lang_pred").select("lang", F.length("text").alias("chars"), "text", "lang_margin").collect()
+    new = [r for r in rows if langid.letters(r["text"]) not in dictionaries[r["lang"]]]
+    margins = langid.learn_margins(df, dictionaries)
+    by_length = {low: [r["lang_margin"] for r in new if low <= r["chars"] < high] for low, high in ((0, 40), (40, 160))}
+    assert any(len(m) >= 1000 for m in by_length.values())
+    for low, m in by_length.items():
+        if len(m) >= 1000:
+            assert abs(margins[low] - np.percentile(m, 0.1)) < 1.1e-3  # a cell above 1/16
+    seen, real = [], langid._draw
+    try:
+        langid._draw = lambda h: seen.append(h) or real(h)
+        langid.learn_margins(df.limit(10), dictionaries)
+    finally:
+        langid._draw = real
+    assert not seen  # no row is left out by a draw
+
+
 def test_language_samples_are_bounded_for_null_and_repeated_ids(spark):
     rng = random.Random(61)
     rows = [(None, sentences(rng, "aa", 20), "aa", "s") for _ in range(1500)] + [(5, sentences(rng, "bb", 20), "bb", "s")] * 1500
