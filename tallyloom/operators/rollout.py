@@ -5,10 +5,12 @@ Lines are ``(file_id, source, line_no, raw)``. A file is a session log and small
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.exprs import hash_id, is_unknown, known, last_component, parse_time, rollout_counts
+from tallyloom.functions.exprs import hash_id, is_unknown, known, last_component, once, parse_time, rollout_counts
 from tallyloom.schemas import COUNTS, UNKNOWN
 
 PARTS = [*COUNTS, "total"]
@@ -23,14 +25,18 @@ def text(path: str) -> Column:
 
 
 def number(path: str) -> Column:
-    v = js(path)
+    return as_number(js(path))
+
+
+def as_number(v: Column) -> Column:
     return F.when(v == "true", 1).when(v.rlike(r"^-?\d{1,18}(\.\d+)?$"), v.cast("decimal(30,6)").cast("long")).otherwise(0).cast("long")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines that are JSON objects, with type, payload type and time."""
     ok = lines.where(F.try_parse_json("raw").isNotNull() & F.trim("raw").startswith("{"))
-    return ok.withColumns({"type": js("type"), "ptype": js("payload.type"), "ts_ms": F.unix_millis(parse_time(js("timestamp")))})
+    ok = once(ok, {"type": js("type"), "ptype": js("payload.type"), "ts_ms": js("timestamp")})
+    return once(ok, {"ts_ms": F.unix_millis(parse_time("ts_ms"))})
 
 
 def metadata(rows: DataFrame) -> DataFrame:
@@ -52,14 +58,12 @@ def with_metadata(rows: DataFrame) -> DataFrame:
     return out.withColumn("session_hash", F.when(F.col("rollout_key") != "", F.col("rollout_key")).otherwise(F.left("file_id", F.lit(16))))
 
 
-def usage_struct(path: str) -> Column:
-    n = lambda c: number(f"{path}.{c}")
-    return rollout_counts(n("input_tokens"), n("cached_input_tokens"), n("cache_read_input_tokens"), n("cache_creation_input_tokens"), n("output_tokens"), n("reasoning_output_tokens"), n("total_tokens"))
+FIELDS = ["input_tokens", "cached_input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
 
 
-def complete_snapshot(path: str) -> Column:
+def complete_snapshot(path: str, get: Callable[[str], Column] = js) -> Column:
     """Input, output and total are whole numbers not below zero, and the first two add up to the third."""
-    whole = lambda c: F.when(js(f"{path}.{c}").rlike(r"^\d{1,18}(\.0+)?$"), js(f"{path}.{c}").cast("decimal(30,1)"))
+    whole = lambda c: F.when(get(f"{path}.{c}").rlike(r"^\d{1,18}(\.0+)?$"), get(f"{path}.{c}").cast("decimal(30,1)"))
     return F.coalesce(whole("input_tokens") + whole("output_tokens") == whole("total_tokens"), F.lit(False))
 
 
@@ -82,13 +86,18 @@ def usage_events(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("file_id").orderBy("line_no")
     so_far, before, whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ctx = F.col("type") == "turn_context"
-    r = with_metadata(rows)
-    model = F.when(ctx, text("payload.model"))
+    r = once(with_metadata(rows), {"ctx_model": F.when(ctx, text("payload.model"))})
+    model = F.col("ctx_model")
     r = r.withColumns({"turn_model": F.coalesce(F.last(model, ignorenulls=True).over(so_far), F.lit(UNKNOWN)), "final_model": F.coalesce(F.last(model, ignorenulls=True).over(whole), F.lit(UNKNOWN)), "seen_ctx": F.coalesce(F.max(ctx.cast("int")).over(so_far), F.lit(0)) == 1})
     last_path, total_path = "payload.info.last_token_usage", "payload.info.total_token_usage"
-    there = lambda p: js(p).isNotNull() & ~js(p).isin("{}", "null")
-    t = r.where((F.col("type") == "event_msg") & (F.col("ptype") == "token_count")).withColumns({"has_last": there(last_path), "has_total": there(total_path)}).where("has_last or has_total")
-    t = t.withColumns({"lastc": F.when(F.col("has_last"), usage_struct(last_path)).otherwise(usage_struct(total_path)), "totalc": F.when(F.col("has_total"), usage_struct(total_path)), "snapshot": F.col("has_total") & complete_snapshot(total_path)})
+    there = lambda p: ~F.coalesce(js(p), F.lit("null")).isin("{}", "null")
+    t = once(r.where((F.col("type") == "event_msg") & (F.col("ptype") == "token_count")), {"has_last": there(last_path), "has_total": there(total_path)}).where("has_last or has_total")
+    # each field is read once, as text, and made a number once
+    at = lambda p: F.col(f"`{p}`")
+    t = once(t, {"info_model": text("payload.info.model"), **{f"{p}.{c}": js(f"{p}.{c}") for p in (last_path, total_path) for c in FIELDS}})
+    t = once(t, {"snapshot": F.col("has_total") & complete_snapshot(total_path, at), **{f"{p}.{c}": as_number(at(f"{p}.{c}")) for p in (last_path, total_path) for c in FIELDS}})
+    counts = lambda p: rollout_counts(*[at(f"{p}.{c}") for c in FIELDS])
+    t = once(t, {"lastc": F.when(F.col("has_last"), counts(last_path)).otherwise(counts(total_path)), "totalc": F.when(F.col("has_total"), counts(total_path))})
     # the running baseline: the latest total; a row that has none leaves it as it is
     t = t.withColumn("prev", F.last("totalc", ignorenulls=True).over(before))
     total = lambda s: F.greatest(F.col(f"{s}.total"), sum((F.col(f"{s}.{c}") for c in COUNTS[1:]), F.col(f"{s}.{COUNTS[0]}")))
@@ -97,13 +106,13 @@ def usage_events(rows: DataFrame) -> DataFrame:
     grown = F.struct(*[F.greatest(F.col(f"lastc.{c}") - F.col(f"prev.{c}"), F.lit(0)).alias(c) for c in COUNTS], F.greatest(total("lastc") - total("prev"), F.lit(0)).alias("total"))
     t = t.withColumn("c", F.when(F.col("has_last") | F.col("prev").isNull() | fell, F.col("lastc")).otherwise(grown))
     t = t.withColumn("all", total("c")).where((F.col("all") > 0) & F.col("ts_ms").isNotNull())
-    t = t.withColumns({"emitted": F.coalesce(text("payload.info.model"), F.col("turn_model")), "inherited": F.col("has_parent") & ~F.col("seen_ctx")})
+    t = t.withColumns({"emitted": F.coalesce("info_model", "turn_model"), "inherited": F.col("has_parent") & ~F.col("seen_ctx")})
     ident = lambda s: F.concat_ws("|", *[F.col(f"{s}.{c}").cast("string") for c in PARTS])
     root = F.when(F.col("inherited"), F.col("parent_rollout_key")).otherwise(F.col("rollout_key"))
     proven = F.col("snapshot") & ~F.col("parent_conflict") & (root != "")
     scope = F.when(F.col("rollout_key") != "", F.concat(F.lit("rollout:"), "rollout_key")).when(F.col("session_id").isNotNull(), F.concat(F.lit("session:"), hash_id("session_id", length=16))).otherwise("missing-rollout")
-    raw_total = F.concat_ws("|", *[number(f"{total_path}.{c}").cast("string") for c in ("input_tokens", "output_tokens", "cached_input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "reasoning_output_tokens", "total_tokens")])
-    t = t.withColumns({
+    raw_total = F.concat_ws("|", *[at(f"{total_path}.{c}").cast("string") for c in ("input_tokens", "output_tokens", "cached_input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "reasoning_output_tokens", "total_tokens")])
+    t = once(t, {
         "lineage_fingerprint": F.when(proven, hash_id(F.lit("total"), root, F.lit("last"), ident("lastc"), F.lit("snapshot"), ident("totalc"))).otherwise(""),
         "base_id": hash_id(F.lit("codex-token"), scope, "emitted", ident("lastc"), F.when(F.col("snapshot"), F.concat(F.lit("complete|"), ident("totalc"))).otherwise("incomplete")),
         "dedup_key": F.when(F.col("snapshot"), F.concat(F.lit("codex:"), hash_id(F.lit("codex-token"), "emitted", ident("lastc"), raw_total, length=32))).otherwise(""),

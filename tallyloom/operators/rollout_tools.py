@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import code
-from tallyloom.functions.exprs import hash_id, known, mcp_server, skill_markers
+from tallyloom.functions.exprs import hash_id, known, mcp_server, once, skill_markers
 from tallyloom.operators.calls import gated_calls, resolved_calls
 from tallyloom.operators.dedup import map_max
 from tallyloom.operators.rollout import js, text, with_metadata
@@ -21,9 +21,8 @@ def no_counts() -> Column:
     return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
 
 
-def output_text() -> Column:
+def output_text(raw: Column) -> Column:
     """The output as text, whether it is a string, a list of text parts or an object."""
-    raw = js("payload.output")
     parts = F.array_join(F.transform(F.from_json(raw, "array<struct<text:string>>"), lambda x: x["text"]), "\n")
     inner = F.coalesce(F.get_json_object(raw, "$.output"), F.get_json_object(raw, "$.content"))
     return F.coalesce(F.when(raw.startswith("["), F.nullif(parts, F.lit(""))), F.when(raw.startswith("{"), inner), raw)
@@ -34,10 +33,12 @@ def items(rows: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ctx = F.col("type") == "turn_context"
     turn = F.when(ctx, F.coalesce(text("payload.turn_id"), text("payload.id"), F.concat(F.lit("context:"), F.sha2(js("payload"), 256))))
-    r = with_metadata(rows).withColumns({"model": F.coalesce(F.last(F.when(ctx, text("payload.model")), ignorenulls=True).over(so_far), F.lit(UNKNOWN)), "turn": F.coalesce(F.last(turn, ignorenulls=True).over(so_far), F.lit("pre-context"))})
-    args = js("payload.arguments")
-    body = F.coalesce(js("payload.input"), F.get_json_object(args, "$.input"), F.get_json_object(args, "$.cmd"), F.get_json_object(args, "$.command"), args)
-    return r.where("type = 'response_item'").withColumns({"call_id": js("payload.call_id"), "name": F.coalesce(js("payload.name"), F.lit("")), "body": body, "arguments": args, "is_output": F.col("ptype").endswith("_call_output"), "output": output_text()})
+    r = once(with_metadata(rows), {"ctx_model": F.when(ctx, text("payload.model")), "ctx_turn": turn})
+    r = r.withColumns({"model": F.coalesce(F.last("ctx_model", ignorenulls=True).over(so_far), F.lit(UNKNOWN)), "turn": F.coalesce(F.last("ctx_turn", ignorenulls=True).over(so_far), F.lit("pre-context"))})
+    r = once(r.where("type = 'response_item'").drop("ctx_model", "ctx_turn"), {"call_id": js("payload.call_id"), "name": F.coalesce(js("payload.name"), F.lit("")), "body": js("payload.input"), "arguments": js("payload.arguments"), "output": js("payload.output")})
+    args = F.col("arguments")
+    body = F.coalesce("body", F.get_json_object(args, "$.input"), F.get_json_object(args, "$.cmd"), F.get_json_object(args, "$.command"), args)
+    return once(r, {"body": body, "is_output": F.col("ptype").endswith("_call_output"), "output": output_text(F.col("output"))})
 
 
 def edit_entries(rows: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def edit_entries(rows: DataFrame) -> DataFrame:
     calls = i.where(F.col("ptype").isin(*CALLS) & F.col("call_id").isNotNull() & F.col("ts_ms").isNotNull() & F.col("body").contains("Begin Patch"))
     script = F.col("body").contains("tools.apply_patch")
     calls = calls.withColumn("script", script).withColumn("patch", F.when(script, code.script_patch_body("body")).otherwise(F.col("body")))
-    calls = calls.withColumn("d", code.patch_lines("patch")).where("d.added > 0 or d.deleted > 0")
+    calls = once(calls, {"d": code.patch_lines("patch")}).where("d.added > 0 or d.deleted > 0")
     calls = calls.select("file_id", "call_id", "line_no", "source", "model", "project", "ts_ms", F.col("d.added").alias("added"), F.col("d.deleted").alias("deleted"), "script")
     outs = i.where("is_output").select("file_id", "call_id", "line_no", F.struct(code.exec_applied("output").alias("plain"), (code.programmatic_state("output") == "completed").alias("script")).alias("ok"))
     last = outs.groupBy("file_id", "call_id").agg(F.max_by("ok", "line_no").alias("ok"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.exprs import hash_id, is_unknown, known, last_component, mcp_server, reasoning_split, total_of
+from tallyloom.functions.exprs import hash_id, is_unknown, known, last_component, mcp_server, once, reasoning_split, total_of
 from tallyloom.operators.dedup import map_max
-from tallyloom.operators.rollout import js, number, parsed, text
+from tallyloom.operators.rollout import as_number, js, parsed, text
 from tallyloom.schemas import COUNTS, UNKNOWN
 
 BLOCKS = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,is_error:boolean>>"
@@ -16,13 +16,13 @@ USAGE = {"input": "input_tokens", "output": "output_tokens", "cached_input": "ca
 
 def rows_of(lines: DataFrame, subagent: Column | None = None) -> DataFrame:
     """Parsed user and assistant lines with session, turn, model, project and content blocks. ``subagent``: whether a line's file is a sub-agent's."""
-    sid = F.coalesce(js("sessionId"), js("session_id"))
-    r = parsed(lines).where(F.col("type").isin("user", "assistant"))
-    return r.withColumns({
-        "session_id": sid, "session_hash": hash_id(F.coalesce(sid, F.col("file_id")), length=16), "turn": F.coalesce(js("message.id"), js("uuid"), F.concat(F.lit("line-"), F.col("line_no").cast("string"))),
-        "model": known(js("message.model")), "project": F.coalesce(last_component(text("cwd")), F.lit(UNKNOWN)), "blocks": F.from_json(js("message.content"), BLOCKS),
-        "subagent": F.lit(False) if subagent is None else subagent, "has_usage": js("message.usage").isNotNull() & ~js("message.usage").isin("{}", "null"),
-    })
+    sid = F.col("session_id")
+    r = once(parsed(lines).where(F.col("type").isin("user", "assistant")), {"session_id": F.coalesce(js("sessionId"), js("session_id")), "usage": js("message.usage"), "cwd": text("cwd"), "model": js("message.model")})
+    return once(r, {
+        "session_hash": hash_id(F.coalesce(sid, F.col("file_id")), length=16), "turn": F.coalesce(js("message.id"), js("uuid"), F.concat(F.lit("line-"), F.col("line_no").cast("string"))),
+        "model": known("model"), "project": F.coalesce(last_component("cwd"), F.lit(UNKNOWN)), "blocks": F.from_json(js("message.content"), BLOCKS),
+        "subagent": F.lit(False) if subagent is None else subagent, "has_usage": F.col("usage").isNotNull() & ~F.col("usage").isin("{}", "null"),
+    }).drop("usage", "cwd")
 
 
 def session_events(rows: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def tool_maps(rows: DataFrame) -> DataFrame:
     skill = F.filter(F.transform(F.filter(uses, lambda b: b["name"] == "Skill"), lambda b: F.coalesce(F.nullif(F.trim(F.get_json_object(b["input"], "$.skill")), F.lit("")), F.nullif(F.trim(F.get_json_object(b["input"], "$.command")), F.lit("")))), lambda x: x.isNotNull())
     server = F.filter(F.transform(uses, lambda b: mcp_server(b["name"])), lambda x: x.isNotNull())
     count = lambda names: F.transform(F.array(names), lambda a: F.map_from_arrays(F.array_sort(F.array_distinct(a)), F.transform(F.array_sort(F.array_distinct(a)), lambda k: F.size(F.filter(a, lambda x: x == k)).cast("long"))))[0]
-    return rows.withColumns({"skill_counts": count(skill), "mcp_counts": count(server)})
+    named = once(rows, {"skill_counts": skill, "mcp_counts": server})
+    return once(named, {"skill_counts": count(F.col("skill_counts")), "mcp_counts": count(F.col("mcp_counts"))})
 
 
 def turn_sizes(rows: DataFrame) -> DataFrame:
@@ -74,8 +75,9 @@ def family(model: str = "model") -> Column:
 def usage_events(rows: DataFrame) -> DataFrame:
     """One event per message with its largest counts, and one count-only event per turn whose tools have no usage."""
     a = tool_maps(rows.where("type = 'assistant'")).where(F.col("ts_ms").isNotNull())
-    n = {c: F.greatest(number(f"message.usage.{p}"), F.lit(0)) for c, p in USAGE.items()}
-    used = a.where("has_usage").withColumns({**n, "total": number("message.usage.total_tokens")})
+    fields = {**USAGE, "total": "total_tokens"}
+    used = once(a.where("has_usage"), {c: js(f"message.usage.{p}") for c, p in fields.items()})
+    used = once(used, {c: as_number(F.col(c)) for c in fields}).withColumns({c: F.greatest(c, F.lit(0)) for c in USAGE})
     m = used.groupBy("source", "file_id", "turn").agg(*fold(used, True), *[F.max(c).alias(c) for c in [*COUNTS, "total"]], F.bool_or("subagent").alias("subagent"))
     m = m.join(turn_sizes(rows), ["file_id", "turn"], "left")
     split = F.when(~F.col("subagent") & (F.col("reasoning") == 0) & family(), reasoning_split("thinking", "other", "output")).otherwise(0)
@@ -96,7 +98,7 @@ def edit_entries(rows: DataFrame) -> DataFrame:
 
     each = rows.select("file_id", "source", "model", "project", "ts_ms", "line_no", "type", F.explode("blocks").alias("b"))
     calls = each.where((F.col("b.type") == "tool_use") & F.col("b.name").isin("Edit", "Write", "NotebookEdit", "MultiEdit") & (F.col("b.id") != "") & F.col("ts_ms").isNotNull())
-    calls = calls.withColumn("d", edit_lines("b.name", "b.input")).where("d.added > 0 or d.deleted > 0")
+    calls = once(calls, {"d": edit_lines("b.name", "b.input")}).where("d.added > 0 or d.deleted > 0")
     last = calls.groupBy("file_id", F.col("b.id").alias("tool_use_id")).agg(F.max_by(F.struct("source", "model", "project", "ts_ms", F.col("d.added").alias("added"), F.col("d.deleted").alias("deleted")), "line_no").alias("e"))
     done = each.where((F.col("b.type") == "tool_result") & (F.col("b.tool_use_id") != "")).groupBy("file_id", F.col("b.tool_use_id").alias("tool_use_id")).agg(F.max_by(~F.coalesce("b.is_error", F.lit(False)), "line_no").alias("ok"))
     return last.join(done, ["file_id", "tool_use_id"]).where("ok").select("tool_use_id", "e.*", "file_id", F.lit("").alias("hostname"))

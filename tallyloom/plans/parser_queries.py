@@ -30,7 +30,7 @@ def filled(template: str, **more: Column) -> Column:
 def made(spark, d, raw: Column, source: str = "codex") -> DataFrame:
     """``(file_id, source, line_no, raw)`` and the columns that lines are made of: a file for each user, a line for each event."""
     u = usage_rows(spark, d).withColumns({"file": F.col("session_hash"), "at": F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")})
-    return u.drop("source", "file_id").select("*", F.col("file").alias("file_id"), F.lit(source).alias("source"), F.col("n").alias("line_no"), raw.alias("raw"))
+    return X.once(u.drop("source", "file_id").select("*", F.col("file").alias("file_id"), F.lit(source).alias("source"), F.col("n").alias("line_no")), {"raw": raw})
 
 
 def lines_only(df: DataFrame) -> DataFrame:

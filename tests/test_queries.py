@@ -75,3 +75,9 @@ def test_cut_texts_of_two_bytes_a_character(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(catalogue.ORACLE["p26_truncate_utf8"]).fetchdf()
     assert rows(catalogue.QUERIES["p26_truncate_utf8"](spark, str(tmp_path)).toPandas()) == rows(want)
+
+
+@pytest.mark.parametrize("name,most", [("p06_token_events", 60), ("p10_event_ids", 60), ("a02_message_fold", 120), ("p04_transcript_tokens", 120), ("j01_rollout_edits", 110), ("j02_edit_results", 110), ("a04_rollout_tool_counts", 700)])
+def test_fields_of_a_line_are_read_once(spark, name, most):
+    optimized = catalogue.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("get_json_object") <= most
