@@ -1,23 +1,26 @@
 """Re-Pair grammar of a sequence of whole numbers, and its decoding in whole or in part.
 
-Frequent neighbours are replaced by nonterminals in rounds. A round counts all pairs, takes those with at least a sixteenth of the count of the most frequent one, in falling order of their
-counts, as long as their occurrences can't overlap (no symbol is the left one of one and the right one of another), and replaces them all: the same as one by one. A pair of equal
-symbols is replaced in a round of its own with its runs cut from the left. Pairs are counted in hashed buckets; each bucket stands for the pair that occurs
-last in it, whose occurrences are then counted exactly, and as the hash changes from round to round, a pair that is hidden in one is seen in another.
+The most frequent pair of neighbours is replaced by a nonterminal, again and again, until no pair occurs as often as ``least`` (2 for a whole grammar). Occurrences that overlap count once, runs
+being cut from the left. Pairs of equal count may go in any order, so a round replaces all pairs of the highest count that can't overlap (no symbol is the left one of one and the right one of
+another): the same as one by one, as none of them takes an occurrence from another, and a pair that comes up is at most as frequent as the one it comes from.
+
+All occurrences of a pair come up in one round, that of its younger symbol, and only go away afterwards. So they are listed once, counts only fall, and a round touches no places but its
+occurrences and their neighbours. A pair that comes up less than ``least`` times is never looked at again.
 
 Each symbol has its expansion length; sums of these at every STEP-th place of the sequence lead a reader to any position without decoding what lies before.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 from typing import NamedTuple
 
 import numpy as np
 
-MAGIC = b"RPG1"
-LEAST, ROUNDS, SHARE, STEP = 32, 6, 16, 1024
-BUCKETS = 18  # bits
+MAGIC = b"RPG2"
+LEAST, ROUNDS, STEP = 32, 6, 1024
+LONG = 255  # lengths from here on don't fit into a byte
 
 
 class Grammar(NamedTuple):
@@ -27,13 +30,6 @@ class Grammar(NamedTuple):
     sequence: np.ndarray
 
 
-def keys_of(seq: np.ndarray) -> tuple[np.ndarray, int]:
-    """(each place's pair in one number, the bits of its right symbol)."""
-    if seq.dtype == np.uint16:
-        return seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:], 16
-    return seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], 32
-
-
 def apart(lefts: list[int], rights: list[int]) -> list[int]:
     """Which of the pairs, in order, can be replaced at once."""
     left, right, chosen = set(), set(), []
@@ -48,69 +44,164 @@ def apart(lefts: list[int], rights: list[int]) -> list[int]:
     return chosen
 
 
-def replace_round(seq: np.ndarray, first: int, salt: int, least: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """``seq`` after a round, and its rules, of which the first is symbol ``first``."""
-    key, bits = keys_of(seq)
-    factor = (0x9E3779B97F4A7C15 + 2 * salt * 0x5851F42D4C957F2D) % (1 << 2 * bits) | 1
-    bucket = (key * key.dtype.type(factor) >> key.dtype.type(2 * bits - BUCKETS)).astype(np.intp)
-    counts = np.bincount(bucket, minlength=1 << BUCKETS)
-    pair = np.zeros(1 << BUCKETS, key.dtype)
-    pair[bucket] = key
-    cand = np.flatnonzero(counts >= max(least, int(counts.max()) // SHARE))
-    cand = cand[np.lexsort((pair[cand], -counts[cand]))]
-    lefts, rights = (pair[cand] >> key.dtype.type(bits)).tolist(), (pair[cand] & key.dtype.type((1 << bits) - 1)).tolist()
-    chosen = apart(lefts, rights)
-    number = np.zeros(1 << BUCKETS, np.int32)
-    number[cand[chosen]] = np.arange(1, len(chosen) + 1)
-    hit = np.flatnonzero(number.take(bucket))
-    hit = hit[key[hit] == pair[bucket[hit]]]
-    rules = [(lefts[k], rights[k]) for k in chosen]
-    if rules and rules[0][0] == rules[0][1]:
-        jump = np.flatnonzero(np.diff(hit, prepend=-2) > 1)  # runs of hits: every other one counts
-        hit = hit[(np.arange(len(hit)) - np.repeat(jump, np.diff(np.append(jump, len(hit))))) % 2 == 0]
-    which = number[bucket[hit]] - 1
-    often = np.bincount(which, minlength=len(rules)) >= least  # not so if the bucket was filled by others
-    symbol = first + np.cumsum(often) - 1
-    hit, which = (hit, which) if often.all() else (hit[often[which]], which[often[which]])
-    rules = [r for r, good in zip(rules, often.tolist()) if good]
-    out = seq.copy()
-    out[hit] = symbol[which]
-    keep = np.ones(len(seq), bool)
-    keep[hit + 1] = False
-    return out.compress(keep), rules
-
-
-def build(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> Grammar:
-    """The grammar of ``ids``, whole numbers below 2^31. ``least`` must be 2 or more."""
+def every_other(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of the ascending ``places`` of a pair of equal symbols those that don't overlap, from the left of each run; after: the place that follows each."""
+    first = np.flatnonzero(np.append(True, after[:-1] != places[1:]))
+    return places[(np.arange(len(places)) - np.repeat(first, np.diff(np.append(first, len(places))))) % 2 == 0]
+
+
+class Pairs:
+    """A sequence as a linked list of places, and its pairs with their places and counts. The first and the last place are guards."""
+
+    def __init__(self, seq: np.ndarray, symbols: int, least: int):
+        n = len(seq) + 2
+        self.symbols, self.least = symbols, least
+        self.symbol = np.full(n, -1, np.int32)  # of each place; -1: none any more
+        self.symbol[1:-1] = seq
+        self.after, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        self.pair = np.full(n, -1, np.int32)  # number of the pair that begins at each place; -1: none, or one that is not numbered
+        self.number, room = 0, len(seq) // 4 + 16
+        self.left, self.right, self.count, self.low, self.size = (np.zeros(room, np.int32) for _ in range(5))  # by number; low, size: where the places are listed
+        self.listed, self.places = 0, np.zeros(n, np.int32)
+        self.floor, self.active = 1 << 31, np.zeros(0, np.intp)  # pairs of unequal symbols with that count or more
+        self.equal: list[tuple[int, int]] = []  # heap of (-count or less, number) of the pairs of equal symbols
+        self.add(np.arange(1, n - 2, dtype=np.int32))
+
+    def add(self, at: np.ndarray) -> None:
+        """Numbers the pairs that begin at the places ``at``; they are all that there are of them."""
+        if not len(at):
+            return
+        left, right = self.symbol[at].astype(np.uint64), self.symbol[self.after[at]].astype(np.uint64)
+        wide, deep = np.uint64(self.symbols.bit_length()), np.uint64(len(self.symbol).bit_length())
+        key = left << wide | right
+        if 2 * int(wide) + int(deep) <= 64:  # sorted with its place in one number
+            key = np.sort(key << deep | at.astype(np.uint64))
+            key, at = key >> deep, (key & np.uint64((1 << int(deep)) - 1)).astype(np.int32)
+        else:
+            order = np.lexsort((at, right, left))
+            left, right, at = left[order], right[order], at[order]
+            key = np.cumsum(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(at)))
+        often = size >= self.least
+        self.pair[at] = np.repeat(np.where(often, self.number - 1 + np.cumsum(often), -1).astype(np.int32), size)
+        if not often.all():
+            at, size = at[np.repeat(often, size)], size[often]
+        if not len(size):
+            return
+        k, end, low, high = self.number, self.number + len(size), self.listed, self.listed + len(at)
+        while end > len(self.count):
+            for name in ("left", "right", "count", "low", "size"):
+                setattr(self, name, np.append(getattr(self, name), np.zeros_like(self.count)))
+        while high > len(self.places):
+            self.places = np.append(self.places, np.zeros_like(self.places))
+        self.places[low:high] = at
+        first = np.cumsum(size) - size
+        self.low[k:end], self.size[k:end], self.count[k:end] = low + first, size, size
+        left, right = self.symbol[at[first]], self.symbol[self.after[at[first]]]
+        self.left[k:end], self.right[k:end] = left, right
+        self.number, self.listed = end, high
+        same = left == right
+        if same.any():
+            for p in np.flatnonzero(same).tolist():
+                heapq.heappush(self.equal, (-int(size[p]), k + p))
+        often = (size >= self.floor) & ~same
+        if often.any():
+            self.active = np.append(self.active, k + np.flatnonzero(often))
+
+    def places_of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the places where the pairs are now, which of them is there), in the order of the pairs, then ascending."""
+        size = self.size[pairs].astype(np.int64)
+        which = np.repeat(np.arange(len(pairs)), size)
+        at = self.places[np.arange(len(which)) + (self.low[pairs] - (np.cumsum(size) - size))[which]]
+        there = self.pair[at] == pairs[which]
+        return at[there], which[there]
+
+    def unequal(self) -> tuple[int, np.ndarray]:
+        """(the highest count of pairs of unequal symbols or 0, the pairs that have it); they are looked through by powers of two of their counts."""
+        while True:
+            count = self.count[self.active]
+            top = int(count.max(initial=0))
+            if top >= self.floor:
+                if 2 * np.count_nonzero(count >= self.floor) < len(count):
+                    self.active, count = self.active[count >= self.floor], count[count >= self.floor]
+                return top, self.active[count == top]
+            if self.floor <= self.least:
+                return 0, self.active[:0]
+            good = np.where(self.left[: self.number] != self.right[: self.number], self.count[: self.number], 0)
+            top = int(good.max(initial=0))
+            self.floor = max(self.least, 1 << max(0, top.bit_length() - 1))
+            self.active = np.flatnonzero(good >= self.floor)
+
+    def next_round(self) -> list[tuple[int, int]]:
+        """The rules of a round, of which the first is symbol ``symbols``; none if no pair occurs ``least`` times."""
+        top, pairs = self.unequal()
+        while self.equal and -self.equal[0][0] >= max(top, self.least):
+            bound, p = heapq.heappop(self.equal)
+            at, which = self.places_of(np.array([p]))
+            at = every_other(at, self.after[at]) if len(at) else at
+            if len(at) == -bound:
+                return self.replace(np.array([p]), at, which[: len(at)])
+            heapq.heappush(self.equal, (-len(at), p))
+        if not top:
+            return []
+        if len(pairs) > 1:
+            pairs = pairs[apart(self.left[pairs].tolist(), self.right[pairs].tolist())]
+        return self.replace(pairs, *self.places_of(pairs))
+
+    def replace(self, pairs: np.ndarray, at: np.ndarray, which: np.ndarray) -> list[tuple[int, int]]:
+        symbol, after, before, pair, first = self.symbol, self.after, self.before, self.pair, self.symbols
+        second = after[at]
+        third = after[second]
+        pair[at] = -1
+        lost = [pair[second]]
+        pair[second] = -1
+        behind = before[at]
+        lost.append(pair[behind])  # -1 if that place is itself the second one of another
+        pair[behind] = -1
+        gone = np.concatenate(lost)
+        np.subtract.at(self.count, gone[gone >= 0], np.int32(1))
+        self.count[pairs] = 0
+        symbol[at], symbol[second] = first + which, -1
+        after[at], before[third] = third, at
+        self.symbols += len(pairs)
+        behind = before[at]
+        self.add(np.concatenate([at[third < len(symbol) - 1], behind[(symbol[behind] < first) & (behind > 0)]]))
+        return list(zip(self.left[pairs].tolist(), self.right[pairs].tolist()))
+
+
+def build(ids: np.ndarray, least: int = LEAST, rounds: int | None = ROUNDS) -> Grammar:
+    """The grammar of ``ids``, whole numbers below 2^31. ``least`` must be 2 or more. It is a whole one with ``least`` 2 and ``rounds`` None; else it ends early."""
     present = np.zeros(int(ids.max(initial=0)) + 1, bool)
     present[ids] = True
     terminals = np.flatnonzero(present)
-    seq = (np.cumsum(present) - 1)[ids]
+    pairs = Pairs((np.cumsum(present) - 1)[ids], len(terminals), least)
     rules: list[tuple[int, int]] = []
     lengths = [1] * len(terminals)
-    for salt in range(rounds):
-        most = len(lengths) + len(seq) // least  # symbols after this round
-        seq = seq.astype(np.uint16 if most <= 1 << 16 else np.uint32, copy=False)
-        if len(seq) < 2:
+    while rounds is None or rounds > 0:
+        new = pairs.next_round()
+        if not new:
             break
-        seq, new = replace_round(seq, len(lengths), salt, least)
         rules += new
         lengths += [lengths[a] + lengths[b] for a, b in new]
-    return Grammar(terminals.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.int64), seq.astype(np.uint32))
+        rounds = None if rounds is None else rounds - 1
+    sequence = pairs.symbol[pairs.symbol >= 0]
+    return Grammar(terminals.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.int64), sequence.astype(np.uint32))
 
 
 def expand(g: Grammar, seq: np.ndarray) -> np.ndarray:
-    """What ``seq`` stands for. Rules are undone all at once, from the outside in; a symbol is split as often as its rule is deep."""
+    """What ``seq`` stands for. Lengths say where each symbol's expansion goes; rules are undone all at once, from the outside in, and a terminal is set once."""
     n = len(g.terminals)
-    while len(seq) and int(seq.max()) >= n:
+    size = g.lengths[seq]
+    out = np.empty(int(size.sum()), np.uint32)
+    at = np.cumsum(size) - size
+    while len(seq):
         rule = seq >= n
-        at = np.cumsum(rule + 1) - (rule + 1)
-        out = np.empty(int(at[-1] + rule[-1]) + 1, np.uint32)
-        out[at] = seq
-        out[at[rule]] = g.rules[seq[rule] - n, 0]
-        out[at[rule] + 1] = g.rules[seq[rule] - n, 1]
-        seq = out
-    return g.terminals[seq]
+        out[at[~rule]] = g.terminals[seq[~rule]]
+        seq, at = seq[rule], at[rule]
+        left, right = g.rules[seq - n].T
+        seq, at = np.concatenate([left, right]), np.concatenate([at, at + g.lengths[left]])
+    return out
 
 
 def access(g: Grammar, sums: np.ndarray, start: int, stop: int) -> np.ndarray:
@@ -129,22 +220,39 @@ def skip_sums(g: Grammar) -> np.ndarray:
     return np.concatenate([[0], ends[STEP - 1 : -1 : STEP]]).astype(np.int64) if len(ends) else np.zeros(1, np.int64)
 
 
+def pack(symbols: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of each symbol, then the others bit by bit, each for all symbols."""
+    return symbols.astype("<u2").tobytes() + b"".join(np.packbits(symbols >> np.uint32(k) & np.uint32(1)).tobytes() for k in range(16, bits))
+
+
+def packed_size(n: int, bits: int) -> int:
+    return 2 * n + max(0, bits - 16) * ((n + 7) // 8)
+
+
+def unpack(data: memoryview, n: int, bits: int) -> np.ndarray:
+    out = np.frombuffer(data, "<u2", n).astype(np.uint32)
+    for k in range(16, bits):
+        out |= np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, 2 * n + (k - 16) * ((n + 7) // 8)), count=n).astype(np.uint32) << np.uint32(k)
+    return out
+
+
 def to_bytes(g: Grammar) -> bytes:
-    """Header, terminals, rules, expansion lengths of the rules, skip sums, sequence; little-endian, symbols of 2 or 4 bytes as they fit."""
-    kind = "<u2" if len(g.lengths) <= 1 << 16 else "<u4"
-    sums = skip_sums(g)
-    head = MAGIC + struct.pack("<5I", int(kind[2]), len(g.terminals), len(g.rules), len(sums), len(g.sequence))
-    parts = [g.terminals.astype("<u4"), g.rules.astype(kind), g.lengths[len(g.terminals) :].astype("<u8"), sums.astype("<u8"), g.sequence.astype(kind)]
-    return head + b"".join(p.tobytes() for p in parts)
+    """Header, terminals, rules, expansion lengths of the rules, skip sums, sequence; little-endian. Symbols have as many bits as they need, lengths one byte, with those from LONG on in a list behind them."""
+    bits, sums, lengths = len(g.lengths).bit_length(), skip_sums(g), g.lengths[len(g.terminals) :]
+    long = lengths[lengths >= LONG]
+    head = MAGIC + struct.pack("<6I", bits, len(g.terminals), len(g.rules), len(long), len(sums), len(g.sequence))
+    parts = [g.terminals.astype("<u4").tobytes(), pack(g.rules.ravel(), bits), np.minimum(lengths, LONG).astype(np.uint8).tobytes(), long.astype("<u8").tobytes(), sums.astype("<u8").tobytes(), pack(g.sequence, bits)]
+    return head + b"".join(parts)
 
 
 def from_bytes(data: bytes | memoryview) -> tuple[Grammar, np.ndarray]:
+    data = memoryview(data)
     if bytes(data[:4]) != MAGIC:
         raise ValueError("not a grammar")
-    size, terminals, rules, sums, length = struct.unpack("<5I", data[4:24])
-    at, kind, out = 24, f"<u{size}", []
-    for dtype, n in (("<u4", terminals), (kind, 2 * rules), ("<u8", rules), ("<u8", sums), (kind, length)):
-        out.append(np.frombuffer(data, dtype, n, at))
-        at += out[-1].nbytes
-    lengths = np.concatenate([np.ones(terminals, np.int64), out[2].astype(np.int64)])
-    return Grammar(out[0], out[1].reshape(-1, 2), lengths, out[4].astype(np.uint32)), out[3].astype(np.int64)
+    bits, terminals, rules, long, sums, length = struct.unpack("<6I", data[4:28])
+    sizes = [4 * terminals, packed_size(2 * rules, bits), rules, 8 * long, 8 * sums, packed_size(length, bits)]
+    ends = np.cumsum([28, *sizes]).tolist()
+    part = [data[a:b] for a, b in zip(ends, ends[1:])]
+    lengths = np.concatenate([np.ones(terminals, np.int64), np.frombuffer(part[2], np.uint8).astype(np.int64)])
+    lengths[terminals:][lengths[terminals:] == LONG] = np.frombuffer(part[3], "<u8")
+    return Grammar(np.frombuffer(part[0], "<u4"), unpack(part[1], 2 * rules, bits).reshape(-1, 2), lengths, unpack(part[5], length, bits)), np.frombuffer(part[4], "<u8").astype(np.int64)

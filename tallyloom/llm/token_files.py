@@ -196,7 +196,7 @@ class Writer:
             self.held, self.n_held = [rest.tobytes()], len(rest)
 
     def _shard(self, ids: np.ndarray) -> None:
-        data = repair.to_bytes(repair.build(ids))
+        data = repair.to_bytes(repair.build(ids, least=2, rounds=None))
         self.shards.append((self.at, len(self.shards) * self.shard))
         self.out.write(data)
         self.at += len(data)

@@ -54,6 +54,53 @@ def test_frequent_pairs_are_replaced():
     assert len(repair.build(noise).rules) == 0  # no pair occurs twice
 
 
+def pair_counts(seq):
+    """Occurrences of each pair, those that overlap counted once."""
+    n, taken = {}, {}
+    for k, pair in enumerate(zip(seq, seq[1:])):
+        if pair[0] != pair[1] or taken.get(pair) != k - 1:
+            n[pair] = n.get(pair, 0) + 1
+            taken[pair] = k
+    return n
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_grammar_replaces_the_most_frequent_pair_until_none_occurs_twice(seed):
+    rng = np.random.default_rng(seed)
+    ids = rng.zipf(1.2 + seed / 12, 900) % (3 + 4 * seed) if seed else np.concatenate([np.tile(rng.integers(0, 40, 17), 9), np.repeat([5, 6, 5], [33, 7, 12])])
+    g = repair.build(ids.astype(np.uint32), least=2, rounds=None)
+    seq = np.searchsorted(g.terminals, ids).tolist()
+    for k, (a, b) in enumerate(g.rules.tolist()):
+        counts = pair_counts(seq)
+        assert counts[a, b] == max(counts.values()) >= 2
+        out = []
+        for x in seq:
+            if out and (out[-1], x) == (a, b):
+                out[-1] = len(g.terminals) + k
+            else:
+                out.append(x)
+        seq = out
+    assert seq == g.sequence.tolist() and max(pair_counts(seq).values(), default=0) < 2
+
+
+def test_files_hold_whole_grammars():
+    ids = np.random.default_rng(4).zipf(1.3, 5000).astype(np.uint32) % 300
+    out = pa.BufferOutputStream()
+    writer = token_files.Writer(out)
+    writer.add(1, ids.tobytes())
+    writer.close()
+    g, _ = token_files.Reader(pa.BufferReader(out.getvalue())).shard(0)
+    assert len(g.rules) and max(pair_counts(g.sequence.tolist()).values()) == 1
+
+
+def test_wide_symbols_and_long_expansions():
+    ids = np.concatenate([np.arange(70_000), np.arange(70_000), np.zeros(3000, int)]).astype(np.uint32)
+    g = repair.build(ids, least=2, rounds=None)
+    h, sums = repair.from_bytes(repair.to_bytes(g))
+    assert g.lengths.max() == 70_000 and all(np.array_equal(x, y) for x, y in zip(g, h)) and np.array_equal(repair.expand(h, h.sequence), ids)
+    assert np.array_equal(repair.access(h, sums, 69_990, 70_011), ids[69_990:70_011])
+
+
 def test_encoder_gives_the_librarys_ids():
     rng, encoder = random.Random(2), token_files.Encoder(BPE)
     assert encoder.by_words
