@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -589,6 +590,23 @@ def test_lm_score_equals_brute_force(spark):
         assert abs(got[i] - total) < 1e-3 * max(1, abs(total)), (i, got[i], total)
 
 
+def test_lm_words_are_cut_together():
+    """Words of many texts at once are those of each text alone, and rows are taken by bytes of text."""
+    rng = random.Random(5)
+    signs = ["a", "B", "É", "é", "ß", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\x00", "x", "Word", "中"]
+    for n in (0, 1, 2, 300):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(["AB c", *texts, " d"], pa.string()).slice(1, n)], ["text"])
+        for most in (1, 20, 1 << 20):
+            got = []
+            for chunk in ngram.chunks(iter([batch]), 0, most):
+                w = ngram.cut(chunk.column(0))
+                assert len(set(w.key.tolist())) == len(w.key) and w.size.sum() == len(w.word)
+                assert chunk.num_rows == 1 or sum(len(t.encode()) for t in chunk.column(0).to_pylist()) <= most
+                got += [[(w.key[k], w.ending[k]) for k in w.word[w.text == d]] for d in range(chunk.num_rows)]
+            assert got == [[(ngram.key_of(x), ngram.ending(x)) for x in t.encode().lower().split()] for t in texts]
+
+
 def test_lm_class_model_sums_to_one():
     rng = np.random.default_rng(0)
     size = 80
