@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import functools
 import io
-import itertools
 import json
 import os
 import re
@@ -40,37 +39,52 @@ PIECE = 1 << 22  # characters that are looked at together
 SLICE = 2048  # texts that are encoded together at most
 
 BORDER = re.compile(r"(?<=\S)[ \t\n]")
-BLANK_AFTER_SPACE = re.compile(r"\s ")
-CUT = "\x00"
+BLOCK = 64  # pieces that the library encodes as one text
 
+# Bytes by kind; the last kind, of all bytes that are not here, says nothing
+LETTER, DIGIT, SIGN, QUOTE, BLANK, OTHER = range(6)
+KIND = np.full(256, OTHER, np.uint8)
+for _kind, _bytes in ((LETTER, [*range(65, 91), *range(97, 123)]), (DIGIT, range(48, 58)), (SIGN, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]), (QUOTE, [39]), (BLANK, [*range(9, 14), 32])):
+    KIND[_bytes] = _kind
+# Kinds of two neighbours between which a text may be cut: no part of the byte-level pattern has both
+APART = np.zeros((6, 6), bool)
+for _left, _rights in ((LETTER, [DIGIT, SIGN, QUOTE, BLANK]), (DIGIT, [LETTER, SIGN, QUOTE, BLANK]), (SIGN, [LETTER, DIGIT, BLANK]), (QUOTE, [DIGIT, BLANK]), (OTHER, [BLANK])):
+    APART[_left, _rights] = True
 
-def cut_words(text: str) -> list[str]:
-    """``text`` cut before each blank that follows a visible character."""
-    words = text.split(" ")
-    if not BLANK_AFTER_SPACE.search(text):
-        return words[:1] + [" " + w for w in words[1:]]
-    out, held = [], [words[0]]
-    for word in words[1:]:
-        if held[-1] and not held[-1][-1].isspace():
-            out.append(" ".join(held))
-            held = [""]
-        held.append(word)
-    return [*out, " ".join(held)]
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where UTF-8 ``data`` may be cut: between letters, digits and signs of ASCII, and before white space that follows a visible character."""
+    kind = KIND[data]
+    at = np.flatnonzero(APART.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]) + 1
+    wide = at[kind[at - 1] == OTHER]  # what ends there may be white space beyond ASCII, or a control character
+    if not len(wide):
+        return at
+    a, b, c = data[np.maximum(wide - 3, 0)], data[np.maximum(wide - 2, 0)], data[wide - 1]
+    space = (c < 0x80) | (b == 0xC2) & ((c == 0x85) | (c == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    space |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+    keep = np.ones(len(at), bool)
+    keep[kind[at - 1] == OTHER] = ~space
+    return at[keep]
 
-# Letters, digits and white space below U+0250, and the byte-level pattern's alternatives over them (fixed values)
-L, N, W = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-LATIN = re.compile("[\x00-\u024f]*")
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+")
+
+PLAIN = re.compile(rb" ?[!-~]+").fullmatch
+
+
+def one_word(text: str) -> bool:
+    """Whether ``text`` has no white space, but for a blank before it."""
+    words = text.split()
+    return len(words) == 1 and len(words[0]) + (text[0] == " ") == len(text)
 
 
 class Kept:
     """Encoded strings, the most recent ``most`` to 2 * ``most`` of them."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most = most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def find(self, words: list[str]) -> tuple[list[bytes | None], list[int]]:
+    def find(self, words: list[bytes]) -> tuple[list[bytes | None], list[int]]:
         """What is kept of each, and the places of those that aren't; what is found in the older half moves to the younger."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
@@ -84,10 +98,9 @@ class Kept:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, each distinct word encoded once, by the library, and looked up afterwards.
+    """Ids of texts as little-endian 32-bit bytes, each distinct piece encoded once, by the library, and looked up afterwards.
 
-    Byte-level vocabularies split a text by a pattern before they merge, and no part of that pattern goes on from a visible character to white space. So a text may be cut before any white space
-    that follows one. Pieces of Latin characters that are not known are cut further, into the pattern's parts. Special tokens' names in a text are ordinary text.
+    Byte-level vocabularies split a text by a pattern before they merge, so a text may be cut wherever no part of that pattern can go on (``cuts``). Special tokens' names in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -98,44 +111,56 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         state = json.loads(self.tokenizer.to_str())
         pre = state["pre_tokenizer"] or {}
-        self.by_words = state["normalizer"] is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
-        self.words, self.parts = Kept(MOST_WORDS), Kept(MOST_WORDS)
+        self.by_words = state["normalizer"] is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and all(t["special"] for t in state["added_tokens"])
+        self.words = self.parts = Kept(MOST_WORDS)
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.by_words and len(line) == 1 else None
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        split = [PARTS.findall(w) if w.isascii() or LATIN.fullmatch(w) else [w] for w in words]
-        parts = list(set(itertools.chain.from_iterable(split)))
-        found, missing = self.parts.find(parts)
-        known = dict(zip(parts, found))
-        new = [parts[k] for k in missing]
-        fresh = dict(zip(new, self.library(new)))
-        self.parts.young.update(fresh)
-        known.update(fresh)
-        return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] if len(p) == 2 else b"".join([known[x] for x in p]) for p in split]
-
-    def _distinct(self, words: list[str]) -> list[bytes]:
-        found, missing = self.words.find(words)
-        names = [words[k] for k in missing]
-        for k, w, ids in zip(missing, names, self._learn(names)):
-            found[k] = self.words.young[w] = ids
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The library's ids. Pieces without white space, but for a blank before them, stand line by line in one text, which costs less; the pattern cuts at such a line's ends."""
+        lines = [k for k, p in enumerate(pieces) if PLAIN(p) or one_word(p.decode())] if self.line is not None else []
+        out: list[bytes | None] = [None] * len(pieces)
+        blocks = [lines[k : k + BLOCK] for k in range(0, len(lines), BLOCK)]
+        for block, found in zip(blocks, self.library([b"\n".join([pieces[k] for k in block]).decode() for block in blocks])):
+            ends = np.append(np.flatnonzero(np.frombuffer(found, "<u4") == self.line), len(found) // 4).tolist()
+            if len(ends) == len(block):
+                low = 0
+                for k, end in zip(block, ends):
+                    out[k] = found[4 * low : 4 * end]
+                    low = end + 1
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self.library([pieces[k].decode() for k in rest])):
+            out[k] = ids
+        return out
+
+    def _distinct(self, pieces: list[bytes]) -> list[bytes]:
+        found, missing = self.words.find(pieces)
+        for k, ids in zip(missing, self._learn([pieces[k] for k in missing])):
+            found[k] = self.words.young[pieces[k]] = ids
         return found
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        """The texts are cut by Arrow, each distinct word is looked up once, and the words' ids are gathered by numpy."""
-        plain = [CUT not in t and not BLANK_AFTER_SPACE.search(t) for t in texts]
-        lists = pc.split_pattern(pc.replace_substring(pa.array([t if good else "" for t, good in zip(texts, plain)], pa.large_string()), " ", CUT + " "), CUT)
-        if not all(plain):
-            lists = pa.array([words if good else cut_words(t) for t, good, words in zip(texts, plain, lists.to_pylist())], pa.large_list(pa.large_string()))
-        words = lists.flatten().dictionary_encode()
-        ids = self._distinct(words.dictionary.to_pylist())
+        """The texts are cut by numpy, each distinct piece is looked up once, and the pieces' ids are gathered by numpy."""
+        whole = pa.array(texts, pa.large_binary())
+        bounds = np.frombuffer(whole.buffers()[1], np.int64)[: len(texts) + 1]
+        data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[cuts(data)] = begins[bounds] = True
+        at = np.flatnonzero(begins)  # the end of the data is the last
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), whole.buffers()[2] or pa.py_buffer(b"")]).dictionary_encode()
+        names = pieces.dictionary
+        marks = np.frombuffer(names.buffers()[1], np.int64)[: len(names) + 1].tolist()
+        held = (names.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        ids = self._distinct([held[a:b] for a, b in zip(marks, marks[1:])])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, at = np.frombuffer(b"".join(ids), "<u4"), words.indices.to_numpy()
-        n = sizes[at]
+        flat, piece = np.frombuffer(b"".join(ids), "<u4"), pieces.indices.to_numpy()
+        n = sizes[piece]
         ends = np.cumsum(n)
-        out = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        marks = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
+        out = flat[np.repeat((np.cumsum(sizes) - sizes)[piece] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        marks = np.append(0, ends)[np.searchsorted(at, bounds)].tolist()
         return [out[a:b].tobytes() for a, b in zip(marks, marks[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -110,6 +110,17 @@ def test_encoder_gives_the_librarys_ids():
     assert [b for k in range(0, len(texts), 100) for b in encoder.encode(texts[k : k + 100])] == encoder.library(texts)
 
 
+def test_texts_cut_finely_give_the_librarys_ids():
+    rng, encoder = random.Random(8), token_files.Encoder(BPE)
+    signs = [*"abZ019.,'-_~ ", "'s", "'re", "'VE", " '", "''", "  ", "\n", "\n\n", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x7f", "\x00", *"é中ж²", "\u0301", *map(chr, (0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x200B, 0x2014, 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0x3001, 0xA805, 0xE080, 0x20000))]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(9))) for _ in range(20_000)]
+    assert encoder.encode(texts) == encoder.library(texts)
+    pieces = [t.encode() for t in set(texts) if t]
+    assert encoder._learn(pieces) == encoder.library([p.decode() for p in pieces])
+    data = np.frombuffer(b"word, can't 12ab!", np.uint8)
+    assert [bytes(x) for x in np.split(data, token_files.cuts(data))] == [b"word", b",", b" can", b"'t", b" 12", b"ab", b"!"]
+
+
 def test_long_texts_are_cut_at_borders(monkeypatch):
     monkeypatch.setattr(token_files, "PIECE", 50)
     rng, encoder = random.Random(3), token_files.Encoder(BPE)
