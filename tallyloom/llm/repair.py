@@ -1,8 +1,8 @@
 """Re-Pair grammar of a sequence of whole numbers, and its decoding in whole or in part.
 
 The most frequent pair of neighbours is replaced by a nonterminal, again and again, until no pair occurs as often as ``least`` (2 for a whole grammar). Occurrences that overlap count once, runs
-being cut from the left. Pairs of equal count may go in any order, so a round replaces all pairs of the highest count that can't overlap (no symbol is the left one of one and the right one of
-another): the same as one by one, as none of them takes an occurrence from another, and a pair that comes up is at most as frequent as the one it comes from.
+being cut from the left. Pairs of equal count may go in any order, so a round replaces pairs of the highest count of which no two overlap anywhere, as many as can't be added to: the same as one by
+one, as none of them takes an occurrence from another, and a pair that comes up is at most as frequent as the one it comes from.
 
 All occurrences of a pair come up in one round, that of its younger symbol, and only go away afterwards. So they are listed once, counts only fall, and a round touches no places but its
 occurrences and their neighbours. A pair that comes up less than ``least`` times is never looked at again.
@@ -12,7 +12,6 @@ Each symbol has its expansion length; sums of these at every STEP-th place of th
 
 from __future__ import annotations
 
-import heapq
 import struct
 from typing import NamedTuple
 
@@ -20,6 +19,8 @@ import numpy as np
 
 MAGIC = b"RPG2"
 LEAST, ROUNDS, STEP = 32, 6, 1024
+FEW = 8  # counts that many pairs share
+ONE = np.int32(1)
 LONG = 255  # lengths from here on don't fit into a byte
 
 
@@ -30,24 +31,26 @@ class Grammar(NamedTuple):
     sequence: np.ndarray
 
 
-def apart(lefts: list[int], rights: list[int]) -> list[int]:
-    """Which of the pairs, in order, can be replaced at once."""
-    left, right, chosen = set(), set(), []
-    for k, (a, b) in enumerate(zip(lefts, rights)):
-        if a == b:
-            if not chosen:
-                return [k]
-        elif a not in right and b not in left:
-            left.add(a)
-            right.add(b)
-            chosen.append(k)
-    return chosen
+def apart(n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of ``n`` pairs can be replaced at once, where ``one[k]`` and ``other[k]`` overlap somewhere: as many as can't be added to."""
+    free, chosen = np.ones(n, bool), np.zeros(n, bool)
+    while True:
+        later = free.copy()
+        later[np.maximum(one, other)] = False
+        chosen |= later
+        near = np.concatenate([other[later[one]], one[later[other]]])
+        free &= ~later
+        free[near] = False
+        open_ = free[one] & free[other]
+        one, other = one[open_], other[open_]
+        if not len(one):
+            return chosen | free
 
 
 def every_other(places: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Of the ascending ``places`` of a pair of equal symbols those that don't overlap, from the left of each run; after: the place that follows each."""
-    first = np.flatnonzero(np.append(True, after[:-1] != places[1:]))
-    return places[(np.arange(len(places)) - np.repeat(first, np.diff(np.append(first, len(places))))) % 2 == 0]
+    """Which of the ``places``, ascending within each pair, don't overlap others of their pair, from the left of each run; after: the place that follows each."""
+    first = np.flatnonzero(np.concatenate([[True], after[:-1] != places[1:]])[: len(places)])
+    return np.flatnonzero((np.arange(len(places)) - np.repeat(first, np.diff(np.append(first, len(places))))) % 2 == 0)
 
 
 class Pairs:
@@ -56,69 +59,81 @@ class Pairs:
     def __init__(self, seq: np.ndarray, symbols: int, least: int):
         n = len(seq) + 2
         self.symbols, self.least = symbols, least
-        self.symbol = np.full(n, -1, np.int32)  # of each place; -1: none any more
+        cells = np.full((n, 4), -1, np.int32)  # what a round reads of a place, and of its neighbours, lies side by side
+        self.symbol, self.after, self.before, self.pair = cells.T  # of each place its symbol, -1: none any more, and the number of the pair that begins there, -1: none, or one that is not numbered
         self.symbol[1:-1] = seq
-        self.after, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-        self.pair = np.full(n, -1, np.int32)  # number of the pair that begins at each place; -1: none, or one that is not numbered
+        self.guard = symbols + len(seq) // 2 + 1  # above all symbols
+        self.symbol[0] = self.symbol[-1] = self.guard
+        self.after[:], self.before[:] = np.arange(1, n + 1), np.arange(-1, n - 1)
         self.number, room = 0, len(seq) // 4 + 16
         self.left, self.right, self.count, self.low, self.size = (np.zeros(room, np.int32) for _ in range(5))  # by number; low, size: where the places are listed
         self.listed, self.places = 0, np.zeros(n, np.int32)
+        self.marked = np.zeros(room, bool)  # scratch, by number
         self.floor, self.active = 1 << 31, np.zeros(0, np.intp)  # pairs of unequal symbols with that count or more
-        self.equal: list[tuple[int, int]] = []  # heap of (-count or less, number) of the pairs of equal symbols
-        self.add(np.arange(1, n - 2, dtype=np.int32))
+        self.equal, self.most, self.highest = np.zeros(0, np.intp), np.zeros(0, np.int64), 0  # pairs of equal symbols, and what their counts can't exceed, and the highest of that
+        self.add(np.arange(1, n - 2), seq[:-1], seq[1:])
 
-    def add(self, at: np.ndarray) -> None:
-        """Numbers the pairs that begin at the places ``at``; they are all that there are of them."""
-        if not len(at):
+    def add(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Numbers the pairs of ``left`` and ``right`` symbols that begin at the places ``at``, which have no number; they are all that there are of them."""
+        if len(at) < self.least:
             return
-        left, right = self.symbol[at].astype(np.uint64), self.symbol[self.after[at]].astype(np.uint64)
-        wide, deep = np.uint64(self.symbols.bit_length()), np.uint64(len(self.symbol).bit_length())
-        key = left << wide | right
-        if 2 * int(wide) + int(deep) <= 64:  # sorted with its place in one number
-            key = np.sort(key << deep | at.astype(np.uint64))
-            key, at = key >> deep, (key & np.uint64((1 << int(deep)) - 1)).astype(np.int32)
+        wide, deep = self.guard.bit_length(), len(self.symbol).bit_length()
+        if 2 * wide + deep <= 64:  # sorted with its place in one number
+            key = left.astype(np.uint64)
+            key <<= np.uint64(wide)
+            key |= right.astype(np.uint64)
+            key <<= np.uint64(deep)
+            key |= at.view(np.uint64)
+            key.sort()
+            at, key = (key & np.uint64((1 << deep) - 1)).view(np.int64), key >> np.uint64(deep)
         else:
+            wide = 32
             order = np.lexsort((at, right, left))
-            left, right, at = left[order], right[order], at[order]
-            key = np.cumsum(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(first, len(at)))
-        often = size >= self.least
-        self.pair[at] = np.repeat(np.where(often, self.number - 1 + np.cumsum(often), -1).astype(np.int32), size)
-        if not often.all():
-            at, size = at[np.repeat(often, size)], size[often]
-        if not len(size):
+            at, key = at[order], (left.astype(np.uint64) << np.uint64(wide) | right.astype(np.uint64))[order]
+        bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(at)]])
+        size = bounds[1:] - bounds[:-1]
+        often = np.flatnonzero(size >= self.least)
+        if not len(often):
             return
+        size, ends = size[often], np.cumsum(size[often])
+        first = ends - size
+        at = at[np.arange(ends[-1]) + np.repeat(bounds[often] - first, size)]
         k, end, low, high = self.number, self.number + len(size), self.listed, self.listed + len(at)
-        while end > len(self.count):
+        while end >= len(self.count):  # the last one stands for no pair
             for name in ("left", "right", "count", "low", "size"):
                 setattr(self, name, np.append(getattr(self, name), np.zeros_like(self.count)))
+            self.marked = np.zeros(len(self.count), bool)
         while high > len(self.places):
             self.places = np.append(self.places, np.zeros_like(self.places))
         self.places[low:high] = at
-        first = np.cumsum(size) - size
-        self.low[k:end], self.size[k:end], self.count[k:end] = low + first, size, size
-        left, right = self.symbol[at[first]], self.symbol[self.after[at[first]]]
+        self.pair[at] = np.repeat(np.arange(k, end, dtype=np.int32), size)
+        self.low[k:end], self.size[k:end], self.count[k:end] = first + low, size, size
+        key = key[bounds[often]]
+        left, right = key >> np.uint64(wide), key & np.uint64((1 << wide) - 1)
         self.left[k:end], self.right[k:end] = left, right
         self.number, self.listed = end, high
         same = left == right
         if same.any():
-            for p in np.flatnonzero(same).tolist():
-                heapq.heappush(self.equal, (-int(size[p]), k + p))
-        often = (size >= self.floor) & ~same
-        if often.any():
-            self.active = np.append(self.active, k + np.flatnonzero(often))
+            self.ask(np.flatnonzero(same) + k, size[same])
+        often = np.flatnonzero((size >= self.floor) & ~same)  # to be looked through
+        if len(often):
+            self.active = np.concatenate([self.active, often + k])
 
     def places_of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the places where the pairs are now, which of them is there), in the order of the pairs, then ascending."""
+        if len(pairs) == 1:
+            low = int(self.low[pairs[0]])
+            at = self.places[low : low + int(self.size[pairs[0]])].astype(np.intp)
+            at = at[self.pair[at] == pairs[0]]
+            return at, np.zeros(len(at), np.intp)
         size = self.size[pairs].astype(np.int64)
         which = np.repeat(np.arange(len(pairs)), size)
-        at = self.places[np.arange(len(which)) + (self.low[pairs] - (np.cumsum(size) - size))[which]]
-        there = self.pair[at] == pairs[which]
+        at = self.places[np.arange(len(which)) + (self.low[pairs] - (np.cumsum(size) - size))[which]].astype(np.intp)
+        there = np.flatnonzero(self.pair[at] == pairs[which])
         return at[there], which[there]
 
     def unequal(self) -> tuple[int, np.ndarray]:
-        """(the highest count of pairs of unequal symbols or 0, the pairs that have it); they are looked through by powers of two of their counts."""
+        """(the highest count of pairs of unequal symbols or 0, the pairs that have it); they are looked through by powers of two of their counts, and below FEW by each count."""
         while True:
             count = self.count[self.active]
             top = int(count.max(initial=0))
@@ -130,44 +145,79 @@ class Pairs:
                 return 0, self.active[:0]
             good = np.where(self.left[: self.number] != self.right[: self.number], self.count[: self.number], 0)
             top = int(good.max(initial=0))
-            self.floor = max(self.least, 1 << max(0, top.bit_length() - 1))
+            self.floor = max(self.least, top if top < FEW else 1 << top.bit_length() - 1)
             self.active = np.flatnonzero(good >= self.floor)
 
-    def next_round(self) -> list[tuple[int, int]]:
+    def same(self, top: int) -> tuple[int, np.ndarray]:
+        """(the higher of ``top`` and the highest count of pairs of equal symbols, the pairs of these that have it)."""
+        if self.highest < max(top, self.least):
+            return top, self.equal[:0]
+        asked = np.flatnonzero(self.most >= max(top, self.least))
+        at, which = self.places_of(self.equal[asked])
+        counts = np.bincount(which[every_other(at, self.after[at])], minlength=len(asked))
+        self.most[asked] = counts
+        top = max(top, int(counts.max()))
+        if top < self.least:
+            self.highest = 0
+            return 0, self.equal[:0]
+        found = self.equal[self.most == top]
+        self.equal, self.most = self.equal[self.most != top], self.most[self.most != top]
+        self.highest = int(self.most.max(initial=0))
+        return top, found
+
+    def ask(self, pairs: np.ndarray, most: np.ndarray) -> None:
+        """Pairs of equal symbols are to be counted when ``most`` could be the highest count."""
+        self.equal, self.most = np.concatenate([self.equal, pairs]), np.concatenate([self.most, most])
+        self.highest = max(self.highest, int(most.max(initial=0)))
+
+    def next_round(self) -> np.ndarray:
         """The rules of a round, of which the first is symbol ``symbols``; none if no pair occurs ``least`` times."""
         top, pairs = self.unequal()
-        while self.equal and -self.equal[0][0] >= max(top, self.least):
-            bound, p = heapq.heappop(self.equal)
-            at, which = self.places_of(np.array([p]))
-            at = every_other(at, self.after[at]) if len(at) else at
-            if len(at) == -bound:
-                return self.replace(np.array([p]), at, which[: len(at)])
-            heapq.heappush(self.equal, (-len(at), p))
-        if not top:
-            return []
+        high, same = self.same(top)
+        if not high:
+            return np.zeros((0, 2), np.int32)
+        if len(same):
+            pairs = np.sort(np.concatenate([pairs, same])) if high == top else same
+        at, which = self.places_of(pairs)
         if len(pairs) > 1:
-            pairs = pairs[apart(self.left[pairs].tolist(), self.right[pairs].tolist())]
-        return self.replace(pairs, *self.places_of(pairs))
-
-    def replace(self, pairs: np.ndarray, at: np.ndarray, which: np.ndarray) -> list[tuple[int, int]]:
+            self.marked[pairs] = True
+            over = self.pair[self.after[at]]
+            meet = np.flatnonzero(self.marked[over])
+            self.marked[pairs] = False
+            if len(same):
+                meet = meet[over[meet] != pairs[which[meet]]]
+            if len(meet):
+                chosen = apart(len(pairs), which[meet], np.searchsorted(pairs, over[meet]))
+                left = pairs[~chosen]
+                left = left[self.left[left] == self.right[left]]
+                self.ask(left, np.full(len(left), high))
+                kept = np.flatnonzero(chosen[which])
+                pairs, at, which = pairs[chosen], at[kept], (np.cumsum(chosen) - 1)[which[kept]]
+        if len(same):
+            kept = every_other(at, self.after[at])
+            at, which = at[kept], which[kept]
+        return self.replace(pairs, at, which)
+
+    def replace(self, pairs: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
         symbol, after, before, pair, first = self.symbol, self.after, self.before, self.pair, self.symbols
-        second = after[at]
-        third = after[second]
+        second, behind = after[at].astype(np.intp), before[at].astype(np.intp)
+        third = after[second].astype(np.intp)
         pair[at] = -1
-        lost = [pair[second]]
+        lost = pair[second]
         pair[second] = -1
-        behind = before[at]
-        lost.append(pair[behind])  # -1 if that place is itself the second one of another
+        gone = np.concatenate([lost, pair[behind]])  # -1 if the place behind is itself the second one of another
         pair[behind] = -1
-        gone = np.concatenate(lost)
-        np.subtract.at(self.count, gone[gone >= 0], np.int32(1))
+        np.subtract.at(self.count, gone, ONE)  # the last count is that of no pair
         self.count[pairs] = 0
-        symbol[at], symbol[second] = first + which, -1
+        new = which + first
+        symbol[at], symbol[second] = new, -1
         after[at], before[third] = third, at
         self.symbols += len(pairs)
-        behind = before[at]
-        self.add(np.concatenate([at[third < len(symbol) - 1], behind[(symbol[behind] < first) & (behind > 0)]]))
-        return list(zip(self.left[pairs].tolist(), self.right[pairs].tolist()))
+        behind = before[at].astype(np.intp)
+        left = symbol[behind]
+        old = np.flatnonzero(left < first)  # neither new nor the guard; what begins at the last place but one occurs once
+        self.add(np.concatenate([at, behind[old]]), np.concatenate([new, left[old]]), np.concatenate([symbol[third], new[old]]))
+        return np.array([self.left[pairs], self.right[pairs]]).T
 
 
 def build(ids: np.ndarray, least: int = LEAST, rounds: int | None = ROUNDS) -> Grammar:
@@ -175,18 +225,19 @@ def build(ids: np.ndarray, least: int = LEAST, rounds: int | None = ROUNDS) -> G
     present = np.zeros(int(ids.max(initial=0)) + 1, bool)
     present[ids] = True
     terminals = np.flatnonzero(present)
-    pairs = Pairs((np.cumsum(present) - 1)[ids], len(terminals), least)
-    rules: list[tuple[int, int]] = []
-    lengths = [1] * len(terminals)
+    pairs = Pairs((np.cumsum(present, dtype=np.int32) - np.int32(1))[ids.astype(np.intp)], len(terminals), least)
+    rules, lengths = [np.zeros((0, 2), np.int32)], np.ones(len(terminals) + len(ids) // 2, np.int64)
     while rounds is None or rounds > 0:
+        low = pairs.symbols
         new = pairs.next_round()
-        if not new:
+        if not len(new):
             break
-        rules += new
-        lengths += [lengths[a] + lengths[b] for a, b in new]
+        rules.append(new)
+        lengths[low : pairs.symbols] = lengths[new].sum(1)
         rounds = None if rounds is None else rounds - 1
-    sequence = pairs.symbol[pairs.symbol >= 0]
-    return Grammar(terminals.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.int64), sequence.astype(np.uint32))
+    sequence = pairs.symbol[1:-1]
+    sequence = sequence[sequence >= 0]
+    return Grammar(terminals.astype(np.uint32), np.concatenate(rules).astype(np.uint32), lengths[: pairs.symbols].copy(), sequence.astype(np.uint32))
 
 
 def expand(g: Grammar, seq: np.ndarray) -> np.ndarray:

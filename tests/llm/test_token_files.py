@@ -83,6 +83,18 @@ def test_grammar_replaces_the_most_frequent_pair_until_none_occurs_twice(seed):
     assert seq == g.sequence.tolist() and max(pair_counts(seq).values(), default=0) < 2
 
 
+def test_pairs_of_one_count_go_together():
+    """Pairs of equal symbols, and pairs that share symbols but no place, take a round for each count, not one each."""
+    rng = np.random.default_rng(6)
+    twice = np.concatenate([[k, k, 1000 + 3 * k, 1001 + 3 * k, 7, 1002 + 3 * k] for k in rng.permutation(300)] + [[k, k, 3000 + k] for k in rng.permutation(300)])
+    shared = np.concatenate([np.array([[900, 4000 + k, 5000 + 2 * k + n, 8000 + k, 900, 6000 + 2 * k + n] for k in range(200)]).ravel() for n in range(2)])
+    for ids, most in ((twice, 3), (shared, 6)):
+        pairs, rounds = repair.Pairs(np.unique(ids, return_inverse=True)[1], len(np.unique(ids)), 2), 0
+        while len(pairs.next_round()):
+            rounds += 1
+        assert rounds <= most
+
+
 def test_files_hold_whole_grammars():
     ids = np.random.default_rng(4).zipf(1.3, 5000).astype(np.uint32) % 300
     out = pa.BufferOutputStream()
@@ -121,6 +133,17 @@ def test_texts_cut_finely_give_the_librarys_ids():
     assert [bytes(x) for x in np.split(data, token_files.cuts(data))] == [b"word", b",", b" can", b"'t", b" 12", b"ab", b"!"]
 
 
+def test_words_of_letters_go_to_the_model():
+    encoder, rng = token_files.Encoder(BPE), random.Random(4)
+    words = [w.encode() for w in ("a", " a", " Straße", "ñu", "ɏɿ", "Ž")]
+    others = [w.encode() for w in ("", " ", "  a", "a b", "×", "a÷", "a1", "a.", "'s", "ж", "ʀ", "中", "\na", "\u00b5", "\u0301", "a\u2014")]
+    assert token_files.are_letters(words + others).tolist() == [True] * len(words) + [False] * len(others)
+    words += [("" if rng.random() < 0.5 else " ").encode() + "".join(rng.choice("abcdefghijéüßñœ") for _ in range(rng.randrange(1, 40))).encode() for _ in range(2000)]
+    assert encoder._words(words) == encoder.library([w.decode() for w in words])
+    mixed = rng.sample(words + others[1:], len(words) + len(others) - 1)
+    assert encoder._learn(mixed) == encoder.library([w.decode() for w in mixed]) and encoder._learn([]) == []
+
+
 def test_long_texts_are_cut_at_borders(monkeypatch):
     monkeypatch.setattr(token_files, "PIECE", 50)
     rng, encoder = random.Random(3), token_files.Encoder(BPE)
