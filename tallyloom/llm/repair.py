@@ -64,7 +64,7 @@ class Pairs:
         self.symbol[1:-1] = seq
         self.guard = symbols + len(seq) // 2 + 1  # above all symbols
         self.symbol[0] = self.symbol[-1] = self.guard
-        self.after[:], self.before[:] = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.after[:], self.before[:] = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         self.number, room = 0, len(seq) // 4 + 16
         self.left, self.right, self.count, self.low, self.size = (np.zeros(room, np.int32) for _ in range(5))  # by number; low, size: where the places are listed
         self.listed, self.places = 0, np.zeros(n, np.int32)
@@ -81,23 +81,25 @@ class Pairs:
         if 2 * wide + deep <= 64:  # sorted with its place in one number
             key = left.astype(np.uint64)
             key <<= np.uint64(wide)
-            key |= right.astype(np.uint64)
+            np.bitwise_or(key, right, out=key, dtype=np.uint64, casting="unsafe")
             key <<= np.uint64(deep)
             key |= at.view(np.uint64)
             key.sort()
-            at, key = (key & np.uint64((1 << deep) - 1)).view(np.int64), key >> np.uint64(deep)
+            at = (key & np.uint64((1 << deep) - 1)).view(np.int64)
+            key >>= np.uint64(deep)
         else:
             wide = 32
             order = np.lexsort((at, right, left))
             at, key = at[order], (left.astype(np.uint64) << np.uint64(wide) | right.astype(np.uint64))[order]
         bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(at)]])
         size = bounds[1:] - bounds[:-1]
-        often = np.flatnonzero(size >= self.least)
-        if not len(often):
+        often = size >= self.least
+        if not often.any():
             return
-        size, ends = size[often], np.cumsum(size[often])
-        first = ends - size
-        at = at[np.arange(ends[-1]) + np.repeat(bounds[often] - first, size)]
+        at = at[np.repeat(often, size)]
+        often = np.flatnonzero(often)
+        size = size[often]
+        first = np.cumsum(size) - size
         k, end, low, high = self.number, self.number + len(size), self.listed, self.listed + len(at)
         while end >= len(self.count):  # the last one stands for no pair
             for name in ("left", "right", "count", "low", "size"):
@@ -242,15 +244,15 @@ def build(ids: np.ndarray, least: int = LEAST, rounds: int | None = ROUNDS) -> G
 
 def expand(g: Grammar, seq: np.ndarray) -> np.ndarray:
     """What ``seq`` stands for. Lengths say where each symbol's expansion goes; rules are undone all at once, from the outside in, and a terminal is set once."""
-    n = len(g.terminals)
+    n, seq, rules = len(g.terminals), seq.astype(np.intp), g.rules.astype(np.intp)
     size = g.lengths[seq]
     out = np.empty(int(size.sum()), np.uint32)
     at = np.cumsum(size) - size
     while len(seq):
-        rule = seq >= n
-        out[at[~rule]] = g.terminals[seq[~rule]]
+        rule, end = np.flatnonzero(seq >= n), np.flatnonzero(seq < n)
+        out[at[end]] = g.terminals[seq[end]]
         seq, at = seq[rule], at[rule]
-        left, right = g.rules[seq - n].T
+        left, right = rules[seq - n].T
         seq, at = np.concatenate([left, right]), np.concatenate([at, at + g.lengths[left]])
     return out
 

@@ -34,7 +34,7 @@ END_ID = 2
 SHARD = 1 << 20  # ids
 FILE_IDS = 1 << 23
 MOST_WORDS = 500_000  # words, and parts of words, that a Python worker keeps encoded, twice as many at most
-PIECE = 1 << 22  # characters that are looked at together
+PIECE = 1 << 23  # characters that are looked at together
 
 
 SLICE = 2048  # texts that are encoded together at most
@@ -54,9 +54,16 @@ for _left, _rights in ((LETTER, [DIGIT, SIGN, QUOTE, BLANK]), (DIGIT, [LETTER, S
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
-    """Where UTF-8 ``data`` may be cut: between letters, digits and signs of ASCII, and before white space that follows a visible character."""
+    """Where UTF-8 ``data`` may be cut: between letters up to U+027F, digits and signs of ASCII, before white space that follows a visible character, and behind a line feed between two visible ones."""
     kind = KIND[data]
-    at = np.flatnonzero(APART.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]) + 1
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9))
+    after = data[lead + 1]
+    lead = lead[(data[lead] != 0xC3) | (after != 0x97) & (after != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    apart = APART.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]
+    line = np.flatnonzero(data[1:-1] == 10) + 1
+    apart[line[(kind[line - 1] < BLANK) & (kind[line + 1] < BLANK)]] = True
+    at = np.flatnonzero(apart) + 1
     wide = at[kind[at - 1] == OTHER]  # what ends there may be white space beyond ASCII, or a control character
     if not len(wide):
         return at

@@ -144,6 +144,15 @@ def test_words_of_letters_go_to_the_model():
     assert encoder._learn(mixed) == encoder.library([w.decode() for w in mixed]) and encoder._learn([]) == []
 
 
+def test_letters_and_lines_are_cut():
+    def cut(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [bytes(x).decode() for x in np.split(data, token_files.cuts(data))]
+
+    assert cut("né,à1\nAb\n\nc\r\nd") == ["né", ",", "à", "1", "\n", "Ab", "\n\nc", "\r\nd"]
+    assert cut("a×b ÷\nc\n é") == ["a×b", " ÷", "\nc", "\n é"]
+
+
 def test_long_texts_are_cut_at_borders(monkeypatch):
     monkeypatch.setattr(token_files, "PIECE", 50)
     rng, encoder = random.Random(3), token_files.Encoder(BPE)
