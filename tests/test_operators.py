@@ -223,6 +223,26 @@ def test_overlap_equals_nested_loop(spark):
     assert len(got) == len(set(got)) and set(map(tuple, got)) == want
 
 
+def test_dense_pairs_make_small_files_and_are_not_dealt_by_bytes(spark, tmp_path):
+    """Ticks of one block come together for each interval; a second with many of both is many pairs and few bytes."""
+    rng = random.Random(9)
+    iv = [(k, s := rng.randrange(900_000_000), s + rng.choice([0, 40_000_000, 99_000_000])) for k in range(3000)] + [(-1, None, 5), (-2, 9, None), (-3, 400_000_000, 100_000_000)]
+    tk = [(rng.randrange(-100_000_000, 1_000_000_000), "x") for _ in range(1500)] + [(None, "x"), (7, "y"), (7, "y")]
+    ticks = spark.createDataFrame(tk, "tick_us long, note string").repartition(4)
+    got = rate.overlaps(ticks, spark.createDataFrame(iv, "interval_id long, start_us long, end_us long").repartition(4), 180)
+    assert got.columns == ["tick_us", "note", "interval_id", "start_us", "end_us"]
+    want = sorted((t, n, k) for t, n in tk if t is not None for k, s, e in iv if s is not None and e is not None and s <= t + 5_000_000 and e >= t - 180_000_000)
+    assert sorted(map(tuple, got.select("tick_us", "note", "interval_id").collect())) == want
+    no_broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got.select("tick_us", "interval_id").write.parquet(f"{tmp_path}/pairs")
+        assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", no_broadcast)
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 0.6 * len(want)
+
+
 def test_windows_equal_the_pairs_sums_without_a_row_a_pair(spark):
     rng = random.Random(5)
     length = lambda: rng.choice([0, 1, 3_000_000, 70_000_000, 4 * 10**8])
