@@ -35,27 +35,35 @@ def as_number(v: Column) -> Column:
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines that are JSON objects, with type, payload type and time."""
     ok = lines.where(F.try_parse_json("raw").isNotNull() & F.trim("raw").startswith("{"))
-    ok = once(ok, {"type": js("type"), "ptype": js("payload.type"), "ts_ms": js("timestamp")})
-    return once(ok, {"ts_ms": F.unix_millis(parse_time("ts_ms"))})
+    ok = ok.select(*lines.columns, F.json_tuple("raw", "type", "timestamp").alias("type", "ts_ms"))  # one reading of the line; no key comes twice in what parses
+    return once(ok, {"ptype": js("payload.type"), "ts_ms": F.unix_millis(parse_time("ts_ms"))})
 
 
-def metadata(rows: DataFrame) -> DataFrame:
-    """One row per file that has a session_meta: keys, project and parent, all from the first one."""
+def first_lines_fields() -> Column:
+    """Keys, project and parent that a session_meta line gives its file."""
     parents = F.array_distinct(F.array_compact(F.array(text("payload.parent_thread_id"), text("payload.forked_from_id"), text("payload.source.subagent.thread_spawn.parent_thread_id"))))
     short = lambda c: F.coalesce(hash_id(c, length=16), F.lit(""))
     empty = lambda c: F.when(c.isNull(), "").otherwise(short(c))
-    found = F.struct(
+    return F.struct(
         empty(text("payload.id")).alias("rollout_key"), text("payload.session_id").alias("session_id"), F.coalesce(last_component(text("payload.cwd")), F.lit(UNKNOWN)).alias("project"),
         F.when(F.size(parents) == 1, short(parents[0])).otherwise("").alias("parent_rollout_key"), (F.size(parents) > 0).alias("has_parent"), (F.size(parents) > 1).alias("parent_conflict"),
     )
-    return rows.where("type = 'session_meta'").groupBy("file_id").agg(F.min_by(found, "line_no").alias("m")).select("file_id", "m.*")
+
+
+def metadata(rows: DataFrame) -> DataFrame:
+    """One row per file that has a session_meta: keys, project and parent, all from the first one."""
+    return rows.where("type = 'session_meta'").groupBy("file_id").agg(F.min_by(first_lines_fields(), "line_no").alias("m")).select("file_id", "m.*")
+
+
+def session_hash() -> Column:
+    return F.when(F.col("rollout_key") != "", F.col("rollout_key")).otherwise(F.left("file_id", F.lit(16)))
 
 
 def with_metadata(rows: DataFrame) -> DataFrame:
     out = rows.join(metadata(rows), "file_id", "left")
     fill = {"rollout_key": "", "project": UNKNOWN, "parent_rollout_key": "", "has_parent": False, "parent_conflict": False}
     out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items()})
-    return out.withColumn("session_hash", F.when(F.col("rollout_key") != "", F.col("rollout_key")).otherwise(F.left("file_id", F.lit(16))))
+    return out.withColumn("session_hash", session_hash())
 
 
 FIELDS = ["input_tokens", "cached_input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]

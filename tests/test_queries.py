@@ -81,3 +81,14 @@ def test_cut_texts_of_two_bytes_a_character(spark, tmp_path):
 def test_fields_of_a_line_are_read_once(spark, name, most):
     optimized = catalogue.QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("get_json_object") <= most
+
+
+@pytest.mark.parametrize("name", ["a04_rollout_tool_counts", "j01_rollout_edits"])
+def test_lines_of_calls_and_outputs_are_read_and_dealt_once(spark, name):
+    """Two scans, of the calls and of the outputs; whatever else is taken from them reads their shuffle again."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert plan(catalogue.QUERIES[name](spark, DIR)).count("FileScan") == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
